@@ -120,10 +120,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not points.num_rows or not queries.num_rows:
             return empty
-        x, q = _vectors(points.column("q")), _vectors(queries.column("q"))
+        x, q = _vectors(points.column("q")), _vectors(queries.column("asked"))
         if np.abs(x).max() * np.abs(q).max() * x.shape[1] >= 2**53:
             raise OverflowError("inner products of 2^53 or more aren't exact in doubles")
-        ids, query_ids, floors = points.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy().astype(np.float64)
+        ids, query_ids, floors = points.column("vec_id").to_numpy(), queries.column("query_id").to_numpy(), queries.column("floor").to_numpy().astype(np.float64)
         tree = BallTree(x)
         leaves = np.array([node[2] for node in tree.nodes if node[4] < 0])
         near = np.argsort((q @ leaves.T).argmax(axis=1), kind="stable")
@@ -137,8 +137,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return pa.table({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     def over(points: DataFrame, queries: DataFrame) -> DataFrame:
-        keys = ("dim", "shard", "block")
-        return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+        asking = queries.select(F.col("dim").alias("of_dim"), F.col("shard").alias("in_shard"), F.col("block").alias("in_block"), F.col("vec_id").alias("query_id"), F.col("q").alias("asked"), "floor")
+        return points.groupBy("dim", "shard", "block").cogroup(asking.groupBy("of_dim", "in_shard", "in_block")).applyInArrow(meet, "query_id long, vec_id long, score long")
 
     lowest = F.lit(float("-inf"))
     found = over(candidates.where("shard = 0"), asked.withColumn("shard", F.lit(0)).withColumn("floor", lowest))

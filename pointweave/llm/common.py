@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,15 @@ def parts(spark: SparkSession, rows: int, rows_each: int) -> int:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def portions(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about most_bytes together, a longer text by itself."""
+    lo = total = 0
+    for at, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if at > lo and total + n > most_bytes:
+            yield lo, at
+            lo, total = at, 0
+        total += n
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut
+from pointweave.llm.common import cut, portions
 
 
 class WordEncoder:
@@ -21,22 +21,30 @@ class WordEncoder:
 
     White space separates words and yields no ids, so a text's ids are its words' ids in order. Only
     space, tab, line feed and carriage return split; whatever else is white space stays inside a word
-    and is left to the tokenizer. At keep_words kept words the store starts anew.
+    and is left to the tokenizer. Words beyond the first keep_words are encoded anew each time.
     """
 
-    def __init__(self, path: str, keep_words: int = 200_000):
+    def __init__(self, path: str, keep_words: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_words, self.known = Tokenizer.from_file(path), keep_words, {}
 
-    def encode(self, text: str) -> array:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        fresh = list({w for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > self.keep_words:
-            self.known, fresh = {}, list(set(words))
-        for w, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)) if fresh else ():
-            self.known[w] = tuple(found.ids)
-        return array("I", chain.from_iterable(map(self.known.__getitem__, words)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        fresh = list(set().union(*split) - self.known.keys())
+        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))} if fresh else {}
+        if len(self.known) + len(new) <= self.keep_words:
+            self.known.update(new)
+            return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return [b"".join([new.get(w) or self.known.get(w, b"") for w in words]) for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def token_pieces(df: DataFrame, path: str, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -44,15 +52,16 @@ def token_pieces(df: DataFrame, path: str, max_len: int = 4096, end_id: int = 1,
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                ids.append(end_id)
-                for piece, start in enumerate(range(0, len(ids), max_len)):
-                    own = ids[start : start + max_len]
-                    rows.append((doc_id, piece, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()), *([own.tolist()] if with_ids else ())))
+            for lo, hi in portions(batch.column(1)):
+                texts = [t or "" for t in batch.column(1)[lo:hi].to_pylist()]
+                for doc_id, ids in zip(batch.column(0)[lo:hi].to_pylist(), words.encode(texts)):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids) // 4, max_len)):
+                        own = ids[4 * start : 4 * (start + max_len)]
+                        rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").tolist()] if with_ids else ())))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             columns = list(zip(*rows)) or [()] * (5 + with_ids)

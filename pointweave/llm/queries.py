@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import balltree, packing, simhash
+from pointweave.llm import balltree, language, packing, simhash, toxicity
 from pointweave.llm.common import table
 
 
@@ -18,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(language.fold("doc_id", 3) != 1).withColumnRenamed("doc_id", "id")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(language.fold("id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -28,13 +35,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    profiles = language.prototypes(docs.where(language.fold("doc_id", 4) != 2))
+    found = language.identify(docs, profiles)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(language.fold("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
+    "op8_language": op8_language,
     "op9_top_k": op9_top_k,
 }
 

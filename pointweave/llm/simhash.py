@@ -138,6 +138,7 @@ def links(points: DataFrame, radius: int = 2, leaf: int = 2048) -> DataFrame:
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node")
+        .repartition("shard", "a", "b")  # else the blocks of a shard would stay in the task that sized it
     )
 
     def join(group: pa.Table) -> pa.Table:
