@@ -35,10 +35,11 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         fresh = list(set().union(*split) - self.known.keys())
         new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))} if fresh else {}
-        if len(self.known) + len(new) <= self.keep_words:
-            self.known.update(new)
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        return [b"".join([new.get(w) or self.known.get(w, b"") for w in words]) for words in split]
+        self.known.update(new)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in fresh[: max(0, len(self.known) - self.keep_words)]:
+            del self.known[w]
+        return out
 
 
 @lru_cache(maxsize=1)
