@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import balltree, language, packing, simhash, toxicity
+from pointweave.llm import balltree, language, packing, simhash, toxicity, winnow
 from pointweave.llm.common import table
 
 
@@ -46,12 +46,17 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_top_k": op9_top_k,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {
