@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import balltree, language, packing, simhash, toxicity, winnow
+from pointweave.llm import balltree, language, packing, secrets, simhash, toxicity, winnow
 from pointweave.llm.common import table
 
 
@@ -18,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    of_kind = [F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
+    base = found.select("doc_id", "spans", F.expr(f"filter(spans, s -> s.kind < {secrets.KINDS.index('random')})").alias("base"))
+    return base.select("doc_id", *of_kind, F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled().alias("spans"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(language.fold("doc_id", 3) != 1).withColumnRenamed("doc_id", "id")
@@ -51,6 +58,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
