@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import balltree, language, packing, secrets, simhash, toxicity, winnow
-from pointweave.llm.common import table
+from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, toxicity, warc, winnow
+from pointweave.llm.common import shared_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,6 +38,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    captures = warc.assemble(warc.read(spark, path))
+    return captures.select(
+        warc.field("metadata", "page-id").cast("long").alias("page_id"),
+        warc.field("metadata", "payload-length").cast("long").alias("payload_bytes"),
+        F.when(F.col("response.type") == "revisit", F.col("response.stated_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to_page").alias("refers_to"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -61,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op5_pieces": op5_pieces,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_top_k": op9_top_k,
@@ -68,6 +88,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), d AS (
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+        ), k AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM k
+    """,
     "op9_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
