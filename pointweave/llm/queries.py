@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, toxicity, warc, winnow
+from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, suffixes, toxicity, warc, winnow
 from pointweave.llm.common import shared_dir, table
 
 
@@ -38,6 +38,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("tag")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_suffixes": op4_suffixes,
     "op5_pieces": op5_pieces,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
