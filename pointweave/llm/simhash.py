@@ -162,3 +162,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected(links(points.where("node IS NOT NULL"), radius))
     classes = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return rows.join(classes, "fp").select("id", "fp", "component")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without the rows that link, through others too, to a row of a smaller id; rows without an id stay."""
+    found = near_duplicates(df, id_col, text_col)
+    return df.join(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")

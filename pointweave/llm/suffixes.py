@@ -402,3 +402,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+    """df with its texts' repeats of smaller documents removed; rows, null texts and other columns stay."""
+    left = remove_repeats(df, id_col, text_col, least, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tag"])
+    others = df.select(*[F.col(c) for c in df.columns if c != text_col], F.xxhash64(text_or_empty(text_col)).alias("_of"), F.col(text_col).isNull().alias("_null"))
+    joined = others.join(left, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tag")), "left")
+    return joined.select(*[F.when(~F.col("_null"), F.col("_kept")).alias(c) if c == text_col else F.col(c) for c in df.columns])

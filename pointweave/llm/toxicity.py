@@ -270,3 +270,15 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep_te
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([r for _, r in found], pa.string())] if keep_text else []), names=["id", "score", "predicted", "restored"][: 3 + keep_text])
 
     return docs.select("id", "text").mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score threshold or more; all columns and other rows stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([of(t.as_py())[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
