@@ -107,21 +107,20 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     spark = df.sparkSession
     ids = df.select(F.col(id_col).cast("long").alias("doc_id"))
-    cell = cells(ids, "doc_id")
-    firsts = ids.withColumn("cell", cell).groupBy("cell").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    cell = F.coalesce(cells(ids, "doc_id"), F.lit(-1).cast("long"))  # never null, so no join adds a filter below the exchange
+    firsts = ids.withColumn("cell", cell).groupBy("cell").agg(F.count("*").alias("n"))
     n = parts(spark, firsts.agg(F.sum("n")).first()[0] or 0, 2048)
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("cell", cell).repartition(n, "cell")
     after = following(firsts.select("cell"))
     lowest = firsts.agg(F.min("cell")).first()[0]
     before = after.select(F.col("cell").alias("to_cell"), F.coalesce("after", F.lit(lowest)).alias("cell"))
+    order = Window.partitionBy("cell").orderBy("doc_id", "text")
     heads = (
-        base.join(firsts.select("cell", "first_id"), "cell").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("cell").agg(F.min("text").alias("text"))
+        base.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("cell", "text")
         .join(before, "cell").select(F.col("to_cell").alias("cell"), F.col("text").alias("head_text"))
     )
-    heads = winnow(heads, "head_text", "head_keys", k, window).select("cell", "head_text", hashes("head_keys").alias("head_hashes"))
+    heads = winnow(heads, "head_text", "head_keys", k, window).select("cell", "head_text", hashes("head_keys").alias("head_hashes")).repartition(n, "cell")
     own = winnow(base, "text", "keys", k, window).select("*", hashes("keys").alias("own_hashes"))
-    order = Window.partitionBy("cell").orderBy("doc_id", "text")
     led = own.select("cell", "doc_id", "text", "keys", F.lead("text").over(order).alias("lead_text"), F.lead("own_hashes").over(order).alias("lead_hashes"))
     return led.join(heads, "cell").select("doc_id", "text", "keys", F.coalesce("lead_text", "head_text").alias("next_text"), F.when(F.col("lead_text").isNull(), F.col("head_hashes")).otherwise(F.col("lead_hashes")).alias("next_hashes"))
 
