@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,13 @@ NONE = np.iinfo(np.int64).max
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A hash of the 25 bytes from each place on; sums over 1, 2, 4, 8 and 16 bytes double up to 16 + 8 + 1."""
     with np.errstate(over="ignore"):
@@ -38,14 +44,14 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
         eight = four[:-4] * ODD[3] + four[4:]
         sixteen = eight[:-8] * ODD[4] + eight[8:]
         n = len(b) - GRAM + 1
-        x = (sixteen[:n] * ODD[1] + eight[16 : 16 + n]) * ODD[2] + one[24 : 24 + n]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return mixed((sixteen[:n] * ODD[1] + eight[16 : 16 + n]) * ODD[2] + one[24 : 24 + n])
+
 
+def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, context's hash, first window, last window) of each anchor of a text of at least `least` bytes, in order.
 
-def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, last window) of each anchor of a text of at least `least` bytes; windows in order."""
+    A context is its first and its last window, whose grams' hashes make up its own.
+    """
     hashes = gram_hashes(b)
     keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
     width, reach = least - GRAM + 1, 1
@@ -56,7 +62,14 @@ def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         keys = np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :])
     at = (keys & PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return hashes[at[first]], first, np.concatenate((first[1:], [len(at)])) - 1
+    last = np.concatenate((first[1:], [len(at)])) - 1
+    with np.errstate(over="ignore"):
+        context = (last - first).astype(np.uint64)
+        for window in (first, last):
+            for k in (*range(0, least - GRAM, GRAM), least - GRAM):
+                context = context * ODD[3] + hashes[window + k]
+        context = mixed(context)
+    return hashes[at[first]], context, first, last
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -70,7 +83,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = key * size + padded[k : k + len(text)]
     h = packed
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if h >= depth:
             return order
         fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1]))) + 1
@@ -175,10 +188,9 @@ class Block:
         for d, raw in enumerate(self.raw):
             if len(raw) < least or self.ids[d] is None or self.copy[d]:
                 continue
-            h, first, last = anchors(np.frombuffer(raw, np.uint8), least)
-            digest = xxhash.xxh3_64_intdigest
+            h, c, first, last = anchors(np.frombuffer(raw, np.uint8), least)
             hashes.append(h)
-            sums.append(np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + least).tolist())], np.uint64))
+            sums.append(c)
             firsts.append(first)
             lasts.append(last)
             docs.append(np.full(len(h), d))
@@ -186,13 +198,17 @@ class Block:
         h, c = join(hashes, np.uint64), join(sums, np.uint64)
         self.first, self.last, self.doc = (join(x, np.int64) for x in (firsts, lasts, docs))
         self.doc_id = np.array([i or 0 for i in self.ids], np.int64)[self.doc]
-        by = np.lexsort((c, h))  # stable, so the least id comes first
-        new = np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1])))[: len(by)]
-        self.at = by[new]  # one occurrence, of the least id, of each distinct context
+        with np.errstate(over="ignore"):
+            key = mixed(h * ODD[0] ^ c)
+        by = np.argsort(key)
+        new = np.concatenate(([True], key[by][1:] != key[by][:-1]))[: len(by)]
+        starts = np.flatnonzero(new)
         self.context = np.empty(len(by), np.int64)
         self.context[by] = np.cumsum(new) - 1
+        # one occurrence, of the least id, of each distinct context: texts are in order of ids
+        self.at = np.minimum.reduceat(by, starts) if len(by) else by
         self.hashes, self.sums, self.least_doc = h[self.at], c[self.at], self.doc_id[self.at]
-        most = np.maximum.reduceat(self.doc_id[by], np.flatnonzero(new)) if len(by) else self.least_doc
+        most = self.doc_id[np.maximum.reduceat(by, starts)] if len(by) else self.least_doc
         self.several = most != self.least_doc
 
 
