@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,23 +30,28 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Chances and draws are whole numbers of 2^-30, so a draw doesn't depend on where a chunk's states are kept.
+BITS = 30
+
+
 def uniform(seed: np.ndarray, occurrence: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1), a function of the row's seed, the chunk's place in it and the step alone."""
+    """Whole numbers below 2^30, a function of the row's seed, the chunk's place in it and the step alone."""
     with np.errstate(over="ignore"):
         x = mix(seed + np.uint64(0x9E3779B97F4A7C15) * (occurrence.astype(np.uint64) + np.uint64(1)))
         x = mix(x + np.uint64(0xD1B54A32D192ED03) * np.uint64(step + 1))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class PieceSampler:
-    """The lattices of chunks, kept up to keep_states states: for each the arcs into it with their cumulative chances."""
+    """The lattices of chunks, kept up to about keep_states states: for each the arcs into it with their cumulative chances."""
 
-    def __init__(self, path: str, sharpness: float = 1.0, keep_states: int = 3_000_000):
+    def __init__(self, path: str, sharpness: float = 1.0, keep_states: int = 2_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = []
-        self.byte_id, self.weight, singles = {}, {}, set()
+        n, singles = model.get_piece_size(), set()
+        self.byte_id, self.weight, self.length = np.zeros(256, np.int64), np.zeros(n), np.zeros(n, np.int64)
         self.automaton = ahocorasick.Automaton()
         ranked = 0
         for i in range(model.get_piece_size()):
@@ -62,8 +68,9 @@ class PieceSampler:
                 if re.search("[^ ] ", shown):
                     raise ValueError(f"piece {said!r} has a space after another character")
                 # scores are merge ranks: by Zipf's law the chance falls with the rank, and a single letter is the last resort
-                weight = sharpness * -math.log(ranked + 10) if len(shown) > 1 else sharpness * -math.log(model.get_piece_size())
-                self.automaton.add_word(shown, (len(shown), i, weight))
+                self.weight[i] = sharpness * -math.log(ranked + 10) if len(shown) > 1 else sharpness * -math.log(model.get_piece_size())
+                self.length[i] = len(shown)
+                self.automaton.add_word(shown, i)
                 if len(shown) == 1:
                     singles.add(shown)
         self.automaton.make_automaton()
@@ -71,99 +78,110 @@ class PieceSampler:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all chunks. Arcs are kept by state: the upper end of an arc's share of its state, its piece, its source."""
         self.known: dict[str, int] = {}
-        self.cdf, self.arc_id, self.arc_from = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.arc_end = np.zeros(1 << 16, np.int64)
+        self.upto, self.arc_id, self.arc_from = (np.zeros(1 << 16, k) for k in (np.int64, np.int32, np.int64))
         self.states, self.arcs = 1, 0  # state 0: the start of any chunk
 
-    def lattice(self, chunk: str) -> list[list[tuple[float, int, int]]]:
-        """For each state after the start, its arcs (log weight, piece, state it comes from). States are the ends of
-        characters, then those between the bytes of characters that no piece spells; the last is the end."""
-        n = len(chunk)
-        arcs: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-        for end, (length, piece, weight) in self.automaton.iter(chunk):
-            arcs[end + 1].append((weight, piece, end + 1 - length))
-        for k, c in enumerate(chunk):
-            if c not in self.singles:
-                at, said = k, c.encode("utf-8", "surrogatepass")
-                for j, b in enumerate(said):
-                    if j == len(said) - 1:
-                        arcs[k + 1].append((0.0, self.byte_id[b], at))
-                    else:
-                        arcs.append([(0.0, self.byte_id[b], at)])
-                        at = len(arcs) - 1
-        return arcs
-
-    def _order(self, arcs: list, n: int) -> list[int]:
-        """States such that arcs come from earlier ones: each end of a character after the states between its bytes."""
-        if len(arcs) == n + 1:
-            return list(range(1, n + 1))
-        between: dict[int, list[int]] = {}
-        start = {}
-        for s in range(n + 1, len(arcs)):
-            start[s] = start.get(arcs[s][0][2], arcs[s][0][2])
-            between.setdefault(start[s], []).append(s)
-        return [s for k in range(n) for s in (*between.get(k, ()), k + 1)]
-
-    def filtered(self, chunk: str) -> tuple[list[list[tuple[float, int, int]]], list[list[float]]]:
-        """Arcs by state and their chances given that the state is reached: forward filtering, in logs."""
-        arcs = self.lattice(chunk)
-        alpha, chances = [0.0] + [-math.inf] * (len(arcs) - 1), [[] for _ in arcs]
-        for s in self._order(arcs, len(chunk)):
-            if len(own := arcs[s]) == 1:
-                alpha[s] = alpha[own[0][2]] + own[0][0]
-                chances[s] = [1.0]
-            elif own:
-                scores = [w + alpha[f] for w, _, f in own]
-                top = max(scores)
-                parts = [math.exp(x - top) for x in scores]
-                total = sum(parts)
-                alpha[s] = top + math.log(total)
-                chances[s] = [x / total for x in parts]
-        return arcs, chances
-
-    def _keep(self, chunk: str) -> int:
-        """Stores a chunk's states; the number of its last."""
-        arcs, chances = self.filtered(chunk)
-        base, n = self.states - 1, sum(map(len, arcs))
-        while self.arcs + n > len(self.cdf):
-            self.cdf, self.arc_id, self.arc_from = (np.concatenate((x, np.zeros_like(x))) for x in (self.cdf, self.arc_id, self.arc_from))
-        while self.states + len(arcs) > len(self.arc_end):
-            self.arc_end = np.concatenate((self.arc_end, np.zeros_like(self.arc_end)))
-        at = self.arcs
-        cdf, ids, froms, ends = [], [], [], []
-        for s in range(1, len(arcs)):
-            total, number = 0.0, base + s
-            for (_, piece, source), chance in zip(arcs[s], chances[s]):
-                total += chance
-                cdf.append(number + total)
-                ids.append(piece)
-                froms.append(base + source if source else 0)
-            ends.append(at + len(cdf))
-        self.cdf[at : at + n], self.arc_id[at : at + n], self.arc_from[at : at + n] = cdf, ids, froms
-        self.arc_end[self.states : self.states + len(ends)] = ends
-        self.states, self.arcs = self.states + len(arcs) - 1, at + n
-        self.known[chunk] = found = base + len(chunk)
-        return found
+    def arcs_of(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """(target, source, piece, root of the target, ends) of the lattices of chunks laid side by side.
+
+        Nodes are a root before each chunk, the ends of its characters, and those between the bytes of
+        characters that no piece spells. ends: the last node of each chunk.
+        """
+        joined = "\0" + "\0".join(chunks)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        roots = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]  # places of the separators
+        own = np.ones(len(points), bool)
+        own[roots] = False
+        spelled = {ord(c) for c in self.singles}
+        odd = np.flatnonzero(own & np.isin(points, np.array([c for c in np.unique(points[own]).tolist() if c not in spelled], np.uint32)))
+        width = np.ones(len(points), np.int64)
+        said = [joined[k].encode("utf-8", "surrogatepass") for k in odd.tolist()]
+        width[odd] = [len(x) for x in said]
+        node = np.cumsum(width) - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        found = found[own[found[:, 0]]]  # a separator that the vocabulary spells is none of a chunk's
+        target, source, piece = node[found[:, 0]], node[found[:, 0] - self.length[found[:, 1]]], found[:, 1]
+        if len(odd):
+            byte = np.concatenate([np.frombuffer(x, np.uint8) for x in said])
+            last = np.repeat(node[odd], width[odd])
+            into = last - np.repeat(width[odd], width[odd]) + 1 + np.arange(len(byte)) - np.repeat(np.cumsum(width[odd]) - width[odd], width[odd])
+            target, source, piece = np.concatenate((target, into)), np.concatenate((source, into - 1)), np.concatenate((piece, self.byte_id[byte]))
+        root = np.zeros(node[-1] + 1, np.int64)
+        root[node[roots]] = node[roots]
+        root = np.maximum.accumulate(root)
+        return target, source, piece, root, node[np.concatenate((roots[1:] - 1, [len(points) - 1]))]
+
+    def filtered(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """Forward filtering of many chunks at once: (target, source, piece, chance given the target, root, ends).
+
+        Arcs are taken by their targets' distance from the root, so all sources are done before them.
+        """
+        target, source, piece, root, ends = self.arcs_of(chunks)
+        depth = target - root[target]
+        by = np.lexsort((piece, target, depth))
+        target, source, piece, depth = target[by], source[by], piece[by], depth[by]
+        weight, alpha, chance = self.weight[piece], np.zeros(len(root)), np.empty(len(target))
+        first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
+        segment = np.cumsum(np.concatenate(([0], target[1:] != target[:-1])))
+        levels = np.searchsorted(depth, np.arange(1, depth[-1] + 2)) if len(depth) else np.zeros(1, np.int64)
+        for lo, hi in zip(levels[:-1].tolist(), levels[1:].tolist()):
+            a, b = segment[lo], segment[hi - 1] + 1
+            heads, inner = first[a:b] - lo, segment[lo:hi] - a
+            score = alpha[source[lo:hi]] + weight[lo:hi]
+            top = np.maximum.reduceat(score, heads)
+            part = np.exp(score - top[inner])
+            total = np.add.reduceat(part, heads)
+            alpha[target[first[a:b]]] = top + np.log(total)
+            chance[lo:hi] = part / total[inner]
+        return target, source, piece, chance, root, ends
+
+    def keep(self, chunks: list[str]) -> None:
+        """Stores the lattices of new chunks."""
+        target, source, piece, chance, root, ends = self.filtered(chunks)
+        by = np.argsort(target, kind="stable")
+        target, source, piece, chance = target[by], source[by], piece[by], chance[by]
+        start = np.concatenate(([True], target[1:] != target[:-1]))
+        at = np.flatnonzero(start)
+        rank = np.arange(len(target)) - at[np.cumsum(start) - 1]
+        total = chance.copy()
+        for r in range(1, int(rank.max(initial=0)) + 1):
+            k = np.flatnonzero(rank == r)
+            total[k] += total[k - 1]
+        share = np.round(total * (1 << BITS)).astype(np.int64)
+        share[np.concatenate((at[1:] - 1, [len(target) - 1]))] = 1 << BITS
+        n = len(target)
+        while self.arcs + n > len(self.upto):
+            self.upto, self.arc_id, self.arc_from = (np.concatenate((x, np.zeros_like(x))) for x in (self.upto, self.arc_id, self.arc_from))
+        own = slice(self.arcs, self.arcs + n)
+        self.upto[own] = ((target + self.states) << BITS) + share
+        self.arc_id[own], self.arc_from[own] = piece, np.where(root[source] == source, 0, source + self.states)
+        self.known.update(zip(chunks, (ends + self.states).tolist()))
+        self.states, self.arcs = self.states + len(root), self.arcs + n
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text: from the end of each chunk an arc is drawn by its chance, back to the start."""
-        if self.states > self.keep_states:
-            self.clear()
         chunks = [CHUNK.findall(t) for t in texts]
-        known, keep = self.known, self._keep
-        state = np.array([known[c] if c in known else keep(c) for words in chunks for c in words], np.int64)
+        before = self.states, self.arcs
+        if fresh := list(set().union(*chunks) - self.known.keys()):
+            self.keep(fresh)
+        at = np.array([k for words in chunks for k in map(self.known.__getitem__, words)], np.int64)
         sizes = np.array([len(c) for c in chunks], np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         seed = seeds[row]
-        active, at, got, step = np.arange(len(row)), state, [], 0
+        active, got, step = np.arange(len(row)), [], 0
         while len(active):
-            arc = np.searchsorted(self.cdf[: self.arcs], at + uniform(seed[active], place[active], step), side="right")
-            arc = np.minimum(arc, self.arc_end[at] - 1)
+            arc = np.searchsorted(self.upto[: self.arcs], (at << BITS) + uniform(seed[active], place[active], step), side="right")
             got.append((active, self.arc_id[arc]))
             at = self.arc_from[arc]
             active, at, step = active[at > 0], at[at > 0], step + 1
+        if self.states > self.keep_states:  # the first chunks stay, later ones are used once
+            self.states, self.arcs = before
+            for c in fresh:
+                del self.known[c]
         if not got:
             return [np.zeros(0, np.int32) for _ in texts]
         owner, ids = np.concatenate([o for o, _ in reversed(got)]), np.concatenate([i for _, i in reversed(got)])
