@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -16,44 +17,119 @@ from pyspark.sql import functions as F
 from pointweave.llm.common import cut, portions
 
 
+#: Stands for the end of a word; no UTF-8 text holds this byte.
+END = b"\xff"
+#: Marks that are a run of their own after letters.
+MARKS = (".", ",", ";", ":", "!", "?")
+
+
+class Merges:
+    """A vocabulary of byte pairs with word ends, as ranks of byte strings for a faster encoder of single words.
+
+    That encoder joins whatever neighbours spell the string of the least rank, the vocabulary only the pair
+    that a merge lists. Both agree unless a token is spelled by another pair on the way. unlisted holds
+    the tokens whose own spelling from bytes takes such a step; a word without them took none.
+    """
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            model = json.load(f)["model"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+        def spelled(token: str) -> bytes:
+            core = token.removesuffix("</w>")
+            return bytes(byte_of[c] for c in core) + (END if core != token else b"")
+
+        self.ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + END: 256 + b for b in range(255)}
+        self.pairs: dict[bytes, tuple[bytes, bytes]] = {bytes([b]) + END: (bytes([b]), END) for b in range(255)}
+        for k, pair in enumerate(model["merges"]):
+            left, right = map(spelled, pair.split(" ") if isinstance(pair, str) else pair)
+            self.ranks[left + right] = 512 + k
+            self.pairs[left + right] = (left, right)
+        names = {self.ranks[x]: i for t, i in model["vocab"].items() if all(c in byte_of for c in t.removesuffix("</w>")) and (x := spelled(t)) in self.ranks}
+        self.id_bytes = [names[r].to_bytes(4, "little") if r in names else b"" for r in range(max(self.ranks.values()) + 1)]
+
+    def unlisted(self) -> frozenset[int]:
+        """Ranks of the tokens that a word has to be without; found token by token, once."""
+        out, ranks, none = set(), self.ranks, 1 << 60
+        for token, rank in ranks.items():
+            parts = [bytes([b]) for b in token]
+            while len(parts) > 1:
+                found = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+                best = min(found)
+                i = found.index(best)
+                if best == none or self.pairs.get(parts[i] + parts[i + 1]) != (parts[i], parts[i + 1]):
+                    out.add(rank)
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return frozenset(out)
+
+
+@lru_cache(maxsize=4)
+def unlisted(path: str) -> frozenset[int]:
+    return Merges(path).unlisted()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, with the words' ids kept.
 
     White space separates words and yields no ids, so a text's ids are its words' ids in order. Only
     space, tab, line feed and carriage return split; whatever else is white space stays inside a word
-    and is left to the tokenizer. Words beyond the first keep_words are encoded anew each time.
+    and is left to the tokenizer. Words beyond the first keep_words are encoded anew each time. Plain
+    words, letters and at most one mark after them, go to the faster encoder of single words.
     """
 
-    def __init__(self, path: str, keep_words: int = 300_000):
+    def __init__(self, path: str, unlisted: frozenset[int], keep_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_words, self.known = Tokenizer.from_file(path), keep_words, {}
+        merges = Merges(path)
+        # a word with an unlisted token gets None among its parts, which join() refuses
+        self.id_bytes = [None if r in unlisted or not x else x for r, x in enumerate(merges.id_bytes)]
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=merges.ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         fresh = list(set().union(*split) - self.known.keys())
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))} if fresh else {}
-        self.known.update(new)
+        self._learn(fresh)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for w in fresh[: max(0, len(self.known) - self.keep_words)]:
             del self.known[w]
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        known, of, piece, other = self.known, self.id_bytes.__getitem__, self.piece, []
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
+            # letters up to here lower-case one by one and compose with none of their neighbours
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                try:
+                    known[w] = b"".join(map(of, piece(core.lower().encode() + END) + (piece(mark.encode() + END) if mark else [])))
+                    continue
+                except TypeError:
+                    pass
+            other.append(w)
+        if other:
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, unlisted: frozenset[int]) -> WordEncoder:
     """One encoder for all tasks of a worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, unlisted)
 
 
 def token_pieces(df: DataFrame, path: str, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut only beyond max_len."""
+    apart = unlisted(path)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        words, end = encoder(path, apart), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for lo, hi in portions(batch.column(1)):
