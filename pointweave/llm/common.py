@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,34 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.session import cut, shared_dir
+
+__all__ = ["cut", "free_names", "parts", "portions", "shared_dir", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table; the scan reads only these."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where spark.checkpoint.dir is unset (local tests) a temporary folder is taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="pointweave-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from a reliable checkpoint: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def parts(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions for so many rows: rows_each in one, but no fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / max(1, rows_each)))
@@ -58,3 +39,15 @@ def portions(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int
         total += n
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -95,7 +95,7 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_
     """(id, lang_pred, score): the language of the largest cosine, ties to the first by name. Score: its share of
     exp(sharpness * cosine). Without a letter, a text or a profile: und, 0."""
     langs = list(profiles)
-    matrix = np.array([profiles[k] for k in langs], np.float32).reshape(len(langs), -1)
+    matrix = np.array([profiles[k] for k in langs], np.float32).reshape(len(langs), WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import text_or_empty
+from pointweave.llm.common import free_names, text_or_empty
 
 GRAM = 25
 PLACE = np.uint64((1 << 28) - 1)
@@ -99,6 +99,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def equal_prefix_classes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order, class of each row): rows are of one class if their first depth symbols are equal.
 
+    The text ends in 0; classes of rows with a 0 among those symbols mean nothing.
+
     The rows whose suffixes begin with a string w are an interval. Backward extension turns the interval
     of w into those of cw for each symbol c before its suffixes. Breadth first, all intervals of strings
     of length l give those of length l + 1: a row starts one if its symbol hasn't preceded its interval
@@ -106,7 +108,7 @@ def equal_prefix_classes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.n
     at l + 1, and the expansion stops at depth: beyond it nothing is told apart.
     """
     order = suffix_order(text, depth)
-    before = text[order - 1]  # the transform; the first suffix is preceded by the last symbol
+    before = text[order - 1]  # the transform; the first suffix is preceded by the last symbol, a 0
     rows = np.argsort(before, kind="stable")  # row by row, the rows that the extensions lead to
     symbol = before[rows]
     turn = symbol[1:] != symbol[:-1]
@@ -422,7 +424,8 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """df with its texts' repeats of smaller documents removed; rows, null texts and other columns stay."""
-    left = remove_repeats(df, id_col, text_col, least, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tag"])
-    others = df.select(*[F.col(c) for c in df.columns if c != text_col], F.xxhash64(text_or_empty(text_col)).alias("_of"), F.col(text_col).isNull().alias("_null"))
-    joined = others.join(left, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tag")), "left")
-    return joined.select(*[F.when(~F.col("_null"), F.col("_kept")).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    key, tag, kept, of, empty = free_names(df, "_id", "_tag", "_kept", "_of", "_null")
+    left = remove_repeats(df, id_col, text_col, least, keep_text=True).select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("kept").alias(kept)).dropDuplicates([key, tag])
+    others = df.select(*[F.col(c) for c in df.columns if c != text_col], F.xxhash64(text_or_empty(text_col)).alias(of), F.col(text_col).isNull().alias(empty))
+    joined = others.join(left, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(of) == F.col(tag)), "left")
+    return joined.select(*[F.when(~F.col(empty), F.col(kept)).alias(c) if c == text_col else F.col(c) for c in df.columns])
