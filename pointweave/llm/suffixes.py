@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,8 @@ def from6(x: np.ndarray) -> np.ndarray:
 class Block:
     """The anchors of a block's texts. Rows of no id and copies of another document's text take no part."""
 
-    def __init__(self, texts: pa.Table, copies: set[tuple[int, int]], least: int):
+    def __init__(self, texts: pa.Table, copies: set[tuple[int, int]], least: int, crowd: int):
+        self.least = least
         ids, tags = texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tags[i]))
         self.ids, self.tags = [ids[i] for i in order], [tags[i] for i in order]
@@ -212,32 +214,84 @@ class Block:
         self.hashes, self.sums, self.least_doc = h[self.at], c[self.at], self.doc_id[self.at]
         most = self.doc_id[np.maximum.reduceat(by, starts)] if len(by) else self.least_doc
         self.several = most != self.least_doc
+        _, anchor, contexts = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        self.crowded = contexts[anchor] > crowd  # the contexts of anchors that have more than crowd of them here
+
+    def windows(self, asked: list[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Windows one by one of the contexts of crowded anchors, here or elsewhere (asked): (the windows' numbers
+        by context, digests, least documents, whether of several documents). Numbers are those of distinct windows."""
+        number: dict[bytes, int] = {}
+        of: dict[int, np.ndarray] = {}
+        docs: list[int] = []
+        several: list[bool] = []
+        digest = xxhash.xxh3_128_digest
+        for k in np.unique(np.concatenate((np.flatnonzero(self.crowded), *asked)).astype(np.int64)).tolist():
+            at, least_doc, many, own = self.at[k], int(self.least_doc[k]), bool(self.several[k]), []
+            raw = self.raw[self.doc[at]]
+            for s in range(int(self.first[at]), int(self.last[at]) + 1):
+                n = number.setdefault(digest(raw[s : s + self.least]), len(number))
+                own.append(n)
+                if n == len(docs):
+                    docs.append(least_doc)
+                    several.append(many)
+                else:
+                    several[n] |= many or docs[n] != least_doc
+                    docs[n] = min(docs[n], least_doc)
+            of[k] = np.array(own)
+        return of, np.frombuffer(b"".join(number), "V16"), np.array(docs, np.int64), np.array(several, bool)
+
+
+#: What an announced context says of itself: that of one document, of several, or that its anchor is crowded and it stands for all.
+ONE, SEVERAL, CROWDED = 0, 1, 2
 
 
 class Shared:
-    """The contexts of a bucket whose anchor is in two documents at least."""
+    """The contexts of a bucket whose anchor is in two documents at least.
 
-    KINDS = ("V6", "V6", "<i8", "<u4", "?")
+    Those of crowded anchors are apart: their windows are to be compared one by one, each with a task of its own hash.
+    """
+
+    KINDS = ("V6", "V6", "<i8", "<u4", "u1")
 
-    def __init__(self, blobs: pa.Table):
+    def __init__(self, blobs: pa.Table, most: int):
         found = [(b, unpack(d, *self.KINDS)) for b, d in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist())]
         h, c = (from6(np.concatenate([x[k] for _, x in found])) for k in (0, 1))
-        doc, number, several = (np.concatenate([x[k] for _, x in found]) for k in (2, 3, 4))
+        doc, number, said = (np.concatenate([x[k] for _, x in found]) for k in (2, 3, 4))
         block = np.repeat(np.array([b for b, _ in found], np.int64), [len(x[0]) for _, x in found])
         by = np.lexsort((block, doc, c, h))
-        h, c, doc, number, several, block = (x[by] for x in (h, c, doc, number, several, block))
+        h, c, doc, number, said, block = (x[by] for x in (h, c, doc, number, said, block))
         group = np.concatenate(([True], h[1:] != h[:-1]))
-        at = np.flatnonzero(group)
-        shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(several, at)
-        keep = shared[np.cumsum(group) - 1]
-        h, c, self.doc, self.number, self.several, self.block = (x[keep] for x in (h, c, doc, number, several, block))
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))[: len(h)]
+        new = group | np.concatenate(([True], c[1:] != c[:-1]))
+        at, own = np.flatnonzero(group), np.cumsum(group) - 1
+        crowded = (np.maximum.reduceat(said, at) == CROWDED) | (np.add.reduceat(new.astype(np.int64), at) > most)
+        shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.maximum.reduceat(said, at) == SEVERAL)
+        apart = crowded[own] & (said != CROWDED)  # a block knows of its own crowded anchors
+        self.apart = (block[apart], number[apart])
+        keep = (shared & ~crowded)[own]
+        h, new, self.doc, self.number, self.several, self.block = (x[keep] for x in (h, new, doc, number, said == SEVERAL, block))
         self.context = np.cumsum(new) - 1  # of each entry
         self.first = np.flatnonzero(new)  # entry of the least document of each context
         heads = h[self.first]
         self.anchor = np.cumsum(np.concatenate(([True], heads[1:] != heads[:-1]))[: len(heads)]) - 1  # of each context
         self.alone = np.bincount(self.anchor, minlength=1)[self.anchor] == 1 if len(heads) else np.zeros(0, bool)
 
+    def told_apart(self) -> list[tuple[int, int, bytes]]:
+        """Notes to blocks on their contexts of anchors that are crowded elsewhere."""
+        block, number = self.apart
+        by = np.argsort(block, kind="stable")
+        return [(int(block[at[0]]), APART, pack(number[at].astype("<u4"))) for at in runs(block, by)]
+
+
+def runs(keys: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """by, an order that sorts the keys, in parts of equal keys."""
+    return np.split(by, np.flatnonzero(keys[by][1:] != keys[by][:-1]) + 1) if len(by) else []
+
+
+#: Buckets of notes that blocks get apart from answers: copies, and contexts to take window by window.
+COPIES, APART = -1, -2
+#: First bytes of what buckets get and answer: on contexts, or on single windows.
+WHOLE, SINGLE = b"c", b"w"
+
 
 NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 
@@ -247,17 +301,26 @@ def _notes(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _copies(notes: pa.Table) -> set[tuple[int, int]]:
-    """Documents that a block is told to be copies: notes of bucket -1."""
-    return {(k["id"], k["tag"]) for b, keys in zip(notes.column("bucket").to_pylist(), notes.column("copies").to_pylist()) if b == -1 for k in keys}
+    """Documents that a block is told to be copies."""
+    return {(k["id"], k["tag"]) for b, keys in zip(notes.column("bucket").to_pylist(), notes.column("copies").to_pylist()) if b == COPIES for k in keys}
+
 
+def _apart(notes: pa.Table) -> list[np.ndarray]:
+    """Contexts that a block is told to take window by window."""
+    return [unpack(d, "<u4")[0] for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b == APART]
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 3_000_000, keep_text: bool = False) -> DataFrame:
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 3_000_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False) -> DataFrame:
     """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.
     Null texts are empty; rows without an id lose nothing and take nothing; rows of one id aren't held
     against each other. tag is the XXH64 of the text, for joining on. kept, a string, drops what is left of
     characters cut in two.
+
+    A passage in very many documents gives the anchors at its ends a context of each. An anchor of more than
+    crowd contexts in a block, or most in its bucket, is crowded: no task gathers its contexts, and all blocks
+    send their windows one by one instead, by 128-bit digests to as many tasks as there are buckets.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -272,7 +335,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     light = tagged.where("doc_id IS NOT NULL").select("doc_id", "tag", F.sha2("text", 256).alias("whole"), F.octet_length("text").alias("n")).where(F.col("n") >= least)
     earliest = light.groupBy("whole").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")).where("n > 1").select("whole", "earliest")
     copies = light.join(earliest, "whole").where("doc_id <> earliest").select("doc_id", "tag", block_of.alias("block")).groupBy("block").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "tag")).alias("copies"))
-    told = copies.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), "copies")
+    told = copies.select("block", F.lit(COPIES).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), "copies")
     no_copies = F.lit(None).cast("array<struct<id:bigint,tag:bigint>>").alias("copies")
 
     def in_blocks(notes: DataFrame, run, schema: str) -> DataFrame:
@@ -284,34 +347,32 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def announce(texts: pa.Table, notes: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _notes([])
-        own = Block(texts, _copies(notes), least)
+        own = Block(texts, _copies(notes), least, crowd)
         number = texts.column("block")[0].as_py()
+        said = np.where(own.crowded, CROWDED, np.where(own.several, SEVERAL, ONE)).astype(np.uint8)
+        _, once = np.unique(own.hashes, return_index=True)
+        tell = ~own.crowded
+        tell[once] = True  # one for all contexts of a crowded anchor
+        tell = np.flatnonzero(tell)
         bucket = (own.hashes >> np.uint64(40)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")
-        out, cuts = [], np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1])))[: len(by)]
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
-            at = by[lo:hi]
-            out.append((number, int(bucket[at[0]]), pack(low6(own.hashes[at]), low6(own.sums[at]), own.least_doc[at], at.astype("<u4"), own.several[at])))
-        return _notes(out)
+        return _notes([(number, int(bucket[at[0]]), pack(low6(own.hashes[at]), low6(own.sums[at]), own.least_doc[at], at.astype("<u4"), said[at])) for at in runs(bucket, tell[np.argsort(bucket[tell], kind="stable")])])
 
     announced = in_blocks(told, announce, note).repartition(buckets, "bucket")
 
     def ask(blobs: pa.Table) -> pa.Table:
-        shared = Shared(blobs)
+        shared = Shared(blobs, most)
         wanted = np.flatnonzero(~shared.alone)
-        entry = shared.first[wanted]
-        by = np.argsort(shared.block[entry], kind="stable")
-        block = shared.block[entry[by]]
-        bucket = blobs.column("bucket")[0].as_py()
-        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))[: len(by)]
-        return _notes([(int(block[lo]), bucket, pack(shared.number[entry[by[lo:hi]]].astype("<u4"), wanted[by[lo:hi]].astype("<u4"))) for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)])])
+        entry, bucket = shared.first[wanted], blobs.column("bucket")[0].as_py()
+        block = shared.block[entry]
+        asks = [(int(block[at[0]]), bucket, pack(shared.number[entry[at]].astype("<u4"), wanted[at].astype("<u4"))) for at in runs(block, np.argsort(block, kind="stable"))]
+        return _notes(asks + shared.told_apart())
 
     asked = announced.groupBy("bucket").applyInArrow(ask, note)
 
     def supply(texts: pa.Table, notes: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _notes([])
-        own, out = Block(texts, _copies(notes), least), []
+        own, out = Block(texts, _copies(notes), least, crowd), []
         number = texts.column("block")[0].as_py()
         for bucket, data in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()):
             if bucket >= 0:
@@ -320,23 +381,33 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 first, end, doc = own.first[at], own.last[at] + least, own.doc[at]
                 said = b"".join([own.raw[d][a:b] for d, a, b in zip(doc.tolist(), first.tolist(), end.tolist())])
                 head = pack(names.astype("<u4"), (end - first).astype("<u4"))
-                out.append((number, bucket, len(head).to_bytes(4, "little") + head + pack(np.frombuffer(said, np.uint8))))
+                out.append((number, bucket, WHOLE + len(head).to_bytes(4, "little") + head + pack(np.frombuffer(said, np.uint8))))
+        _, digests, docs, several = own.windows(_apart(notes))
+        if len(digests):
+            bucket = np.frombuffer(digests.tobytes(), "<u8")[::2] % np.uint64(buckets)
+            out += [(number, int(bucket[at[0]]), SINGLE + pack(digests[at], docs[at], at.astype("<u4"), several[at])) for at in runs(bucket, np.argsort(bucket, kind="stable"))]
         return _notes(out)
 
     supplied = in_blocks(asked.select("block", "bucket", "data", no_copies).unionByName(told), supply, note)
 
     def answer(blobs: pa.Table, supplies: pa.Table) -> pa.Table:
-        if not blobs.num_rows:
-            return _notes([])
-        shared = Shared(blobs)
-        lowest = shared.doc[shared.first]
         texts: dict[int, bytes] = {}
-        for data in supplies.column("contexts").to_pylist():
-            n = int.from_bytes(data[:4], "little")
-            names, lengths = unpack(data[4 : 4 + n], "<u4", "<u4")
-            said = unpack(data[4 + n :], "u1")[0].tobytes()
+        singles: list[tuple[int, list[np.ndarray]]] = []
+        for block, data in zip(supplies.column("of_block").to_pylist(), supplies.column("contexts").to_pylist()):
+            if data[:1] == SINGLE:
+                singles.append((block, unpack(data[1:], "V16", "<i8", "<u4", "?")))
+                continue
+            n = int.from_bytes(data[1:5], "little")
+            names, lengths = unpack(data[5 : 5 + n], "<u4", "<u4")
+            said = unpack(data[5 + n :], "u1")[0].tobytes()
             ends = np.cumsum(lengths.astype(np.int64)).tolist()
             texts.update({k: said[e - m : e] for k, e, m in zip(names.tolist(), ends, lengths.tolist())})
+        out = single_answers(singles)
+        if not blobs.num_rows:
+            return _notes(out)
+        shared = Shared(blobs, most)
+        out += shared.told_apart()
+        lowest = shared.doc[shared.first]
         minima: dict[int, np.ndarray] = {}
         names = sorted(texts)
         lo = 0
@@ -348,27 +419,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = names[lo:hi]
             minima.update(zip(own, window_minima([texts[k] for k in own], lowest[own], least)))
             lo = hi
-        flat = lowest.copy()  # the one least document of all windows of a context, or -1 if they differ
+        flat = lowest.copy()  # the one least document of all windows of a context, or NONE if they differ
         for k, m in minima.items():
             flat[k] = m[0] if (m == m[0]).all() else NONE
         varied = {k: m for k, m in minima.items() if flat[k] == NONE}
-        some_less = np.zeros(len(flat), np.int64) + flat
+        some_less = flat.copy()
         for k, m in varied.items():
             some_less[k] = m.min()
         tell = np.flatnonzero(shared.several | (some_less[shared.context] < shared.doc))
-        by = tell[np.argsort(shared.block[tell], kind="stable")]
-        block = shared.block[by]
-        cuts, out = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))[: len(by)], []
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
-            at = by[lo:hi]
+        for at in runs(shared.block, tell[np.argsort(shared.block[tell], kind="stable")]):
             context = shared.context[at]
             more = [varied[k] for k in context.tolist() if k in varied]
             counts = np.array([len(varied[k]) if k in varied else 0 for k in context.tolist()], "<u4")
             head = pack(shared.number[at].astype("<u4"), flat[context], counts)
-            out.append((int(block[lo]), 0, len(head).to_bytes(4, "little") + head + pack(np.concatenate(more) if more else np.zeros(0, np.int64))))
+            out.append((int(shared.block[at[0]]), 0, WHOLE + len(head).to_bytes(4, "little") + head + pack(np.concatenate(more) if more else np.zeros(0, np.int64))))
         return _notes(out)
 
-    contexts = supplied.select(F.col("bucket").alias("to_bucket"), F.col("data").alias("contexts")).repartition(buckets, "to_bucket")
+    contexts = supplied.select(F.col("bucket").alias("to_bucket"), F.col("block").alias("of_block"), F.col("data").alias("contexts")).repartition(buckets, "to_bucket")
     answered = announced.groupBy("bucket").cogroup(contexts.groupBy("to_bucket")).applyInArrow(answer, note)
 
     result = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
@@ -378,19 +445,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = [x.split()[0] for x in result.split(", ")]
         found: list[tuple] = []
         if texts.num_rows:
-            own = Block(texts, _copies(notes), least)
+            own = Block(texts, _copies(notes), least, crowd)
             flat = np.full(len(own.at), NONE)
             varied: dict[int, np.ndarray] = {}
+            numbers, digests, _, _ = own.windows(_apart(notes))
+            single = np.full(len(digests), NONE)
             for bucket, data in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()):
                 if bucket < 0:
                     continue
-                n = int.from_bytes(data[:4], "little")
-                number, lowest, counts = unpack(data[4 : 4 + n], "<u4", "<i8", "<u4")
+                if data[:1] == SINGLE:
+                    number, lowest = unpack(data[1:], "<u4", "<i8")
+                    single[number] = lowest
+                    continue
+                n = int.from_bytes(data[1:5], "little")
+                number, lowest, counts = unpack(data[5 : 5 + n], "<u4", "<i8", "<u4")
                 flat[number] = lowest
-                more, at = unpack(data[4 + n :], "<i8")[0], 0
+                more, at = unpack(data[5 + n :], "<i8")[0], 0
                 for k in np.flatnonzero(counts).tolist():
                     varied[int(number[k])] = more[at : at + counts[k]]
                     at += int(counts[k])
+            varied.update({k: single[own_windows] for k, own_windows in numbers.items()})
             gone: dict[int, list[tuple[int, int]]] = {}
             for k in np.flatnonzero(flat[own.context] < own.doc_id).tolist():
                 gone.setdefault(int(own.doc[k]), []).append((int(own.first[k]), int(own.last[k]) + least))
@@ -411,6 +485,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return in_blocks(answered.select("block", "bucket", "data", no_copies).unionByName(told), finish, result)
 
 
+def single_answers(singles: list[tuple[int, list[np.ndarray]]]) -> list[tuple[int, int, bytes]]:
+    """Notes to blocks on the least document of each of their single windows, where that tells them something."""
+    if not singles:
+        return []
+    digest, doc, number, several = (np.concatenate([x[k] for _, x in singles]) for k in range(4))
+    block = np.repeat(np.array([b for b, _ in singles], np.int64), [len(x[0]) for _, x in singles])
+    high, low = np.frombuffer(digest.tobytes(), "<u8").reshape(-1, 2).T
+    by = np.lexsort((low, high))
+    new = np.concatenate(([True], (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])))
+    lowest = np.empty(len(by), np.int64)
+    lowest[by] = np.minimum.reduceat(doc[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+    tell = np.flatnonzero(several | (lowest < doc))
+    return [(int(block[at[0]]), 0, SINGLE + pack(number[at].astype("<u4"), lowest[at])) for at in runs(block, tell[np.argsort(block[tell], kind="stable")])]
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of what the spans cover."""
     out: list[tuple[int, int]] = []

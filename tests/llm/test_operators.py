@@ -223,8 +223,9 @@ def brute_repeats(rows, least=50):
     return sorted(out, key=str)
 
 
-def test_repeats_equal_brute_force(docs):
-    found = suffixes.remove_repeats(docs, block_bytes=20_000, bucket_bytes=10_000)
+@pytest.mark.parametrize(("crowd", "most"), [(64, 50_000), (1, 50_000), (64, 1), (0, 0)])
+def test_repeats_equal_brute_force(docs, crowd, most):
+    found = suffixes.remove_repeats(docs, block_bytes=20_000, bucket_bytes=10_000, crowd=crowd, most=most)
     assert table(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(awkward())
 
 
