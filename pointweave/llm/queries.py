@@ -39,7 +39,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("tag")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,7 @@ class Block:
         self.least = least
         ids, tags = texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tags[i]))
+        self.order = order
         self.ids, self.tags = [ids[i] for i in order], [tags[i] for i in order]
         column = texts.column("text").combine_chunks()
         self.raw = [column[i].as_py().encode("utf-8", "surrogatepass") for i in order]
@@ -310,24 +311,24 @@ def _apart(notes: pa.Table) -> list[np.ndarray]:
     return [unpack(d, "<u4")[0] for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b == APART]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 3_000_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False) -> DataFrame:
-    """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 3_000_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], c0, c1, ...) of each row; c0 and on are the columns to carry.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.
     Null texts are empty; rows without an id lose nothing and take nothing; rows of one id aren't held
-    against each other. tag is the XXH64 of the text, for joining on. kept, a string, drops what is left of
-    characters cut in two.
+    against each other. kept, a string, drops what is left of characters cut in two.
 
     A passage in very many documents gives the anchors at its ends a context of each. An anchor of more than
     crowd contexts in a block, or most in its bucket, is crowded: no task gathers its contexts, and all blocks
     send their windows one by one instead, by 128-bit digests to as many tasks as there are buckets.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *carried)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, buckets = (max(floor, math.ceil(total / n)) for n in (block_bytes, bucket_bytes))
-    tagged = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    tagged = rows.withColumn("tag", F.xxhash64("text"))  # tells rows of one id apart
     block_of = F.pmod(F.xxhash64(F.coalesce("doc_id", "tag"), F.lit("block")), F.lit(blocks))
     base = tagged.withColumn("block", block_of).repartition(blocks, "block")
 
@@ -438,12 +439,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = supplied.select(F.col("bucket").alias("to_bucket"), F.col("block").alias("of_block"), F.col("data").alias("contexts")).repartition(buckets, "to_bucket")
     answered = announced.groupBy("bucket").cogroup(contexts.groupBy("to_bucket")).applyInArrow(answer, note)
 
-    result = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    own_columns = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * keep_text
+    extra = [f"c{k}" for k in range(len(carry))]
+    result = ", ".join(own_columns + [f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra])
 
     def finish(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        kinds = (pa.int64(),) * 5 + (pa.string(),) * (1 + keep_text)
-        names = [x.split()[0] for x in result.split(", ")]
+        kinds = (pa.int64(),) * 4 + (pa.string(),) * (1 + keep_text)
+        names = [x.split()[0] for x in own_columns]
         found: list[tuple] = []
+        order: list[int] = []
         if texts.num_rows:
             own = Block(texts, _copies(notes), least, crowd)
             flat = np.full(len(own.at), NONE)
@@ -479,8 +483,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     left.append(raw[at:a])
                     at = b
                 kept = b"".join((*left, raw[at:]))
-                found.append((own.ids[d], own.tags[d], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else ())))
-        return pa.table([pa.array(list(c), k) for c, k in zip(list(zip(*found)) or [()] * len(names), kinds)], names=names)
+                found.append((own.ids[d], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else ())))
+            order = own.order
+        columns = [pa.array(list(c), k) for c, k in zip(list(zip(*found)) or [()] * len(names), kinds)]
+        return pa.table(columns + [texts.column(c).take(pa.array(order, pa.int64())) for c in extra], names=names + extra)
 
     return in_blocks(answered.select("block", "bucket", "data", no_copies).unionByName(told), finish, result)
 
@@ -513,8 +519,8 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """df with its texts' repeats of smaller documents removed; rows, null texts and other columns stay."""
-    key, tag, kept, of, empty = free_names(df, "_id", "_tag", "_kept", "_of", "_null")
-    left = remove_repeats(df, id_col, text_col, least, keep_text=True).select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("kept").alias(kept)).dropDuplicates([key, tag])
-    others = df.select(*[F.col(c) for c in df.columns if c != text_col], F.xxhash64(text_or_empty(text_col)).alias(of), F.col(text_col).isNull().alias(empty))
-    joined = others.join(left, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(of) == F.col(tag)), "left")
-    return joined.select(*[F.when(~F.col(empty), F.col(kept)).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    others = tuple(c for c in df.columns if c != text_col)
+    (empty,) = free_names(df, "_null")
+    found = remove_repeats(df.withColumn(empty, F.col(text_col).isNull()), id_col, text_col, least, keep_text=True, carry=(*others, empty))
+    place = {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    return found.select(*[(F.when(~F.col(f"c{len(others)}"), F.col("kept")) if c == text_col else place[c]).alias(c) for c in df.columns])
