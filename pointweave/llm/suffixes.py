@@ -311,7 +311,7 @@ def _apart(notes: pa.Table) -> list[np.ndarray]:
     return [unpack(d, "<u4")[0] for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b == APART]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 3_000_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 1_500_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], c0, c1, ...) of each row; c0 and on are the columns to carry.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.
