@@ -5,27 +5,44 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.vectors import l2
-from pointweave.operators.distances import distances_to
+from pointweave.operators.distances import distances_to, rows_of
 from pointweave.operators.tables import RID
 
 
-def silhouettes(labelled: DataFrame) -> DataFrame:
-    """(rid, s) of each point: exact, so quadratic, meant for at most a thousand or so strided rows.
+def silhouettes(labelled: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """(rid, s) of each point: exact, so its work is quadratic, meant for at most a thousand or so strided rows.
 
-    A point alone in its cluster has a = 0 and s = 1; without another cluster b is as large as can be.
+    Blocks of points meet shards of them; a pair of these sends a sum a point and cluster, not its distances. A
+    point alone in its cluster has a = 0 and s = 1; without another cluster b is as large as can be.
     """
-    a = labelled.select(F.col(RID).alias("i"), F.col("x").alias("xi"), F.col("cluster").alias("ci"))
-    b = labelled.select(F.col(RID).alias("j"), F.col("x").alias("xj"), F.col("cluster").alias("cj"))
-    apart = a.join(b, F.col("i") != F.col("j")).select("i", "ci", "cj", l2(F.col("xi"), F.col("xj")).alias("d"))
-    means = apart.groupBy("i", "ci", "cj").agg(F.avg("d").alias("m"))
-    sides = means.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
+    n = max(1, math.ceil(labelled.count() / block_rows))
+    part = F.pmod(F.xxhash64(RID), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = labelled.select(RID, "x", "cluster", part.alias("block")).withColumn("shard", every)
+    others = labelled.select(F.col("x").alias("ox"), F.col("cluster").alias("cj"), part.alias("of_shard")).withColumn("of_block", every)
+
+    def meet(own: pa.Table, against: pa.Table) -> pa.Table:
+        if not own.num_rows or not against.num_rows:
+            return pa.table({"rid": pa.array([], pa.int64()), "ci": pa.array([], pa.int32()), "cj": pa.array([], pa.int32()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        x, y = rows_of(own.column("x")), rows_of(against.column("ox"))
+        clusters, which = np.unique(against.column("cj").to_numpy(), return_inverse=True)
+        sums = np.array([np.bincount(which, weights=np.sqrt(distances_to(y, p[None, :])[:, 0]), minlength=len(clusters)) for p in x])
+        k = len(clusters)
+        return pa.table({"rid": np.repeat(own.column("rid").to_numpy(), k), "ci": np.repeat(own.column("cluster").to_numpy(), k).astype(np.int32), "cj": np.tile(clusters, len(x)).astype(np.int32), "d": sums.ravel(), "n": np.tile(np.bincount(which), len(x))})
+
+    met = asking.groupBy("block", "shard").cogroup(others.groupBy("of_block", "of_shard")).applyInArrow(meet, "rid long, ci int, cj int, d double, n long")
+    own = F.col("ci") == F.col("cj")
+    totals = met.groupBy(RID, "ci", "cj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    mean = F.when(own, F.try_divide("d", F.col("n") - 1)).otherwise(F.col("d") / F.col("n"))
+    sides = totals.groupBy(RID).agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     inner, outer = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(3.4028234663852886e38))
     widest = F.greatest(inner, outer)
-    return sides.select(F.col("i").alias(RID), F.when(widest > 0, (outer - inner) / widest).otherwise(0.0).alias("s"))
+    return sides.select(RID, F.when(widest > 0, (outer - inner) / widest).otherwise(0.0).alias("s"))
 
 
 def silhouette(labelled: DataFrame, k: int) -> float:

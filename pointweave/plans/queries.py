@@ -242,9 +242,9 @@ def constant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.constant(part(spark, sf_dir), 2.5)
 
 
-@query("sort_rows", f"SELECT CAST(rid AS BIGINT) AS rid, value FROM ({GAPS_SQL}) ORDER BY value DESC NULLS LAST, rid LIMIT 100")
+@query("sort_rows", f"SELECT CAST(rid AS BIGINT) AS rid, value FROM ({GAPS_SQL})")
 def sort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.sort_rows(gaps(spark, sf_dir).select(RID, "value"), "value", descending=True).limit(100)
+    return tables.sort_rows(gaps(spark, sf_dir).select(RID, "value"), "value", descending=True)
 
 
 @query("page_rows", f"SELECT CAST(rid AS BIGINT) AS rid, size, price FROM ({PART_SQL}) WHERE rid BETWEEN 100 AND 149")
@@ -415,10 +415,9 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.nearest_centroid(e, label_centres(e)))
 
 
-@query("all_pairs", f"WITH emb AS ({EMB_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid AND a.rid < 100 AND b.rid < 100")
+@query("all_pairs", f"WITH emb AS ({EMB_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid")
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first rows: the operator is for samples."""
-    return rounded(distances.all_pairs(emb(spark, sf_dir).where("rid < 100")))
+    return rounded(distances.all_pairs(emb(spark, sf_dir)))
 
 
 @query("range_pairs", f"WITH p AS ({SUPPLIER_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) + 0.0 AS d2 FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 0.16")
@@ -427,16 +426,16 @@ def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.range_pairs(z, 0.4, 2))
 
 
-@query("knn", f"WITH emb AS ({EMB_SQL}), d AS (SELECT a.rid AS query, b.rid, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.x, b.x), b.rid) AS rank FROM emb a, emb b WHERE a.rid % 10 = 0) SELECT CAST(query AS BIGINT) AS query, CAST(rank AS INTEGER) AS rank, CAST(rid AS BIGINT) AS rid, round(dist, 6) + 0.0 AS dist FROM d WHERE rank <= 5")
+@query("knn", f"WITH emb AS ({EMB_SQL}), d AS (SELECT a.rid AS query, b.rid, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.x, b.x), b.rid) AS rank FROM emb a, emb b) SELECT CAST(query AS BIGINT) AS query, CAST(rank AS INTEGER) AS rank, CAST(rid AS BIGINT) AS rid, round(dist, 6) + 0.0 AS dist FROM d WHERE rank <= 5")
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = emb(spark, sf_dir)
-    return rounded(distances.nearest(e, e.where("rid % 10 = 0"), 5))
+    return rounded(distances.nearest(e, e, 5))
 
 
-@query("nearest_training_point", f"WITH emb AS ({EMB_SQL}), d AS (SELECT a.rid AS query, b.rid, row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.x, b.x), b.rid) AS r FROM emb a, emb b WHERE a.rid % 2 = 1 AND b.rid % 2 = 0) SELECT CAST(query AS BIGINT) AS query, CAST(rid AS BIGINT) AS rid FROM d WHERE r = 1")
+@query("nearest_training_point", f"WITH emb AS ({EMB_SQL}), q AS (SELECT rid, list_transform(x, lambda v: -v) AS x FROM emb), d AS (SELECT a.rid AS query, b.rid, row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.x, b.x), b.rid) AS r FROM q a, emb b) SELECT CAST(query AS BIGINT) AS query, CAST(rid AS BIGINT) AS rid FROM d WHERE r = 1")
 def nearest_training_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = emb(spark, sf_dir)
-    return distances.nearest(e.where("rid % 2 = 0"), e.where("rid % 2 = 1"), 1).select("query", RID)
+    return distances.nearest(e, e.select(RID, F.transform("x", lambda v: -v).alias("x")), 1).select("query", RID)
 
 
 # --- k-means
@@ -511,10 +510,10 @@ def kmeans_partial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(float(model.centroids[0, 0]),)], "centroid double"))
 
 
-@query("minibatch_update", "SELECT round(avg(value), 6) + 0.0 AS centroid FROM events WHERE event_id < 500")
+@query("minibatch_update", "SELECT round(avg(value), 6) + 0.0 AS centroid FROM events")
 def minibatch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cluster and a list of 500 draws: each update takes 1 / n of the way, so the centroid is their mean."""
-    rows = read(spark, sf_dir, "events").where("event_id < 500").orderBy("event_id").select("value").toArrow()
+    """One cluster and a list of draws, each row once: an update takes 1 / n of the way, so the centroid is their mean."""
+    rows = read(spark, sf_dir, "events").orderBy("event_id").select("value").toArrow()
     model = kmeans.mini_batch_update(kmeans.fixed([[0.0]]), rows.column("value").to_numpy()[:, None])
     return rounded(spark.createDataFrame([(float(model.centroids[0, 0]),)], "centroid double"))
 
@@ -749,7 +748,7 @@ def tsne_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tsne_embedding")
 def tsne_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.head(emb(spark, sf_dir).select(RID, "x"), 200)
+    e = tables.head(emb(spark, sf_dir).select(RID, "x"), tsne.MOST_ROWS)
     return tsne.fit(e, tsne.TSNEConfig(perplexity=10, iterations=100)).embedding
 
 
