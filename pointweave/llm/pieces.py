@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +38,67 @@ def uniform(seed: np.ndarray, occurrence: np.ndarray, step: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = mix(seed + np.uint64(0x9E3779B97F4A7C15) * (occurrence.astype(np.uint64) + np.uint64(1)))
         x = mix(x + np.uint64(0xD1B54A32D192ED03) * np.uint64(step + 1))
-    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+    return (x >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+class Trie:
+    """Strings to be found at every place of a text at once: one step of all places that still match, for each length.
+
+    The commonest characters have a column in a dense table of transitions, others a sorted list.
+    """
+
+    COLUMNS = 128
+
+    def __init__(self, words: dict[str, int]):
+        node, edges = {"": 0}, []
+        for word in words:
+            for n in range(1, len(word) + 1):
+                if word[:n] not in node:
+                    node[word[:n]] = len(node)
+                    edges.append((node[word[: n - 1]], ord(word[n - 1]), node[word[:n]]))
+        source, char, target = np.array(edges, np.int64).reshape(-1, 3).T
+        self.word = np.full(len(node), -1, np.int64)
+        self.word[[node[w] for w in words]] = list(words.values())
+        seen, counts = np.unique(char, return_counts=True)
+        common = seen[np.argsort(-counts, kind="stable")[: self.COLUMNS - 1]]
+        self.column = np.zeros(0x110000, np.uint8)
+        self.column[common] = np.arange(1, len(common) + 1)
+        self.next = np.zeros((len(node), self.COLUMNS), np.int32)  # 0: no such string
+        dense = self.column[char] > 0
+        self.next[source[dense], self.column[char[dense]]] = target[dense]
+        keys = source[~dense] << 21 | char[~dense]
+        by = np.argsort(keys)
+        self.keys, self.targets = keys[by], target[~dense][by]
+        self.rare = np.zeros(0x110000, bool)
+        self.rare[char[~dense]] = True
+
+    def step(self, node: np.ndarray, points: np.ndarray) -> np.ndarray:
+        out = self.next[node, self.column[points]]
+        rare = np.flatnonzero(self.rare[points])
+        if len(rare):
+            key = node[rare].astype(np.int64) << 21 | points[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.targets[at], 0)
+        return out
+
+    def find(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last place, place before the first, word) of every occurrence."""
+        start, node, length = np.arange(len(points)), np.zeros(len(points), np.int32), 0
+        ends, starts, words = [], [], []
+        while len(start):
+            node = self.step(node, points[start + length])
+            alive = node > 0
+            start, node = start[alive], node[alive]
+            word = self.word[node]
+            at = np.flatnonzero(word >= 0)
+            ends.append(start[at] + length)
+            starts.append(start[at] - 1)
+            words.append(word[at])
+            length += 1
+            inside = start + length < len(points)
+            if not inside.all():
+                start, node = start[inside], node[inside]
+        return np.concatenate(ends), np.concatenate(starts), np.concatenate(words)
 
 
 class PieceSampler:
@@ -50,11 +109,10 @@ class PieceSampler:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = []
-        n, singles = model.get_piece_size(), set()
+        n = model.get_piece_size()
         self.byte_id, self.weight, self.length = np.zeros(256, np.int64), np.zeros(n), np.zeros(n, np.int64)
-        self.automaton = ahocorasick.Automaton()
-        ranked = 0
-        for i in range(model.get_piece_size()):
+        ranked, words = 0, {}
+        for i in range(n):
             said = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes_of.append(bytes([int(said[3:-1], 16)]))
@@ -65,22 +123,22 @@ class PieceSampler:
                 ranked += 1
                 shown = said.replace("▁", " ")
                 self.bytes_of.append(shown.encode())
-                if re.search("[^ ] ", shown):
-                    raise ValueError(f"piece {said!r} has a space after another character")
+                if re.search("[^ ] ", shown) or "\0" in shown:
+                    raise ValueError(f"piece {said!r} has a space after another character, or a NUL")
                 # scores are merge ranks: by Zipf's law the chance falls with the rank, and a single letter is the last resort
-                self.weight[i] = sharpness * -math.log(ranked + 10) if len(shown) > 1 else sharpness * -math.log(model.get_piece_size())
+                self.weight[i] = sharpness * -math.log(ranked + 10) if len(shown) > 1 else sharpness * -math.log(n)
                 self.length[i] = len(shown)
-                self.automaton.add_word(shown, i)
-                if len(shown) == 1:
-                    singles.add(shown)
-        self.automaton.make_automaton()
-        self.singles, self.keep_states = singles, keep_states
+                words[shown] = i
+        self.trie, self.keep_states = Trie(words), keep_states
+        self.singles = {w for w in words if len(w) == 1}
+        self.spelled = np.zeros(0x110000, bool)
+        self.spelled[[ord(c) for c in self.singles]] = True
         self.clear()
 
     def clear(self) -> None:
         """Forgets all chunks. Arcs are kept by state: the upper end of an arc's share of its state, its piece, its source."""
         self.known: dict[str, int] = {}
-        self.upto, self.arc_id, self.arc_from = (np.zeros(1 << 16, k) for k in (np.int64, np.int32, np.int64))
+        self.upto, self.arc_id, self.arc_from, self.first_arc = (np.zeros(1 << 16, np.int32) for _ in range(4))
         self.states, self.arcs = 1, 0  # state 0: the start of any chunk
 
     def arcs_of(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
@@ -95,15 +153,13 @@ class PieceSampler:
         roots = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]  # places of the separators
         own = np.ones(len(points), bool)
         own[roots] = False
-        spelled = {ord(c) for c in self.singles}
-        odd = np.flatnonzero(own & np.isin(points, np.array([c for c in np.unique(points[own]).tolist() if c not in spelled], np.uint32)))
+        odd = np.flatnonzero(own & ~self.spelled[points])
         width = np.ones(len(points), np.int64)
         said = [joined[k].encode("utf-8", "surrogatepass") for k in odd.tolist()]
         width[odd] = [len(x) for x in said]
         node = np.cumsum(width) - 1
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-        found = found[own[found[:, 0]]]  # a separator that the vocabulary spells is none of a chunk's
-        target, source, piece = node[found[:, 0]], node[found[:, 0] - self.length[found[:, 1]]], found[:, 1]
+        end, before, piece = self.trie.find(points)
+        target, source = node[end], node[before]
         if len(odd):
             byte = np.concatenate([np.frombuffer(x, np.uint8) for x in said])
             last = np.repeat(node[odd], width[odd])
@@ -115,14 +171,16 @@ class PieceSampler:
         return target, source, piece, root, node[np.concatenate((roots[1:] - 1, [len(points) - 1]))]
 
     def filtered(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """Forward filtering of many chunks at once: (target, source, piece, chance given the target, root, ends).
+        """Forward filtering of many chunks at once: (target, source, piece, chance given the target, root, ends), by target.
 
         Arcs are taken by their targets' distance from the root, so all sources are done before them.
         """
-        target, source, piece, root, ends = self.arcs_of(chunks)
-        depth = target - root[target]
-        by = np.lexsort((piece, target, depth))
-        target, source, piece, depth = target[by], source[by], piece[by], depth[by]
+        targets, sources, pieces, root, ends = self.arcs_of(chunks)
+        by = np.argsort(targets, kind="stable")
+        targets, sources, pieces = targets[by], sources[by], pieces[by]
+        depth = targets - root[targets]
+        turn = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        target, source, piece, depth = targets[turn], sources[turn], pieces[turn], depth[turn]
         weight, alpha, chance = self.weight[piece], np.zeros(len(root)), np.empty(len(target))
         first = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
         segment = np.cumsum(np.concatenate(([0], target[1:] != target[:-1])))
@@ -136,13 +194,13 @@ class PieceSampler:
             total = np.add.reduceat(part, heads)
             alpha[target[first[a:b]]] = top + np.log(total)
             chance[lo:hi] = part / total[inner]
-        return target, source, piece, chance, root, ends
+        chances = np.empty(len(chance))
+        chances[turn] = chance
+        return targets, sources, pieces, chances, root, ends
 
     def keep(self, chunks: list[str]) -> None:
         """Stores the lattices of new chunks."""
         target, source, piece, chance, root, ends = self.filtered(chunks)
-        by = np.argsort(target, kind="stable")
-        target, source, piece, chance = target[by], source[by], piece[by], chance[by]
         start = np.concatenate(([True], target[1:] != target[:-1]))
         at = np.flatnonzero(start)
         rank = np.arange(len(target)) - at[np.cumsum(start) - 1]
@@ -155,9 +213,12 @@ class PieceSampler:
         n = len(target)
         while self.arcs + n > len(self.upto):
             self.upto, self.arc_id, self.arc_from = (np.concatenate((x, np.zeros_like(x))) for x in (self.upto, self.arc_id, self.arc_from))
+        while self.states + len(root) > len(self.first_arc):
+            self.first_arc = np.concatenate((self.first_arc, np.zeros_like(self.first_arc)))
         own = slice(self.arcs, self.arcs + n)
-        self.upto[own] = ((target + self.states) << BITS) + share
+        self.upto[own] = share
         self.arc_id[own], self.arc_from[own] = piece, np.where(root[source] == source, 0, source + self.states)
+        self.first_arc[target[at] + self.states] = at + self.arcs
         self.known.update(zip(chunks, (ends + self.states).tolist()))
         self.states, self.arcs = self.states + len(root), self.arcs + n
 
@@ -167,14 +228,18 @@ class PieceSampler:
         before = self.states, self.arcs
         if fresh := list(set().union(*chunks) - self.known.keys()):
             self.keep(fresh)
-        at = np.array([k for words in chunks for k in map(self.known.__getitem__, words)], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int32)
         sizes = np.array([len(c) for c in chunks], np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         seed = seeds[row]
         active, got, step = np.arange(len(row)), [], 0
         while len(active):
-            arc = np.searchsorted(self.upto[: self.arcs], (at << BITS) + uniform(seed[active], place[active], step), side="right")
+            arc, u = self.first_arc[at], uniform(seed[active], place[active], step)
+            beyond = np.flatnonzero(self.upto[arc] <= u)
+            while len(beyond):  # a state has few arcs
+                arc[beyond] += 1
+                beyond = beyond[self.upto[arc[beyond]] <= u[beyond]]
             got.append((active, self.arc_id[arc]))
             at = self.arc_from[arc]
             active, at, step = active[at > 0], at[at > 0], step + 1
