@@ -76,12 +76,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return counted.unpivot([], own, "column", "missing")
 
 
-def missing_in_row() -> str:
-    return "missing"
-
-
 def missing_per_row(df: DataFrame) -> DataFrame:
-    return df.select(RID, sum([F.col(c).isNull().cast("int") for c in features(df)], F.lit(0)).alias(missing_in_row()))
+    """(rid, missing)."""
+    return df.select(RID, sum([F.col(c).isNull().cast("int") for c in features(df)], F.lit(0)).alias("missing"))
 
 
 def sparse_columns(df: DataFrame, share: float = 0.4, at_least: bool = False) -> list[str]:
