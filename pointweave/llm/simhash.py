@@ -131,10 +131,11 @@ def links(points: DataFrame, radius: int = 2, leaf: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(fps[own].view(np.int64)), batch.column(1).take(pa.array(own))], names=["shard", "fp", "node"])
 
     members = points.select("fp", "node").mapInArrow(shard, "shard long, fp long, node long")
-    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks"))
+    crowded = members.groupBy("shard").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.hash("fp"), F.col("blocks"))
     dealt = (
-        members.join(sizes, "shard")
+        members.join(crowded, "shard", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node")
