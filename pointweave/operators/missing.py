@@ -75,10 +75,11 @@ def along_rows(df: DataFrame, columns: Sequence[str], interpolate: bool, rows_ea
     cell = {c: F.when(F.col(c).isNotNull(), F.struct(RID, F.col(c).alias("v"))) for c in columns}
     ends = part.groupBy("_range").agg(*[f(cell[c]).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("first", F.min), ("last", F.max))])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    around = ends.select("_range", *[F.last(f"_last{i}", True).over(before).alias(f"_in{i}") for i in range(len(columns))], *[F.first(f"_first{i}", True).over(after).alias(f"_out{i}") for i in range(len(columns))])
+    after = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    around = ends.select("_range", *[F.last(f"_last{i}", True).over(before).alias(f"_in{i}") for i in range(len(columns))], *[F.last(f"_first{i}", True).over(after).alias(f"_out{i}") for i in range(len(columns))])
     back = Window.partitionBy("_range").orderBy(RID).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("_range").orderBy(RID).rowsBetween(0, Window.unboundedFollowing)
+    # backwards, as a frame that only grows is taken in one pass
+    ahead = Window.partitionBy("_range").orderBy(F.desc(RID)).rowsBetween(Window.unboundedPreceding, 0)
     joined = part.join(around, "_range")
     new = {}
     for i, c in enumerate(columns):
@@ -86,7 +87,7 @@ def along_rows(df: DataFrame, columns: Sequence[str], interpolate: bool, rows_ea
         if not interpolate:
             new[c] = F.coalesce(F.col(c), a.getField("v"))
             continue
-        b = F.coalesce(F.first(cell[c], True).over(ahead), F.col(f"_out{i}"))
+        b = F.coalesce(F.last(cell[c], True).over(ahead), F.col(f"_out{i}"))
         share = (F.col(RID) - a.getField(RID)) / (b.getField(RID) - a.getField(RID))
         between = a.getField("v") + (b.getField("v") - a.getField("v")) * share
         new[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNull(), b.getField("v")).when(b.isNull(), a.getField("v")).otherwise(between)
