@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import packing, secrets, simhash, suffixes, toxicity
+from pointweave.llm import packing, secrets, similar, suffixes, toxicity
 from pointweave.llm.common import shared_dir, table
 from pointweave.llm.queries import tokenizer_file
 
@@ -27,8 +27,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group."""
-    return _documents(simhash.keep_first(docs.select(*COLUMNS)))
+    """Keeps the document of the smallest id of each group that pairs of five-word Jaccard similarity 0.8 or more link."""
+    return _documents(similar.keep_first(docs.select(*COLUMNS), words=5, least=0.8))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
