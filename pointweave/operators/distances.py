@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.errors import check_width, require
 from pointweave.functions.vectors import l2, squared_distance, vector_of
+from pointweave.operators.balls import NeighbourIndex, index, rows_of
 from pointweave.operators.tables import RID, features
 
+__all__ = ["NeighbourIndex", "all_pairs", "assigned", "distance_matrix", "distances_to", "index", "nearest", "nearest_centroid", "range_pairs", "rows_of", "vectors"]
+
 
 def vectors(df: DataFrame) -> DataFrame:
     """(rid, x) of a table of feature columns; rows with a missing cell are left out."""
@@ -22,13 +24,6 @@ def vectors(df: DataFrame) -> DataFrame:
     return df.dropna("any", subset=own).select(RID, vector_of(*own).alias("x"))
 
 
-def rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Arrays of one length as rows of a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def distances_to(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Squared distances of rows from centroids, from differences, so equal points are at 0."""
     out = np.empty((len(x), len(centroids)))
@@ -87,29 +82,10 @@ def range_pairs(points: DataFrame, epsilon: float, width: int, both: DataFrame |
     return a.join(b, "cell").select("i", "j", d2.alias("d2")).where(F.col("d2") < epsilon * epsilon)
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, query_block: int = 512, shard_rows: int = 65_536) -> DataFrame:
+def nearest(points: DataFrame | NeighbourIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank from 1, rid, dist): the k nearest points of each query, ties to lower rids.
 
-    Queries are dealt to blocks and points to shards; a shard answers a block with its own k best, so a
-    task holds one of each and k rows a query and shard are left to rank, not all pairs.
+    An index that is asked more than once is better built once, by index(points).
     """
-    blocks, shards = max(1, math.ceil(queries.count() / query_block)), max(1, math.ceil(points.count() / shard_rows))
-    dealt = queries.select(F.col(RID).alias("query"), F.col("x").alias("q"), F.pmod(F.xxhash64(RID), F.lit(blocks)).cast("int").alias("block"))
-    held = points.select(RID, "x", F.pmod(F.xxhash64(RID), F.lit(shards)).cast("int").alias("shard")).withColumn("of_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def meet(own: pa.Table, asks: pa.Table) -> pa.Table:
-        empty = pa.table({"query": pa.array([], pa.int64()), "rid": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        if not own.num_rows or not asks.num_rows:
-            return empty
-        x, q, ids, names = rows_of(own.column("x")), rows_of(asks.column("q")), own.column("rid").to_numpy(), asks.column("query").to_numpy()
-        out = []
-        for row, name in zip(q, names):
-            d = np.sqrt(distances_to(x, row[None, :])[:, 0])
-            best = np.lexsort((ids, d))[:k]
-            out.append((np.full(len(best), name), ids[best], d[best]))
-        return pa.table({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query", "rid", "dist"))})
-
-    found = held.groupBy("of_block", "shard").cogroup(asked.groupBy("block", "at")).applyInArrow(meet, "query long, rid long, dist double")
-    ranked = Window.partitionBy("query").orderBy("dist", "rid")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query", "rank", "rid", "dist")
+    own = points if isinstance(points, NeighbourIndex) else index(points)
+    return own.nearest(queries, k)

@@ -6,21 +6,36 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.errors import InvalidInput
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets a temporary one; a cluster has to name one, as a machine's own
+    folder is not seen by the others.
+    """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise InvalidInput("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="pointweave-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from a reliable checkpoint, where lineage ends."""
+    """The rows from a reliable checkpoint, where lineage ends. Spark removes its files with the last reference to it
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
