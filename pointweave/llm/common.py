@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.session import cut, shared_dir
+from pointweave.session import cut, drop, shared_dir
 
-__all__ = ["cut", "free_names", "parts", "portions", "shared_dir", "table", "text_or_empty"]
+__all__ = ["cut", "drop", "free_names", "hot_join", "letters", "mixed", "parts", "portions", "shared_dir", "small", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,6 +31,12 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def portions(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about most_bytes together, a longer text by itself."""
     lo = total = 0
@@ -51,3 +59,28 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64): equal numbers give equal, other numbers unrelated results."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A checkpointed table of a few numbers a row, marked for broadcast if it has most_rows at most; else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def hot_join(rows: DataFrame, classes: DataFrame, key: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined with classes, one row a key, whose column n counts the key's rows among `total`.
+
+    Keys of more than 1/share of all rows are share at most, so their classes are broadcast; no key of
+    the others is large, and they meet in a shuffle. classes is a checkpoint, as it is read twice.
+    """
+    hot = classes.where(F.col("n") * share > total + share)
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    there = marked.where("_hot IS NOT NULL").drop("_hot").join(F.broadcast(hot.drop("n")), key)
+    return there.unionByName(marked.where("_hot IS NULL").drop("_hot").join(classes.drop("n"), key, how), allowMissingColumns=True)

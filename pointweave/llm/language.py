@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import letters
+
 SYMBOLS, WIDTH, UNIT = 48, 512, 1_000_000
 
 
 def _codes() -> np.ndarray:
     """Symbol of each code point: 0 for what is no letter, 1-26 for a-z, else one of 21 by its remainder."""
-    table = np.array([27 + c % 21 if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint8)
+    table = np.where(letters(), 27 + np.arange(0x110000) % 21, 0).astype(np.uint8)
     table[97:123] = np.arange(1, 27)
     return table
 
@@ -25,7 +27,7 @@ CODES = _codes()
 def trigrams(text: str) -> np.ndarray:
     """Codes of the letter trigrams, gaps between words counted as one symbol; empty if there is no letter."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = CODES[np.minimum(points, 0xFFFF)].astype(np.int32)
+    s = CODES[points].astype(np.int32)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) > 2 else s[:0]
 
@@ -62,7 +64,8 @@ def bundle(space: Space, codes: np.ndarray) -> np.ndarray:
 
 def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A unit vector per language: the bundle of its rows' trigrams, each row weighing alike. Sums are whole numbers,
-    so they don't depend on the order of rows. Rows without text, language or letters aren't learned from."""
+    so they don't depend on the order of rows. Rows without text, language or letters aren't learned from; a repeated
+    row counts each time. Texts may be of any length: a text's trigrams are counted at once."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -93,7 +96,8 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def identify(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", sharpness: float = 30.0) -> DataFrame:
     """(id, lang_pred, score): the language of the largest cosine, ties to the first by name. Score: its share of
-    exp(sharpness * cosine). Without a letter, a text or a profile: und, 0."""
+    exp(sharpness * cosine). Without a letter, a text or a profile: und, 0. Each row is told by its text alone, so repeated
+    rows and rows without an id have results like any other."""
     langs = list(profiles)
     matrix = np.array([profiles[k] for k in langs], np.float32).reshape(len(langs), WIDTH)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, suffixes, toxicity, warc, winnow
-from pointweave.llm.common import shared_dir, table
+from pointweave.llm.common import cut, drop, shared_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,13 +49,16 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    captures = warc.assemble(warc.read(spark, path))
-    return captures.select(
-        warc.field("metadata", "page-id").cast("long").alias("page_id"),
-        warc.field("metadata", "payload-length").cast("long").alias("payload_bytes"),
+    page_id = warc.field("metadata", "page-id").try_cast("long")
+    shown = F.struct(*[F.col(f"response.{c}").alias(c) for c in ("type", "record_id", "refers_to", "stated_digest", "payload_digest")]).alias("response")
+    captures = cut(warc.assemble(warc.read(spark, path)).select(page_id.alias("page_id"), warc.field("metadata", "payload-length").cast("long").alias("payload_bytes"), shown))
+    drop(spark, path)
+    return warc.with_origins(captures, {"refers_to": F.col("page_id")}).select(
+        "page_id",
+        "payload_bytes",
         F.when(F.col("response.type") == "revisit", F.col("response.stated_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.col("response.refers_to_page").alias("refers_to"),
+        "refers_to",
     )
 
 
@@ -126,20 +129,21 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
         )
         SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
         FROM k
     """,
     "op9_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            SELECT a.vec_id AS query_id, b.vec_id, max(CASE WHEN len(a.q) = 0 THEN 0 ELSE CAST(list_inner_product(a.q, b.q) AS BIGINT) END) AS score
             FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
             WHERE a.vec_id % 20 = 0
+            GROUP BY a.vec_id, b.vec_id
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, suffixes, toxicity, warc, winnow
+from pointweave.llm.common import cut
 from pointweave.llm.queries import tokenizer_file
 
 LETTERS = "th an er re on in st ed ou ha ti ly".split()
@@ -302,27 +303,44 @@ def test_encoding_is_lossless_and_reproducible(docs):
 def test_archives_come_back(spark, tmp_path):
     long, odd = "<p>" + "x" * 1500, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc" * 40
     html = [long, "short", long, "short", None, odd, odd + "é", long, ""]
-    rows = [(i, f"http://h/{i}", h, "x") for i, h in enumerate(html)] + [(7, "http://h/7", long, "x"), (None, None, "no id", "x"), (50, "u\r\nX: y", "z" * 1200, "x")]
+    rows = [(i, f"http://h/{i}", h, "x") for i, h in enumerate(html)] + [(7, "http://h/7", long, "x"), (None, None, "no id", "x"), (None, "http://h/n", long, "x"), (50, "u\r\nX: y", "z" * 1200, "x"), (0, "http://h/other", long, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(2)
     warc.write(pages, str(tmp_path / "w"), pages_each=3)
-    records = warc.read(spark, str(tmp_path / "w"), with_payload=True)
-    captures = warc.assemble(records)
-    found = {}
+    records = cut(warc.read(spark, str(tmp_path / "w"), with_payload=True))
+    assert records.select("record_id").distinct().count() == records.count() == 3 * len(rows)
+    page = warc.field("metadata", "page-id").try_cast("long")
+    captures = warc.with_origins(warc.assemble(records).withColumn("page", page), {"origin": F.col("page")})
+    found = []
     for r in captures.collect():
         fields = {f["key"]: f["value"] for f in r["metadata"]["fields"]}
-        found[int(fields["page-id"]) if fields["page-id"] else None] = (r["response"]["type"], r["response"]["refers_to_page"], int(fields["payload-length"]), r["response"]["payload"], r["n_requests"])
-    expected = {}
-    for i, _, h, _ in rows:
+        found.append((r["page"], r["response"]["uri"], r["response"]["type"], r["origin"], int(fields["payload-length"]), bytes(r["response"]["payload"]), r["n_requests"], r["n_metadata"]))
+    expected = []
+    for i, url, h, _ in rows:
         text = h or ""
         last = max((k for k, _, g, _ in rows if (g or "") == text and k is not None), default=None)
         visit = len(text.encode()) >= 1000 and i != last
-        expected[i] = ("revisit" if visit else "response", last if visit else None, len(text.encode()), b"" if visit else text.encode(), 1 + (i == 7))  # row 7 is there twice: one capture of two requests
-    assert {k: (*v[:3], bytes(v[3]), v[4]) for k, v in found.items()} == expected
+        expected.append((i, (url or "").replace("\r\n", "  "), "revisit" if visit else "response", last if visit else None, len(text.encode()), b"" if visit else text.encode(), 1, 1))
+    assert sorted(found, key=str) == sorted(expected, key=str)
     empty = str(tmp_path / "e")
     warc.write(pages.where("false"), empty)
     assert warc.assemble(warc.read(spark, empty)).count() == 0
 
 
+def test_archives_that_are_damaged_or_foreign():
+    import gzip
+
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 4\r\n\r\na\r\n\r\r\n\r\n"
+    members = gzip.compress(record) + gzip.compress(record * 3)
+    for step in (1, 7, 1 << 20):
+        assert [b for _, b in warc.parse(warc.inflated(members, step))] == [b"a\r\n\r"] * 4
+    assert list(warc.parse([])) == [] and len(list(warc.parse([record[:-4]]))) == 1
+    for damaged in (record[:9], record[:-6], b"<html>\r\n\r\n", record.replace(b"Length", b"Size")):
+        with pytest.raises(ValueError):
+            list(warc.parse([damaged]))
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.inflated(members[:-9])))
+
+
 # --- packing
 
 
@@ -370,7 +388,7 @@ def test_packing_awkward_rows(docs):
 
 def test_words_apart_give_the_ids_of_the_text():
     path = tokenizer_file("word_bpe_49k.json")
-    own, rng = packing.WordEncoder(path, packing.unlisted(path), keep_words=50), random.Random(9)
+    own, rng = packing.WordEncoder(path, packing.unlisted(path), keep_bytes=20_000, slice_words=70), random.Random(9)
     texts = ["It's DON'T we'll x's ... a.b, c!! 3.14 10th", "İstanbul ǅ ŉ ß ẞ Σας ΣΑΣ", "a\x1cb c\x85d é éx", "<|endoftext|> x <|startoftext|>y", "  \n\n ", "ªº µ² ½", *(prose(rng, 300) for _ in range(5))]
     assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -386,6 +404,8 @@ def test_languages_held_out(spark):
     profiles = language.prototypes(df.where("doc_id < 120"))
     found = {r["id"]: r["lang_pred"] for r in language.identify(df.where("doc_id >= 120"), profiles).collect()}
     assert sum(found[i] == lang for i, lang, _ in rows[120:]) >= 58
+    letters = language.identify(spark.createDataFrame([(1, "𐌰𐌱𐌲"), (1, "𝕳𝖊𝖑"), (None, "é"), (4, "日本")], "doc_id long, text string"), profiles).collect()
+    assert {r["lang_pred"] for r in letters} <= set(parts) and all(r["score"] > 0 for r in letters)
     others = language.identify(spark.createDataFrame([(1, None), (2, ""), (3, "12 !?")], "doc_id long, text string"), profiles).collect()
     assert {(r["lang_pred"], r["score"]) for r in others} == {("und", 0.0)}
     assert {r["lang_pred"] for r in language.identify(df.limit(3), {}).collect()} == {"und"}
@@ -403,25 +423,41 @@ def test_trigram_vectors_bind_permuted_letters():
 # --- exact search
 
 
+def brute_top_k(rows, k=20, mod=20):
+    """Over ids: of an id with several vectors the best score counts."""
+    whole = {(i, tuple(math.floor(64 * v) for v in x)) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)}
+    best: dict[int, dict[int, int]] = {}
+    for i, q in whole:
+        if i % mod == 0:
+            for j, x in whole:
+                if i != j and len(q) == len(x):
+                    s = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, x))))
+                    best.setdefault(i, {})[j] = max(s, best.get(i, {}).get(j, s))
+    return sorted(((i, r + 1, j, s) for i, found in best.items() for r, (j, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k])), key=str)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 0.3, (300, 8))
     x[50:90] = x[7]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (480, [])]
+    x[120:] += np.repeat(rng.normal(0, 2, (9, 8)), 20, axis=0)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (480, []), (481, []), (None, [0.1] * 8)]
+    rows += [rows[0], rows[20], rows[41], (60, [0.5] * 8), (61, [-0.4] * 8), (500, [0.25] * 3), (501, [0.5] * 3), (-20, [0.3] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string").repartition(3)
-    q = np.floor(64 * x)
-    expected = []
-    for i in range(0, 300, 20):
-        scores = q @ q[i]
-        order = sorted((k for k in range(300) if k != i), key=lambda k: (-scores[k], k))[:20]
-        expected += [(i, r + 1, k, int(scores[k])) for r, k in enumerate(order)]
-    for shard in (16_384, 60):
-        found = balltree.top_k(df, shard_rows=shard, block_rows=4)
-        assert table(found, "query_id", "rank", "vec_id", "score") == sorted(expected, key=str)
-    few = balltree.top_k(df.where("vec_id < 5")).collect()
+    for shard in (16_384, 60, 9):
+        assert table(balltree.top_k(df, shard_rows=shard, block_rows=4, most_centres=5), "query_id", "rank", "vec_id", "score") == brute_top_k(rows)
+    few = balltree.top_k(df.where("vec_id BETWEEN 0 AND 4")).collect()
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2), (0, 3), (0, 4)]
 
 
+def test_top_k_of_numbers_beyond_doubles(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice((1e18, -3e17, 1e9 + 1 / 64, 0.5, 12345678.25, -1.0)) for _ in range(4)]) for i in range(60)] + [(100 + i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16_384, 25):
+        assert table(balltree.top_k(df, shard_rows=shard), "query_id", "rank", "vec_id", "score") == brute_top_k(rows)
+
+
 # --- winnowing
 
 
