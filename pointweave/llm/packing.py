@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut, portions
+from pointweave.llm.common import cut, free_names, portions
 
 
 #: Stands for the end of a word; no UTF-8 text holds this byte.
@@ -76,16 +76,18 @@ class WordEncoder:
 
     White space separates words and yields no ids, so a text's ids are its words' ids in order. Only
     space, tab, line feed and carriage return split; whatever else is white space stays inside a word
-    and is left to the tokenizer. Words beyond the first keep_words are encoded anew each time. Plain
-    words, letters and at most one mark after them, go to the faster encoder of single words.
+    and is left to the tokenizer. Words are learned by slices of a few thousand, and kept up to keep_bytes
+    of memory together; those beyond are encoded anew each time. Plain words, letters and at most one mark
+    after them, go to the faster encoder of single words.
     """
 
-    def __init__(self, path: str, unlisted: frozenset[int], keep_words: int = 300_000):
+    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 24_000_000, slice_words: int = 8_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep_words, self.known = Tokenizer.from_file(path), keep_words, {}
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        self.keep_bytes, self.slice_words = keep_bytes, slice_words
         merges = Merges(path)
         # a word with an unlisted token gets None among its parts, which join() refuses
         self.id_bytes = [None if r in unlisted or not x else x for r, x in enumerate(merges.id_bytes)]
@@ -93,13 +95,32 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - self.known.keys())
+        out: list[list[bytes]] = [[] for _ in texts]
+        pending: list[tuple[int, list[str]]] = []
+        count = 0
+        for k, t in enumerate(texts):
+            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            for lo in range(0, len(words), self.slice_words):
+                pending.append((k, words[lo : lo + self.slice_words]))
+                count += len(pending[-1][1])
+                if count >= self.slice_words:
+                    self._say(pending, out)
+                    pending, count = [], 0
+        self._say(pending, out)
+        return [b"".join(x) for x in out]
+
+    def _say(self, pending: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        known = self.known
+        fresh = list(set().union(*(words for _, words in pending)) - known.keys())
         self._learn(fresh)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in fresh[: max(0, len(self.known) - self.keep_words)]:
-            del self.known[w]
-        return out
+        for k, words in pending:
+            out[k].append(b"".join(map(known.__getitem__, words)))
+        for w in fresh:
+            size = 250 + 4 * len(w) + len(known[w])  # with the objects' heads and their place in the dict
+            if self.held + size > self.keep_bytes:
+                del known[w]
+            else:
+                self.held += size
 
     def _learn(self, words: list[str]) -> None:
         known, of, piece, other = self.known, self.id_bytes.__getitem__, self.piece, []
@@ -113,8 +134,14 @@ class WordEncoder:
                 except TypeError:
                     pass
             other.append(w)
-        if other:
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+        lo = 0
+        while lo < len(other):  # an encoding holds far more than its ids, so few are made at a time
+            hi, size = lo, 0
+            while hi < len(other) and hi - lo < 500 and size < 50_000:
+                size += len(other[hi])
+                hi += 1
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other[lo:hi], self.tokenizer.encode_batch_fast(other[lo:hi], add_special_tokens=False)))
+            lo = hi
 
 
 @lru_cache(maxsize=1)
@@ -124,25 +151,26 @@ def encoder(path: str, unlisted: frozenset[int]) -> WordEncoder:
 
 
 def token_pieces(df: DataFrame, path: str, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut only beyond max_len."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut only beyond max_len.
+
+    A null text is an empty one: its end id alone. Repeated rows and rows without an id have pieces like any other.
+    """
     apart = unlisted(path)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(path, apart), np.array([end_id], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 5 + with_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
         for batch in batches:
-            rows = []
-            for lo, hi in portions(batch.column(1)):
-                texts = [t or "" for t in batch.column(1)[lo:hi].to_pylist()]
-                for doc_id, ids in zip(batch.column(0)[lo:hi].to_pylist(), words.encode(texts)):
+            for lo, hi in portions(batch.column(1), 500_000):
+                rows = []
+                for doc_id, ids in zip(batch.column(0)[lo:hi].to_pylist(), words.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, max_len)):
                         own = ids[4 * start : 4 * (start + max_len)]
                         rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").tolist()] if with_ids else ())))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            columns = list(zip(*rows)) or [()] * (5 + with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names[: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -196,32 +224,48 @@ def plan(counts: dict[int, int], max_len: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, max_len: int = 4096, cell_rows: int = 512) -> DataFrame:
-    """The pieces with (sequence_id, offset), planned best-fit over the histogram of their lengths.
+def before_each(counts: DataFrame, key: str, order: str, width: int = 1024) -> DataFrame:
+    """counts with before: the sum of n over the rows of an equal key and a smaller order, whole numbers from 0.
+
+    Two levels, so that a key of very many rows is summed by many tasks: within ranges of `width` orders, and over ranges.
+    """
+    ranged = counts.withColumn("_range", F.floor(F.col(order) / width))
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum("n").alias("_n")).select("_key", "_at", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    summed = ranged.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    joined = summed.join(ranges, (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("before", F.col("_before") + F.col("_within")).drop("_range", "_within", "_key", "_at", "_before")
+
+
+def pack(pieces: DataFrame, max_len: int = 4096, cell_rows: int = 64) -> DataFrame:
+    """The pieces (length, ...) with (sequence_id, offset), planned best-fit over the histogram of their lengths.
 
     The driver sees the histogram, at most max_len rows. A piece's rank within its length comes from
     cells of about cell_rows pieces: the pieces before its cell, plus its place in it; so a length that
-    very many pieces share is ranked by many tasks.
+    very many pieces share is ranked by many tasks, repeated rows too. The planned slots, a row a length,
+    are joined by length, and the rank tells the slot. Sequence numbers have no order; which of the pieces
+    of a length takes which slot is the same for the same partitions of pieces. Other columns stay.
     """
     pieces = cut(pieces)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = plan(counts, max_len)
-    cells = F.broadcast(pieces.sparkSession.createDataFrame([(k, max(1, n // cell_rows)) for k, n in counts.items()] or [(0, 1)], "length long, cells int"))
-    placed = pieces.join(cells, "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("cells")).cast("int")).drop("cells")
-    upto = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    in_cell = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start"))
-    ranked = placed.withColumn("in_cell", in_cell - 1).join(before, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("in_cell")).drop("cell", "before", "in_cell")
-    keys = slots[:, 0] << 45 | slots[:, 1]
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            _, first, each, sequence, offset = slots[np.searchsorted(keys, length << 45 | rank, side="right") - 1].T
-            columns = {"sequence_id": sequence + (rank - first) // each, "offset": offset + (rank - first) % each * length}
-            kept = [batch.column(f.name) if f.name in batch.schema.names else pa.array(columns[f.name]) for f in schema]
-            yield pa.RecordBatch.from_arrays(kept, names=schema.names)
-
-    schema = pa.schema([(n, pa.null()) for n in (*pieces.columns, "sequence_id", "offset")])
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(take, f"{kinds}, sequence_id long, offset long")
+    slots: dict[int, list[list[int]]] = {}
+    for length, *slot in plan(counts, max_len).tolist():
+        slots.setdefault(length, []).append(slot)
+    spark = pieces.sparkSession
+    size, cells, cell, row, key, rank, n, before, place, table, own, slot = free_names(pieces, "_size", "_cells", "_cell", "_row", "_key", "_rank", "_n", "_before", "_place", "_slots", "_own", "_slot")
+    sizes = [(k, max(1, v // cell_rows)) for k, v in counts.items()]
+    sized = F.broadcast(spark.createDataFrame(sizes, f"{size} long, {cells} long"))
+    # the place of a row of the checkpoint deals it to a cell: equal rows are told apart too
+    placed = pieces.withColumn(row, F.monotonically_increasing_id()).join(sized, F.col("length") == F.col(size)).withColumn(cell, F.pmod(F.xxhash64(row), F.col(cells))).drop(size, cells)
+    light = placed.select(F.col("length").alias("of"), F.col(cell).alias("cell"), F.lit(1).alias("one")).groupBy("of", "cell").agg(F.count("*").alias("n"))
+    first = before_each(light, "of", "cell").select(F.col("of").alias(key), F.col("cell").alias(place), F.col("before").alias(before))
+    in_cell = F.row_number().over(Window.partitionBy("length", cell).orderBy(row)) - 1
+    ranked = placed.withColumn(n, in_cell).join(first, (F.col("length") == F.col(key)) & (F.col(cell) == F.col(place))).withColumn(rank, F.col(before) + F.col(n))
+    rows = [(k, [s[0] for s in own_slots], [tuple(s) for s in own_slots]) for k, own_slots in slots.items()]
+    known = F.broadcast(spark.createDataFrame(rows, f"{own} long, {slot} array<long>, {table} array<struct<first:bigint,each:bigint,sequence:bigint,at:bigint>>"))
+    found = ranked.join(known, F.col("length") == F.col(own)).withColumn(slot, F.expr(f"element_at({table}, cast(size(filter({slot}, f -> f <= {rank})) AS int))"))
+    since = F.col(rank) - F.col(f"{slot}.first")
+    each = F.col(f"{slot}.each")
+    sequence = F.col(f"{slot}.sequence") + F.floor(since / each)
+    return found.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), (F.col(f"{slot}.at") + F.pmod(since, each) * F.col("length")).cast("long").alias("offset"))
