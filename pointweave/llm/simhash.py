@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut
-from pointweave.operators.components import connected
+from pointweave.llm.common import cut, hot_join, parts
+from pointweave.operators.components import Forest, connected
 
 #: A-Z to a-z in UTF-8 bytes; other letters stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -31,7 +31,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64)
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     set_in = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 4096):
         part = hashes[lo : lo + 4096].astype("<u8")
@@ -55,22 +59,6 @@ def hamming(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int64)
 
 
-class Forest:
-    """Union-find over 0..n-1 whose unions take arrays of pairs."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def union(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
-                self.root = up
-
-
 def link_within(points: np.ndarray, radius: int, forest: Forest, leaf: int = 256) -> None:
     """Unions every pair of points at distance <= radius, by a vantage-point tree over the points.
 
@@ -107,15 +95,18 @@ def _levels(n: int, leaf: int) -> int:
     return max(0, int(np.ceil(np.log(max(1, n) / leaf) / np.log(1 / 0.61))))
 
 
-def links(points: DataFrame, radius: int = 2, leaf: int = 2048) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, leaf: int | None = None, block: int = 1024) -> DataFrame:
     """(u, v) edges of a spanning forest of all pairs of points (fp, node) within the radius; fps are distinct.
 
     Level l splits all points at the median distance to vantage point l; its code gets a 1 at or
     beyond the median. A point closer than the median by radius or less also goes to the other
-    side, so each linked pair meets in a shard. A shard of more than two leaves is dealt out as pairs
-    of blocks, so no task holds more than two blocks however many points lie close together.
+    side, so each linked pair meets in a shard. A level copies about a fifth of its points, so there are as
+    few as the tasks allow: leaf, a shard's size, is up to 65,536 where there are points enough for several
+    shards a task. A shard of more than two leaves is dealt out as pairs of blocks, so a task holds two
+    blocks of about `block` points however many lie close together.
     """
     n = points.count()
+    leaf = leaf or max(2048, min(65_536, n // (4 * parts(points.sparkSession, 0, 1))))
     levels = _levels(n, leaf)
     signed = [int(np.uint64(vantage(k)).view(np.int64)) for k in range(levels)]
     medians = list(points.agg(*(F.percentile_approx(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))), 0.5) for v in signed)).first()) if n and levels else []
@@ -131,7 +122,7 @@ def links(points: DataFrame, radius: int = 2, leaf: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(fps[own].view(np.int64)), batch.column(1).take(pa.array(own))], names=["shard", "fp", "node"])
 
     members = points.select("fp", "node").mapInArrow(shard, "shard long, fp long, node long")
-    crowded = members.groupBy("shard").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks")).where("blocks > 1")
+    crowded = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.hash("fp"), F.col("blocks"))
     dealt = (
         members.join(crowded, "shard", "left")
@@ -156,16 +147,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fp, component): the smallest id reachable over links between fingerprints, itself included.
 
     Copies meet in one fingerprint before any search. Null and wordless texts have fingerprint 0 and
-    link like any other. Rows without an id take no part in links; they show their fingerprint's component.
+    link like any other; repeated rows have a row each. Rows without an id take no part in links; they show
+    their fingerprint's component, null if no row with an id has it.
     """
     rows = cut(fingerprints(df, id_col, text_col, words, seed))
-    points = cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
+    points = cut(rows.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
     roots = connected(links(points.where("node IS NOT NULL"), radius))
-    classes = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return rows.join(classes, "fp").select("id", "fp", "component")
-
-
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that link, through others too, to a row of a smaller id; rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col)
-    return df.join(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    classes = cut(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), "n"))
+    return hot_join(rows, classes, "fp", rows.count()).select("id", "fp", "component")

@@ -1,4 +1,9 @@
-"""Texts whose sets of word shingles are alike: every pair of at least a Jaccard similarity, by prefixes of the sets."""
+"""Texts whose sets of word shingles are alike: every pair of at least a Jaccard similarity.
+
+Candidates are documents that the vantage-point search finds close, and documents that share a shingle
+of both sets' prefixes; the latter misses no pair. What candidates connect is a family. A family's texts
+meet in one task, or in pairs of blocks if there are many, and whole sets are compared.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +13,50 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut
-from pointweave.llm.simhash import LOWER
-from pointweave.operators.components import connected
+from pointweave.llm import simhash
+from pointweave.llm.common import cut, hot_join, mixed, small
+from pointweave.operators.components import Forest, connected
+
+#: The sketch counts rows by the low bits of their shingles' hashes, in slots of so many counters.
+SKETCH_BITS, SLOT = 22, 1 << 16
+#: Odd multipliers, one for each word of a shingle.
+ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
+
+
+class Words(dict):
+    """XXH64 of words, kept up to a number of them."""
+
+    def __init__(self, keep: int = 200_000):
+        self.keep = keep
 
-#: The sketch counts shingles by the low bits of their hashes, from about so many rows.
-SKETCH_BITS, SKETCH_ROWS = 22, 200_000
-SLOT = 1 << 16
-#: Up to so many sets of one shingle are compared pair by pair at once.
-CROWD = 64
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < self.keep:
+            self[word] = found
+        return found
 
 
-def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The distinct XXH64 of the word shingles, sorted; of fewer words than a shingle needs, of them all; none of no words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def all_shingles(text: str | None, words: int, known: Words) -> np.ndarray:
+    """A 64-bit hash of each word shingle, in order; of fewer words than a shingle needs, one of them all; none of no words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(simhash.LOWER).split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64))
+    own = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    width = min(words, len(own))
+    n = len(own) - width + 1
+    with np.errstate(over="ignore"):
+        total = np.full(n, np.uint64(width))
+        for k in range(width):
+            total += own[k : k + n] * (ODD[k % 5] + np.uint64(2 * (k // 5)))
+    return mixed(total)
+
+
+def shingles(text: str | None, words: int = 5, known: Words | None = None) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted."""
+    return np.unique(all_shingles(text, words, Words(0) if known is None else known))
 
 
 def point_of(shingled: np.ndarray) -> int:
@@ -47,31 +70,32 @@ def needed(n: int, least: float) -> int:
 
 
 def _sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """About how many rows hold the shingles of each bucket."""
-    rate = SKETCH_ROWS / max(1, texts.count())
+    """About how many rows hold the shingles of each bucket, over all rows; each task sends its counts, saturated at 255."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH_BITS, np.int32)
+        seen, known = np.zeros(1 << SKETCH_BITS, np.int32), Words()
         for batch in batches:
             for text in batch.column(1):
-                np.add.at(seen, shingles(text.as_py(), words) & np.uint64(len(seen) - 1), 1)
+                buckets = shingles(text.as_py(), words, known) & np.uint64(len(seen) - 1)
+                np.add.at(seen, buckets, 1)
         slots = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT)
         held = np.nonzero(slots.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([slots[k].tobytes() for k in held], pa.binary())], names=["slot", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("counts"))
+        total = np.zeros(SLOT, np.int64)
+        for x in group.column("counts"):
+            total += np.frombuffer(x.as_py(), np.uint8)
         return pa.table({"slot": group.column("slot").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
-    some = texts if rate >= 1 else texts.where(F.pmod(F.xxhash64("id", F.lit("sketch")), F.lit(1_000_000)) < int(rate * 1_000_000))
     out = np.zeros((1 << SKETCH_BITS) // SLOT * SLOT, np.uint16).reshape(-1, SLOT)
-    for r in some.mapInArrow(count, "slot long, counts binary").groupBy("slot").applyInArrow(add, "slot long, counts binary").collect():
+    for r in texts.mapInArrow(count, "slot long, counts binary").groupBy("slot").applyInArrow(add, "slot long, counts binary").collect():
         out[r["slot"]] = np.frombuffer(r["counts"], np.uint16)
     return out.reshape(-1)
 
 
 def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(id, point, n, prefix) for each row (id, text): its set's name and size, and the rarest of its shingles.
+    """(id, point, fp, prefix) for each row (id, text): its set's name, its fingerprint, and the rarest of its shingles.
 
     Two sets at least so similar share a shingle of both prefixes, whatever the order of shingles,
     as long as it is one order for all. Rare ones come first to keep few sets at a shingle; the counts
@@ -80,152 +104,243 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     counts = texts.sparkSession.sparkContext.broadcast(_sketch(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = counts.value
+        rarity, known = counts.value, Words()
         for batch in batches:
-            points, sizes, heads = [], [], []
+            points, fps, heads = [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py(), words)
+                each = all_shingles(text.as_py(), words, known)
+                s = np.unique(each)
                 order = np.argsort(rarity[s & np.uint64(len(rarity) - 1)], kind="stable")  # ties by hash
                 points.append(point_of(s))
-                sizes.append(len(s))
+                fps.append(simhash.majority(each) if len(each) else 0)
                 heads.append(s[order[: len(s) - needed(len(s), least) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["id", "point", "n", "prefix"])
-
-    return texts.mapInArrow(run, "id long, point long, n int, prefix array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64()))], names=["id", "point", "fp", "prefix"])
 
+    return texts.mapInArrow(run, "id long, point long, fp long, prefix array<long>")
 
-def _close(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9
 
+def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by h, whether a row continues its predecessor's h)."""
+    by = np.lexsort((node, h))
+    return by, np.concatenate(([False], h[by][1:] == h[by][:-1]))[: len(by)]
 
-def _meetings(records: DataFrame, least: float) -> DataFrame:
-    """(h, a, b, n): pairs of points that share a shingle h of their prefixes; b is null for each point (of size n) of a crowded one."""
 
-    def pairs(h: np.ndarray, p: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0] if len(h) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(h)))
-        size = np.repeat(sizes, sizes)
-        few = np.nonzero((size > 1) & (size <= CROWD))[0]
-        end = np.repeat(starts + sizes, sizes)
-        step = 1
-        while len(few := few[few + step < end[few]]):
-            i = few[_close(n[few], n[few + step], least)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(p[i]), pa.array(p[i + step]), pa.array(n[i])], names=["h", "a", "b", "n"])
-            step += 1
-        many = np.nonzero(size > CROWD)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(p[many]), pa.nulls(len(many), pa.int64()), pa.array(n[many])], names=["h", "a", "b", "n"])
+def meetings(entries: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(u, v): edges that connect all nodes of entries (h, node) with an equal h.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        for batch in batches:
-            if batch.num_rows:
-                held = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, batch.columns)]
-                last = int(np.searchsorted(held[0], held[0][-1]))
-                yield from pairs(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        yield from pairs(*held)
-
-    return records.repartition("h").sortWithinPartitions("h", "point").mapInArrow(run, "h long, a long, b long, n int")
-
-
-def _texts_of(some: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of texts whose ids are nodes of some points."""
-    return cut(texts.join(points.join(some.select("point").distinct(), "point").select(F.col("node").alias("id")).distinct(), "id"))
+    A task first connects its own entries and sends one of each h; then the tasks' ones meet, sorted, and each is
+    connected with the one before it. So a very common h is no large group anywhere.
+    """
+    schema = "h long, node long, other long"
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _similar(pairs: DataFrame, points: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v): the nodes of those pairs of points (a, b) whose sets are similar enough, by the whole sets.
+        def sent() -> pa.RecordBatch:
+            h, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            by, again = _chains(h, node)
+            other = pa.array(np.where(again, np.roll(node[by], 1), 0), mask=~again)
+            return pa.RecordBatch.from_arrays([pa.array(h[by]), pa.array(node[by]), other], names=["h", "node", "other"])
 
-    Pairs are dealt to cells by blocks of both points, and a text goes once to each cell that needs it.
-    """
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    blocks = max(8, math.ceil(math.sqrt(pairs.count() / 1000)))
-    of = lambda c: F.pmod(F.hash(c), F.lit(blocks))
-    dealt = pairs.select((F.least(of("a"), of("b")) * blocks + F.greatest(of("a"), of("b"))).cast("long").alias("cell"), "a", "b")
-    wanted = dealt.select(F.col("cell").alias("into"), F.explode(F.array("a", "b")).alias("point")).distinct().join(points.select("point", "node"), "point").select("into", F.col("node").alias("id")).distinct()
-    sent = texts.join(wanted, "id").select("into", "text")
-
-    def check(pairs: pa.Table, sent: pa.Table) -> pa.Table:
-        sets = {point_of(s): s for s in (shingles(t.as_py(), words) for t in sent.column("text"))}
-        rows = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both >= (least - 1e-9) * (len(sets[a]) + len(sets[b]) - both):
-                rows.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
-
-    found = dealt.groupBy("cell").cogroup(sent.groupBy("into")).applyInArrow(check, "a long, b long")
-    ends = [points.select(F.col("point").alias(p), F.col("node").alias(u)) for p, u in (("a", "u"), ("b", "v"))]
-    return cut(found.join(ends[0], "a").join(ends[1], "b").select("u", "v"))
-
-
-def _crowded_links(crowded: DataFrame, links: DataFrame, points: DataFrame, texts: DataFrame, words: int, least: float, pivots: int = 8, block: int = 2048) -> DataFrame:
-    """links and those of pairs that meet at crowded shingles (h, point, n).
-
-    Rounds compare each set with a few others of its shingle, new ones each time; sets that are linked
-    already need no comparison. Once few pairs of unlinked sets remain, or a round links none, all of them are compared.
+        rows = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= most:
+                yield sent()
+                held, rows = [], 0
+        if rows:
+            yield sent()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        for batch in batches:
+            if batch.num_rows:
+                h, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                said = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+                other = batch.column(2).fill_null(0).to_numpy()
+                u, v = [node[said]], [other[said]]
+                plain = np.flatnonzero(~said)
+                if len(plain):
+                    hs, ns = h[plain], node[plain]
+                    before_h, before_n = (np.concatenate(([x], y[:-1])) for x, y in zip(last or (0, 0), (hs, ns)))
+                    same = before_h == hs
+                    same[0] &= last is not None
+                    u.append(ns[same])
+                    v.append(before_n[same])
+                    last = int(hs[-1]), int(ns[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    combined = entries.select("h", "node").mapInArrow(own, schema)
+    return combined.repartition("h").sortWithinPartitions("h").mapInArrow(met, "u long, v long")
+
+
+class Family:
+    """Sets of shingles, asked for those similar enough to one of them."""
+
+    def __init__(self, sets: list[np.ndarray], least: float):
+        self.least = least
+        self.n = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.starts = np.cumsum(self.n) - self.n
+        self.names, self.flat = np.unique(flat, return_inverse=True)
+        self.marks = np.zeros(len(self.names) + 1, np.int64)
+
+    def take(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The members of some sets side by side: (sets, members, where each set starts)."""
+        sizes = self.n[some]
+        starts = np.cumsum(sizes) - sizes
+        return some, self.flat[np.repeat(self.starts[some] - starts, sizes) + np.arange(sizes.sum())], starts
+
+    def near(self, members: np.ndarray, among: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether each of the sets `among` is similar enough to the set of these members (places in names)."""
+        some, flat, starts = among
+        full = self.n[some] > 0
+        both = np.zeros(len(some), np.int64)
+        if full.any():
+            self.marks[members] = 1
+            both[full] = np.add.reduceat(self.marks[flat], starts[full])
+            self.marks[members] = 0
+        size = len(members) + self.n[some] - both
+        return (both >= (self.least - 1e-9) * size) & (size > 0)
+
+    def members(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k] + self.n[k]]
+
+    def components(self) -> np.ndarray:
+        """For each set the first one that it is linked to: breadth first, each reached set asks those not reached yet."""
+        m = len(self.n)
+        root, waiting = np.full(m, -1), self.take(np.arange(m))
+        alive = np.ones(m, bool)  # of waiting
+        for first in range(m):
+            if root[first] >= 0:
+                continue
+            root[first], queue = first, [first]
+            while queue:
+                k = queue.pop()
+                alive &= root[waiting[0]] < 0
+                if alive.sum() < len(alive) // 2:
+                    waiting = self.take(waiting[0][alive])
+                    alive = np.ones(len(waiting[0]), bool)
+                if not alive.any():
+                    break
+                found = waiting[0][alive & self.near(self.members(k), waiting)]
+                root[found] = first
+                queue += found.tolist()
+        return root
+
+
+def family_links(families: DataFrame, words: int, least: float, most_rows: int = 4096, most_bytes: int = 16_000_000, vantages: int = 16) -> DataFrame:
+    """(u, v): edges that connect all nodes of a family (family, node, text) whose sets are similar enough.
+
+    A family of most_rows and most_bytes at most is compared in one task. A larger one is dealt to blocks: each is
+    compared within itself and with the family's vantage sets, which all blocks share. Then the members outside of the
+    family's largest component are compared with all others, in pairs of blocks, but where the distances to a vantage
+    set differ by more than 1 - least: 1 - Jaccard is a metric, so the triangle inequality rules such pairs out.
     """
-    total, k = crowded.count(), 0
-    while total:
-        roots = connected(links)
-        now = cut(crowded.join(points.select("point", "node"), "point").join(roots, "node", "left").select("h", "point", "n", F.coalesce("root", "node").alias("root")))
-        held = now.groupBy("h", "root").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)).alias("open"))
-        left = (held.agg(F.sum("open")).first()[0] or 0.0) / 2
-        last = left <= 16 * total or k and not grown
-        mix = np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-
-        def some(group: pa.Table) -> pa.Table:
-            p, n, root = (group.column(c).to_numpy() for c in ("point", "n", "root"))
-            with np.errstate(over="ignore"):
-                at = np.argsort(((p.view(np.uint64) ^ (p.view(np.uint64) >> np.uint64(29))) * mix), kind="stable")[:pivots]  # noqa: B023
-            i, j = np.nonzero(_close(n[:, None], n[at][None, :], least) & (root[:, None] != root[at][None, :]))
-            return pa.table({"a": p[i], "b": p[at[j]]})
-
-        def every(group: pa.Table) -> pa.Table:
-            p, n, root, own = (group.column(c).to_numpy() for c in ("point", "n", "root", "own"))
-            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-            one, other = np.nonzero(own == x)[0], np.nonzero(own == y)[0]
-            i, j = np.nonzero(_close(n[one][:, None], n[other][None, :], least) & (root[one][:, None] != root[other][None, :]))
-            return pa.table({"a": p[one[i]], "b": p[other[j]]})
-
-        if last:
-            sizes = now.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-            dealt = (
-                now.join(sizes, "h").withColumn("own", F.pmod(F.hash("point"), F.col("blocks")))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-            )
-            pairs = dealt.select("h", "x", "y", "own", "point", "n", "root").groupBy("h", "x", "y").applyInArrow(every, "a long, b long")
-        else:
-            pairs = now.groupBy("h").applyInArrow(some, "a long, b long")
-        new = _similar(pairs.where("a <> b"), points, texts, words, least)
-        grown, links, k = new.count() > 0, links.unionByName(new), k + 1
-        if last:
-            break
-    return links
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    families = cut(families.select("family", "node", "text", F.octet_length("text").alias("bytes")))
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    # a long text counts by its share of a block, so blocks hold about most_bytes
+    blocks = F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("bytes") / most_bytes)).cast("int")
+    dealt = families.drop("bytes").join(small(cut(sizes.select("family", blocks.alias("blocks")))), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = sizes.select("family", blocks.alias("blocks")).where("blocks > 1").limit(1).count() > 0
+
+    def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
+        known = Words()
+        return [shingles(t.as_py(), words, known) for t in texts]
+
+    def edges(nodes: np.ndarray, root: np.ndarray) -> pa.Table:
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": nodes[moved], "v": nodes[root[moved]]})
+
+    def within(group: pa.Table) -> pa.Table:
+        return edges(group.column("node").to_numpy(), Family(sets_of(group.column("text")), least).components())
+
+    links = cut(dealt.groupBy("family", "block").applyInArrow(within, "u long, v long"))
+    if not large:
+        return links
+
+    # vantage sets: those of the smallest hashes of each large family
+    crowd = dealt.where("blocks > 1")
+    order = Window.partitionBy("family").orderBy(F.xxhash64("node", F.lit("vantage")), "node")
+    chosen = crowd.select("family", "node", "blocks").withColumn("at", F.row_number().over(order)).where(F.col("at") <= vantages)
+    views = cut(chosen.join(crowd.select("family", "node", "text"), ["family", "node"]))
+    shown = views.select(F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "at", F.col("node").alias("view"), F.col("text").alias("view_text"))
+
+    def look(group: pa.Table, views: pa.Table) -> pa.Table:
+        views = views.sort_by("at")
+        nodes, far = group.column("node").to_numpy(), np.zeros((group.num_rows, views.num_rows))
+        own = Family([*sets_of(group.column("text")), *sets_of(views.column("view_text"))], least)
+        everyone, m = own.take(np.arange(group.num_rows)), group.num_rows
+        for k in range(views.num_rows if m else 0):
+            members = own.members(m + k)
+            own.marks[members] = 1
+            both = np.add.reduceat(np.concatenate((own.marks[everyone[1]], [0])), everyone[2]) * (own.n[:m] > 0)
+            own.marks[members] = 0
+            far[:, k] = 1 - both / np.maximum(1, len(members) + own.n[:m] - both)
+        return pa.table({"family": group.column("family"), "node": nodes, "block": group.column("block"), "blocks": group.column("blocks"), "far": pa.array(far.tolist(), pa.list_(pa.float64())), "views": pa.array([views.column("view").to_pylist()] * m, pa.list_(pa.int64()))})
+
+    schema = "family long, node long, block int, blocks int, far array<double>, views array<long>"
+    seen = cut(crowd.select("family", "block", "blocks", "node", "text").groupBy("family", "block").cogroup(shown.groupBy("of", "at_block")).applyInArrow(look, schema))
+    close = seen.select("node", F.explode(F.arrays_zip("far", "views")).alias("f")).where(F.col("f.far") <= 1 - least + 1e-9).select(F.col("node").alias("u"), F.col("f.views").alias("v"))
+    links = cut(links.unionByName(close.where("u <> v")))
+
+    rooted = cut(seen.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("views"))
+    main = rooted.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    marked = cut(rooted.join(small(cut(main)), "family").withColumn("left", F.col("root") != F.col("main")).drop("main"))
+    counts = marked.where("left").groupBy("family").agg(F.ceil(F.count("*") / most_rows).cast("int").alias("asks"))
+    asking = marked.join(small(cut(counts)), "family")
+    texts = crowd.select("node", "text")
+    asks = asking.where("left").select("family", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int").alias("ask"), "node", "root", "far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts, "node")
+    others = asking.select(F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("at_ask"), F.col("block").alias("at_block"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("far").alias("far2")).join(texts.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
+
+    def compare(asks: pa.Table, others: pa.Table) -> pa.Table:
+        m, empty = asks.num_rows, pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not m or not others.num_rows:
+            return empty
+        own = Family([*sets_of(asks.column("text")), *sets_of(others.column("text2"))], least)
+        far, far2 = (np.array(t.column(c).to_pylist()) for t, c in ((asks, "far"), (others, "far2")))
+        nodes, nodes2 = np.concatenate((asks.column("node").to_numpy(), others.column("node2").to_numpy())), others.column("node2").to_numpy()
+        roots, at = np.unique(np.concatenate((asks.column("root").to_numpy(), others.column("root2").to_numpy())), return_inverse=True)
+        forest = Forest(len(roots))
+        u, v = [], []
+        for k in range(m):
+            reach = np.abs(far2 - far[k]).max(axis=1) <= 1 - least + 1e-9
+            some = np.flatnonzero(reach & (forest.root[at[m:]] != forest.root[at[k]]))
+            if len(some):
+                found = some[own.near(own.members(k), own.take(some + m))]
+                u += [nodes[k]] * len(found)
+                v += nodes2[found].tolist()
+                forest.union(np.full(len(found), at[k]), at[m + found])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    more = asks.groupBy("family", "ask", "block").cogroup(others.groupBy("of", "at_ask", "at_block")).applyInArrow(compare, "u long, v long")
+    return links.unionByName(more)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 2, most_rows: int = 4096) -> DataFrame:
     """(id, component): the smallest id reachable over pairs of texts whose sets of word shingles have at least this Jaccard similarity.
 
-    Words are as in fingerprints. Equal sets meet before any search, so do null and wordless texts.
-    Shingles and sets are told apart by 64-bit hashes. Rows without an id take no part in links.
+    Words are as in fingerprints. Equal sets meet before any search, so do null and wordless texts; repeated rows
+    have a row each, and rows of one id are one node. Shingles and sets are told apart by 64-bit hashes. Rows without an id take no part in links;
+    they show their set's component, null if no row with an id has it. Only texts of families are moved.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(prefixes(texts, words, least))
-    points = cut(rows.groupBy("point").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("node IS NOT NULL"))
-    met = cut(_meetings(points.select(F.explode("prefix").alias("h"), "point", "n"), least))
-    crowded = met.where("b IS NULL").select("h", F.col("a").alias("point"), "n")
-    held = _texts_of(met.select(F.explode(F.array("a", "b")).alias("point")), points, texts)  # whole texts are shuffled once, then those of meetings
-    links = _similar(met.where("b IS NOT NULL"), points, held, words, least)
-    links = _crowded_links(crowded, links, points, _texts_of(crowded, points, held), words, least)
-    roots = connected(links)
-    classes = points.select("point", "node").join(roots, "node", "left").select("point", F.coalesce("root", "node").alias("component"))
-    return rows.select("id", "point").join(classes, "point", "left").select("id", "component")
+    points = cut(rows.groupBy("point").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    held = points.where("node IS NOT NULL")
+    close = simhash.links(cut(held.groupBy("fp").agg(F.min("node").alias("node"))), radius)
+    family = connected(close.unionByName(meetings(held.select(F.explode("prefix").alias("h"), "node"))))
+    members = cut(family.select("node", F.col("root").alias("family")).unionByName(family.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct()))
+    named = members.join(held.select("node", F.col("point").alias("of")), "node")
+    there = rows.select("id", "point").join(small(cut(named)), (F.col("id") == F.col("node")) & (F.col("point") == F.col("of"))).select("id", "family").distinct()
+    moved = texts.join(small(cut(there)), "id").select("family", F.col("id").alias("node"), "text")
+    roots = connected(family_links(moved, words, least, most_rows))
+    classes = cut(points.join(roots, "node", "left").select("point", F.coalesce("root", "node").alias("component"), "n"))
+    return hot_join(rows.select("id", "point"), classes, "point", rows.count()).select("id", "component")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """df without the rows that link, through others too, to a row of a smaller id; rows without an id stay."""
     found = near_duplicates(df, id_col, text_col, words, least)
-    return df.join(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    return df.join(small(cut(found.where("id <> component").select(F.col("id").alias(id_col)).distinct())), id_col, "left_anti")

@@ -9,7 +9,8 @@ import pytest
 
 import corpus_pipeline
 from pointweave.llm import similar
-from tests.llm.test_operators import prose
+from pointweave.operators.components import connected
+from tests.llm.test_operators import awkward, prose
 
 
 def brute_set(text, words=5):
@@ -61,9 +62,30 @@ def test_stage_drops_near_copies(spark, rows):
     assert 5 < len(first) - len(found) < 18
 
 
-def test_many_near_copies_of_one_text(spark):
+@pytest.mark.parametrize("most_rows", [4096, 60])
+def test_many_near_copies_of_one_text(spark, most_rows):
     rng = random.Random(6)
     base = prose(rng, 146)
     rows = [(i, edited(rng, base, rng.choice((1, 2, 3, 4, 5)))) for i in range(300)] + [(900 + i, edited(rng, base, 30)) for i in range(40)]
-    found = {r["id"]: r["component"] for r in similar.near_duplicates(frame(spark, rows)).collect()}
+    found = {r["id"]: r["component"] for r in similar.near_duplicates(frame(spark, rows), most_rows=most_rows).collect()}
     assert found == brute_first(rows)
+
+
+def test_meetings_connect_equal_hashes(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice((1, 2, rng.randrange(10, 400))), n) for n in range(600)]
+    entries = spark.createDataFrame(rows, "h long, node long").repartition(5)
+    for most in (7, 1_000_000):
+        found = {(r["node"], r["root"]) for r in connected(similar.meetings(entries, most)).collect()}
+        least: dict[int, int] = {}
+        for h, n in rows:
+            least[h] = min(n, least.get(h, n))
+        assert found == {(n, least[h]) for h, n in rows if n != least[h]}
+
+
+def test_awkward_rows_have_a_component_each(spark):
+    rows = awkward()
+    texts = {(i, t) for i, t in rows if i is not None}
+    found = similar.near_duplicates(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert {r["id"]: r["component"] for r in found if r["id"] is not None} == brute_first(sorted(texts, key=str))
