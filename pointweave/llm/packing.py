@@ -81,7 +81,7 @@ class WordEncoder:
     after them, go to the faster encoder of single words.
     """
 
-    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 24_000_000, slice_words: int = 8_000):
+    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 64_000_000, slice_words: int = 32_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         import tiktoken
         from tokenizers import Tokenizer
@@ -111,7 +111,7 @@ class WordEncoder:
 
     def _say(self, pending: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         known = self.known
-        fresh = list(set().union(*(words for _, words in pending)) - known.keys())
+        fresh = [w for w in set().union(*(words for _, words in pending)) if w not in known]
         self._learn(fresh)
         for k, words in pending:
             out[k].append(b"".join(map(known.__getitem__, words)))
