@@ -1,10 +1,12 @@
 """Removal of repeated byte strings: exact classes of equal strings from a Burrows-Wheeler transform.
 
 Whatever two documents share of at least `least` bytes holds the same anchor: each window of that many bytes
-names the least of its gram hashes, a function of the window alone. A context is an anchor with all
-windows that it is named by. Anchors found in one document only are done; the distinct contexts of
-the others meet by anchor, and a suffix sort, its transform and backward extension tell which of
-their windows are equal. Texts stay in their blocks; only anchors and shared contexts move.
+names the least of its gram hashes, a function of the window alone. A context is an anchor with windows that
+name it, one after the other. Blocks of texts tell buckets the hashes of their anchors; anchors found in one
+document only are done. The contexts of the others go to their anchor's bucket as bytes. There equal contexts
+are one, and a suffix sort, its transform and backward extension tell which windows of different contexts of an
+anchor are equal. So every equality is one of bytes: hashes only choose where strings meet. Texts stay in
+their blocks.
 """
 
 from __future__ import annotations
@@ -15,27 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import free_names, text_or_empty
+from pointweave.llm.common import cut, free_names, hot_join, mixed, text_or_empty
 
 GRAM = 25
-PLACE = np.uint64((1 << 28) - 1)
+#: So many windows of a text are hashed at once; the low bits of a key hold a place among them.
+CHUNK = 1 << 20
+PLACE = np.uint64(2 * CHUNK - 1)
 NONE = np.iinfo(np.int64).max
 #: Odd multipliers of the rolling gram hash.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A hash of the 25 bytes from each place on; sums over 1, 2, 4, 8 and 16 bytes double up to 16 + 8 + 1."""
     with np.errstate(over="ignore"):
@@ -48,29 +44,36 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
         return mixed((sixteen[:n] * ODD[1] + eight[16 : 16 + n]) * ODD[2] + one[24 : 24 + n])
 
 
-def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, context's hash, first window, last window) of each anchor of a text of at least `least` bytes, in order.
-
-    A context is its first and its last window, whose grams' hashes make up its own.
-    """
-    hashes = gram_hashes(b)
-    keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    width, reach = least - GRAM + 1, 1
-    while 2 * reach <= width:
-        keys = np.minimum(keys[:-reach], keys[reach:])
-        reach *= 2
-    if width > reach:
-        keys = np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :])
-    at = (keys & PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    last = np.concatenate((first[1:], [len(at)])) - 1
+def string_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the strings from window first to window last, from those of the grams they are covered by."""
     with np.errstate(over="ignore"):
-        context = (last - first).astype(np.uint64)
+        out = (last - first).astype(np.uint64)
         for window in (first, last):
             for k in (*range(0, least - GRAM, GRAM), least - GRAM):
-                context = context * ODD[3] + hashes[window + k]
-        context = mixed(context)
-    return hashes[at[first]], context, first, last
+                out = out * ODD[3] + hashes[window + k]
+    return mixed(out)
+
+
+def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(gram hash, context's hash, first window, last window) of each anchor of a text of at least `least` bytes, in order.
+
+    A long text is taken in parts; a context ends where a part does.
+    """
+    parts = []
+    for lo in range(0, len(b) - least + 1, CHUNK):
+        hashes = gram_hashes(b[lo : lo + CHUNK + least - 1])
+        keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        width, reach = least - GRAM + 1, 1
+        while 2 * reach <= width:
+            keys = np.minimum(keys[:-reach], keys[reach:])
+            reach *= 2
+        if width > reach:
+            keys = np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :])
+        at = (keys & PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        parts.append((hashes[at[first]], string_hashes(hashes, first, last, least), first + lo, last + lo))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -166,133 +169,103 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def low6(x: np.ndarray) -> np.ndarray:
-    """Low 48 bits as rows of six bytes."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").reshape(-1)
+def runs(keys: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """by, an order that sorts the keys, in parts of equal keys."""
+    return np.split(by, np.flatnonzero(keys[by][1:] != keys[by][:-1]) + 1) if len(by) else []
 
 
-def from6(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :6] = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of so many numbers each."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Block:
-    """The anchors of a block's texts. Rows of no id and copies of another document's text take no part."""
+    """A block's texts in order of ids, side by side. Copies of another document's text take no part in the search."""
 
-    def __init__(self, texts: pa.Table, copies: set[tuple[int, int]], least: int, crowd: int):
+    def __init__(self, texts: pa.Table, copies: set[tuple[int, int]], least: int):
         self.least = least
         ids, tags = texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tags[i]))
-        self.order = order
-        self.ids, self.tags = [ids[i] for i in order], [tags[i] for i in order]
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], tags[i]))
+        self.ids = np.array([ids[i] for i in self.order], np.int64)
+        self.copy = np.array([(ids[i], tags[i]) in copies for i in self.order], bool)
         column = texts.column("text").combine_chunks()
-        self.raw = [column[i].as_py().encode("utf-8", "surrogatepass") for i in order]
-        self.copy = [i is not None and (i, t) in copies for i, t in zip(self.ids, self.tags)]
-        hashes, sums, firsts, lasts, docs = [], [], [], [], []
-        for d, raw in enumerate(self.raw):
-            if len(raw) < least or self.ids[d] is None or self.copy[d]:
-                continue
-            h, c, first, last = anchors(np.frombuffer(raw, np.uint8), least)
-            hashes.append(h)
-            sums.append(c)
-            firsts.append(first)
-            lasts.append(last)
+        raw = [column[i].as_py().encode("utf-8", "surrogatepass") for i in self.order]
+        self.sizes = np.array([len(x) for x in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def search(self) -> None:
+        """Finds the anchors: their hashes, contexts and documents, and the distinct hashes with what is to be said of them."""
+        found, docs = [], []
+        for d in np.flatnonzero(~self.copy).tolist():
+            at = int(self.starts[d])
+            h, c, first, last = anchors(self.flat[at : at + self.sizes[d]], self.least)
+            found.append((h, c, first + at, last + at))
             docs.append(np.full(len(h), d))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        h, c = join(hashes, np.uint64), join(sums, np.uint64)
-        self.first, self.last, self.doc = (join(x, np.int64) for x in (firsts, lasts, docs))
-        self.doc_id = np.array([i or 0 for i in self.ids], np.int64)[self.doc]
+        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        self.hash, self.context, self.first, self.last = (np.concatenate(x) for x in zip(empty, *found))
+        self.doc = np.concatenate([np.zeros(0, np.int64), *docs])
+        doc_id = self.ids[self.doc]
+        by = np.argsort(self.hash, kind="stable")
+        new = np.concatenate(([True], self.hash[by][1:] != self.hash[by][:-1]))[: len(by)]
+        at = np.flatnonzero(new)
+        self.names = self.hash[by[at]]
+        self.of = np.empty(len(by), np.int64)
+        self.of[by] = np.cumsum(new) - 1
+        ends = np.append(at[1:], len(by))[: len(at)] - 1
+        several = doc_id[by[ends]] != doc_id[by[at]]  # occurrences are in order of ids
         with np.errstate(over="ignore"):
-            key = mixed(h * ODD[0] ^ c)
-        by = np.argsort(key)
+            _, one = np.unique(mixed(self.hash * ODD[0] ^ self.context), return_index=True)
+        contexts = np.bincount(self.of[one], minlength=len(self.names))
+        self.said = (np.minimum(contexts, 127) | (several.astype(np.int64) << 7)).astype(np.uint8)
+
+    def units(self, code: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """(start, length, hash, document) of the strings to be told to buckets: contexts of shared anchors, and the single
+        windows of crowded ones."""
+        whole, single = (np.flatnonzero(code[self.of] == k) for k in (SHARED, CROWDED))
+        parts = [(self.first[whole], self.last[whole] - self.first[whole] + self.least, self.hash[whole], self.context[whole], self.doc[whole])]
+        if len(single):
+            windows = self.last[single] - self.first[single] + 1
+            start = spread(self.first[single], windows)
+            h = string_hashes(gram_hashes(self.flat), start, start, self.least)
+            parts.append((start, np.full(len(start), self.least), h, h, np.repeat(self.doc[single], windows)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def grouped(self, start: np.ndarray, length: np.ndarray, h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each unit, first unit of each group): units of one group have equal hashes and equal bytes."""
+        with np.errstate(over="ignore"):
+            key = mixed(h * ODD[0] ^ mixed(context + length.astype(np.uint64)))
+        by = np.lexsort((start, doc, key))  # documents are in order of ids, so a group's first unit is of its least one
         new = np.concatenate(([True], key[by][1:] != key[by][:-1]))[: len(by)]
-        starts = np.flatnonzero(new)
-        self.context = np.empty(len(by), np.int64)
-        self.context[by] = np.cumsum(new) - 1
-        # one occurrence, of the least id, of each distinct context: texts are in order of ids
-        self.at = np.minimum.reduceat(by, starts) if len(by) else by
-        self.hashes, self.sums, self.least_doc = h[self.at], c[self.at], self.doc_id[self.at]
-        most = self.doc_id[np.maximum.reduceat(by, starts)] if len(by) else self.least_doc
-        self.several = most != self.least_doc
-        _, anchor, contexts = np.unique(self.hashes, return_inverse=True, return_counts=True)
-        self.crowded = contexts[anchor] > crowd  # the contexts of anchors that have more than crowd of them here
-
-    def windows(self, asked: list[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Windows one by one of the contexts of crowded anchors, here or elsewhere (asked): (the windows' numbers
-        by context, digests, least documents, whether of several documents). Numbers are those of distinct windows."""
-        number: dict[bytes, int] = {}
-        of: dict[int, np.ndarray] = {}
-        docs: list[int] = []
-        several: list[bool] = []
-        digest = xxhash.xxh3_128_digest
-        for k in np.unique(np.concatenate((np.flatnonzero(self.crowded), *asked)).astype(np.int64)).tolist():
-            at, least_doc, many, own = self.at[k], int(self.least_doc[k]), bool(self.several[k]), []
-            raw = self.raw[self.doc[at]]
-            for s in range(int(self.first[at]), int(self.last[at]) + 1):
-                n = number.setdefault(digest(raw[s : s + self.least]), len(number))
-                own.append(n)
-                if n == len(docs):
-                    docs.append(least_doc)
-                    several.append(many)
-                else:
-                    several[n] |= many or docs[n] != least_doc
-                    docs[n] = min(docs[n], least_doc)
-            of[k] = np.array(own)
-        return of, np.frombuffer(b"".join(number), "V16"), np.array(docs, np.int64), np.array(several, bool)
-
-
-#: What an announced context says of itself: that of one document, of several, or that its anchor is crowded and it stands for all.
-ONE, SEVERAL, CROWDED = 0, 1, 2
-
-
-class Shared:
-    """The contexts of a bucket whose anchor is in two documents at least.
-
-    Those of crowded anchors are apart: their windows are to be compared one by one, each with a task of its own hash.
-    """
-
-    KINDS = ("V6", "V6", "<i8", "<u4", "u1")
-
-    def __init__(self, blobs: pa.Table, most: int):
-        found = [(b, unpack(d, *self.KINDS)) for b, d in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist())]
-        h, c = (from6(np.concatenate([x[k] for _, x in found])) for k in (0, 1))
-        doc, number, said = (np.concatenate([x[k] for _, x in found]) for k in (2, 3, 4))
-        block = np.repeat(np.array([b for b, _ in found], np.int64), [len(x[0]) for _, x in found])
-        by = np.lexsort((block, doc, c, h))
-        h, c, doc, number, said, block = (x[by] for x in (h, c, doc, number, said, block))
-        group = np.concatenate(([True], h[1:] != h[:-1]))
-        new = group | np.concatenate(([True], c[1:] != c[:-1]))
-        at, own = np.flatnonzero(group), np.cumsum(group) - 1
-        crowded = (np.maximum.reduceat(said, at) == CROWDED) | (np.add.reduceat(new.astype(np.int64), at) > most)
-        shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.maximum.reduceat(said, at) == SEVERAL)
-        apart = crowded[own] & (said != CROWDED)  # a block knows of its own crowded anchors
-        self.apart = (block[apart], number[apart])
-        keep = (shared & ~crowded)[own]
-        h, new, self.doc, self.number, self.several, self.block = (x[keep] for x in (h, new, doc, number, said == SEVERAL, block))
-        self.context = np.cumsum(new) - 1  # of each entry
-        self.first = np.flatnonzero(new)  # entry of the least document of each context
-        heads = h[self.first]
-        self.anchor = np.cumsum(np.concatenate(([True], heads[1:] != heads[:-1]))[: len(heads)]) - 1  # of each context
-        self.alone = np.bincount(self.anchor, minlength=1)[self.anchor] == 1 if len(heads) else np.zeros(0, bool)
-
-    def told_apart(self) -> list[tuple[int, int, bytes]]:
-        """Notes to blocks on their contexts of anchors that are crowded elsewhere."""
-        block, number = self.apart
-        by = np.argsort(block, kind="stable")
-        return [(int(block[at[0]]), APART, pack(number[at].astype("<u4"))) for at in runs(block, by)]
-
-
-def runs(keys: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
-    """by, an order that sorts the keys, in parts of equal keys."""
-    return np.split(by, np.flatnonzero(keys[by][1:] != keys[by][:-1]) + 1) if len(by) else []
-
-
-#: Buckets of notes that blocks get apart from answers: copies, and contexts to take window by window.
-COPIES, APART = -1, -2
-#: First bytes of what buckets get and answer: on contexts, or on single windows.
-WHOLE, SINGLE = b"c", b"w"
-
+        while True:
+            first = by[np.flatnonzero(new)]
+            group = np.cumsum(new) - 1
+            # bytes against those of the group's first unit, a few units at a time
+            other = np.zeros(len(by), bool)
+            for lo in range(0, len(by), 65_536):
+                own, rep = by[lo : lo + 65_536], first[group[lo : lo + 65_536]]
+                size = length[own]
+                differ = (length[rep] != size) | (h[rep] != h[own])
+                size = np.where(differ, 0, size)
+                apart = self.flat[spread(start[own], size)] != self.flat[spread(start[rep], size)]
+                differ |= np.bincount(np.repeat(np.arange(len(own)), size), weights=apart, minlength=len(own)) > 0
+                other[lo : lo + 65_536] = differ
+            if not other.any():
+                break
+            # equal hashes of other bytes: those units are groups of their own, told apart once more
+            key = key.copy()
+            key[by[other]] = mixed(key[by[other]] + ODD[1])
+            by = np.lexsort((start, doc, key))
+            new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+        out = np.empty(len(by), np.int64)
+        out[by] = group
+        return out, first
+
+
+#: What a bucket says of an anchor: in one document only, in several, in so many contexts that its windows go one by one.
+ALONE, SHARED, CROWDED = 0, 1, 2
+#: Buckets of notes that blocks get apart from answers: copies, and what they have sent themselves.
+COPIES, OWN = -1, -2
 
 NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 
@@ -306,37 +279,118 @@ def _copies(notes: pa.Table) -> set[tuple[int, int]]:
     return {(k["id"], k["tag"]) for b, keys in zip(notes.column("bucket").to_pylist(), notes.column("copies").to_pylist()) if b == COPIES for k in keys}
 
 
-def _apart(notes: pa.Table) -> list[np.ndarray]:
-    """Contexts that a block is told to take window by window."""
-    return [unpack(d, "<u4")[0] for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b == APART]
+def _told(notes: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """(bucket, data) of the notes but copies."""
+    return ((b, d) for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b != COPIES)
+
+
+def two(head: bytes, rest: bytes) -> bytes:
+    return len(head).to_bytes(4, "little") + head + rest
+
+
+def untwo(data: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(data[:4], "little")
+    return data[4 : 4 + n], data[4 + n :]
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def low4(h: np.ndarray) -> np.ndarray:
+    """What tells hashes of a bucket apart; where it doesn't, strings meet in vain."""
+    return (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def shared_codes(blobs: pa.Table, most: int) -> list[tuple[int, int, bytes]]:
+    """Notes to blocks on the anchors they have told a bucket of, in the order of their telling."""
+    found = [(b, unpack(d, "<u4", "u1")) for b, d in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist())]
+    bucket = blobs.column("bucket")[0].as_py()
+    key, said = (np.concatenate([x[k] for _, x in found]) for k in (0, 1))
+    by = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+    at = np.flatnonzero(new)
+    contexts = np.add.reduceat((said[by] & 127).astype(np.int64), at)
+    shared = (np.diff(np.append(at, len(by))) > 1) | (np.maximum.reduceat(said[by] >> 7, at) > 0)
+    code = np.empty(len(by), np.uint8)
+    code[by] = np.where(shared, np.where(contexts > most, CROWDED, SHARED), ALONE).astype(np.uint8)[np.cumsum(new) - 1]
+    ends = np.cumsum([len(x[0]) for _, x in found])
+    return [(b, bucket, pack(c)) for (b, _), c in zip(found, np.split(code, ends[:-1])) if c.any()]
+
+
+def least_owners(blobs: pa.Table, least: int, batch_bytes: int) -> list[tuple[int, int, bytes]]:
+    """Notes to blocks on the least document of each window of the strings they have sent, where that tells them something."""
+    bucket = blobs.column("bucket")[0].as_py()
+    heads, strings = [], []
+    number: dict[tuple[int, bytes], int] = {}
+    context: list[int] = []
+    for block, data in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist()):
+        head, rest = untwo(data)
+        key, length, doc, several = unpack(head, "<u4", "<u2", "<i8", "?")
+        said = unpack(rest, "u1")[0].tobytes()
+        ends = np.cumsum(length.astype(np.int64)).tolist()
+        strings = [said[e - n : e] for e, n in zip(ends, length.tolist())]
+        context += [number.setdefault(k, len(number)) for k in zip(key.tolist(), strings)]
+        heads.append((np.full(len(key), block), np.arange(len(key)), doc, several))
+    block, place, doc, several = (np.concatenate(x) for x in zip(*heads))
+    of = np.array(context)
+    texts = [s for _, s in number]
+    anchor = np.array([k for k, _ in number], np.int64)
+    lowest = np.full(len(texts), NONE)
+    np.minimum.at(lowest, of, doc)
+    # contexts that are not the only one of their anchor, anchor by anchor
+    by = np.argsort(anchor, kind="stable")
+    size = np.bincount(np.cumsum(np.concatenate(([0], anchor[by][1:] != anchor[by][:-1]))))
+    names = by[np.repeat(size, size) > 1].tolist()
+    minima: dict[int, np.ndarray] = {}
+    lo = 0
+    while lo < len(names):  # whole anchors at a time, as windows of different anchors aren't equal
+        hi, total = lo, 0
+        while hi < len(names) and (total < batch_bytes or anchor[names[hi]] == anchor[names[hi - 1]]):
+            total += len(texts[names[hi]])
+            hi += 1
+        own = names[lo:hi]
+        minima.update(zip(own, window_minima([texts[k] for k in own], lowest[own], least)))
+        lo = hi
+    flat, some_less = lowest.copy(), lowest.copy()  # the one least document of all windows of a context, or NONE if they differ
+    for k, m in minima.items():
+        flat[k], some_less[k] = (m[0] if (m == m[0]).all() else NONE), m.min()
+    out = []
+    tell = np.flatnonzero(several | (some_less[of] < doc))
+    for at in runs(block, tell[np.argsort(block[tell], kind="stable")]):
+        more = [minima[k] if flat[k] == NONE else np.zeros(0, np.int64) for k in of[at].tolist()]
+        head = pack(place[at].astype("<u4"), flat[of[at]], np.array([len(m) for m in more], "<u4"))
+        out.append((int(block[at[0]]), bucket, two(head, pack(np.concatenate(more)))))
+    return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 1_500_000, crowd: int = 64, most: int = 50_000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 1_500_000, most: int = 4096, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], c0, c1, ...) of each row; c0 and on are the columns to carry.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.
     Null texts are empty; rows without an id lose nothing and take nothing; rows of one id aren't held
     against each other. kept, a string, drops what is left of characters cut in two.
 
-    A passage in very many documents gives the anchors at its ends a context of each. An anchor of more than
-    crowd contexts in a block, or most in its bucket, is crowded: no task gathers its contexts, and all blocks
-    send their windows one by one instead, by 128-bit digests to as many tasks as there are buckets.
+    A text that a document of a smaller id has as a whole, by SHA-256, goes without a search. A passage in very many
+    documents gives the anchors at its ends a context of each; of an anchor of more than `most` contexts the single
+    windows go to buckets, each by its own hash, so no task gathers them all. They are compared there like contexts.
     """
     spark = df.sparkSession
     carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *carried)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    extra = [f"c{k}" for k in range(len(carry))]
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *carried).withColumn("n", F.octet_length("text").cast("long"))
+    searched = F.col("doc_id").isNotNull() & (F.col("n") >= least)
+    total, count = rows.agg(F.sum("n"), F.count("*")).first()
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, buckets = (max(floor, math.ceil(total / n)) for n in (block_bytes, bucket_bytes))
-    tagged = rows.withColumn("tag", F.xxhash64("text"))  # tells rows of one id apart
-    block_of = F.pmod(F.xxhash64(F.coalesce("doc_id", "tag"), F.lit("block")), F.lit(blocks))
-    base = tagged.withColumn("block", block_of).repartition(blocks, "block")
-
-    # a text that a smaller document has as a whole is gone without a search, and finds nothing that the other doesn't
-    light = tagged.where("doc_id IS NOT NULL").select("doc_id", "tag", F.sha2("text", 256).alias("whole"), F.octet_length("text").alias("n")).where(F.col("n") >= least)
-    earliest = light.groupBy("whole").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")).where("n > 1").select("whole", "earliest")
-    copies = light.join(earliest, "whole").where("doc_id <> earliest").select("doc_id", "tag", block_of.alias("block")).groupBy("block").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "tag")).alias("copies"))
-    told = copies.select("block", F.lit(COPIES).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), "copies")
+    blocks, buckets = (max(floor, math.ceil((total or 0) / n)) for n in (block_bytes, bucket_bytes))
+    tagged = rows.where(searched).withColumn("tag", F.xxhash64("text"))  # tells rows of one id apart
+    block_of = F.pmod(F.xxhash64("doc_id", "tag", F.lit("block")), F.lit(blocks))
+    base = tagged.withColumn("block", block_of).drop("n").repartition(blocks, "block")
+
+    light = tagged.select("doc_id", "tag", F.sha2("text", 256).alias("whole"))
+    earliest = cut(light.groupBy("whole").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")).where("n > 1"))
+    copies = hot_join(light, earliest, "whole", count).where("doc_id <> earliest").select("doc_id", "tag", block_of.alias("block")).groupBy("block").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "tag")).alias("copies"))
+    told = cut(copies.select("block", F.lit(COPIES).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), "copies"))
     no_copies = F.lit(None).cast("array<struct<id:bigint,tag:bigint>>").alias("copies")
 
     def in_blocks(notes: DataFrame, run, schema: str) -> DataFrame:
@@ -345,176 +399,113 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     note = "block long, bucket long, data binary"
 
+    def told_buckets(own: Block) -> list[np.ndarray]:
+        """Names of anchors by bucket."""
+        bucket = bucket_of(own.names, buckets)
+        return runs(bucket, np.argsort(bucket, kind="stable"))
+
     def announce(texts: pa.Table, notes: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _notes([])
-        own = Block(texts, _copies(notes), least, crowd)
+        own = Block(texts, _copies(notes), least)
+        own.search()
         number = texts.column("block")[0].as_py()
-        said = np.where(own.crowded, CROWDED, np.where(own.several, SEVERAL, ONE)).astype(np.uint8)
-        _, once = np.unique(own.hashes, return_index=True)
-        tell = ~own.crowded
-        tell[once] = True  # one for all contexts of a crowded anchor
-        tell = np.flatnonzero(tell)
-        bucket = (own.hashes >> np.uint64(40)).astype(np.int64) % buckets
-        return _notes([(number, int(bucket[at[0]]), pack(low6(own.hashes[at]), low6(own.sums[at]), own.least_doc[at], at.astype("<u4"), said[at])) for at in runs(bucket, tell[np.argsort(bucket[tell], kind="stable")])])
-
-    announced = in_blocks(told, announce, note).repartition(buckets, "bucket")
+        return _notes([(number, int(bucket_of(own.names[at[:1]], buckets)[0]), pack(low4(own.names[at]), own.said[at])) for at in told_buckets(own)])
 
     def ask(blobs: pa.Table) -> pa.Table:
-        shared = Shared(blobs, most)
-        wanted = np.flatnonzero(~shared.alone)
-        entry, bucket = shared.first[wanted], blobs.column("bucket")[0].as_py()
-        block = shared.block[entry]
-        asks = [(int(block[at[0]]), bucket, pack(shared.number[entry[at]].astype("<u4"), wanted[at].astype("<u4"))) for at in runs(block, np.argsort(block, kind="stable"))]
-        return _notes(asks + shared.told_apart())
+        return _notes(shared_codes(blobs, most))
 
-    asked = announced.groupBy("bucket").applyInArrow(ask, note)
+    asked = in_blocks(told, announce, note).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(ask, note)
 
     def supply(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        if not texts.num_rows:
+        codes = dict(_told(notes))
+        if not texts.num_rows or not codes:
             return _notes([])
-        own, out = Block(texts, _copies(notes), least, crowd), []
-        number = texts.column("block")[0].as_py()
-        for bucket, data in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()):
-            if bucket >= 0:
-                wanted, names = unpack(data, "<u4", "<u4")
-                at = own.at[wanted]
-                first, end, doc = own.first[at], own.last[at] + least, own.doc[at]
-                said = b"".join([own.raw[d][a:b] for d, a, b in zip(doc.tolist(), first.tolist(), end.tolist())])
-                head = pack(names.astype("<u4"), (end - first).astype("<u4"))
-                out.append((number, bucket, WHOLE + len(head).to_bytes(4, "little") + head + pack(np.frombuffer(said, np.uint8))))
-        _, digests, docs, several = own.windows(_apart(notes))
-        if len(digests):
-            bucket = np.frombuffer(digests.tobytes(), "<u8")[::2] % np.uint64(buckets)
-            out += [(number, int(bucket[at[0]]), SINGLE + pack(digests[at], docs[at], at.astype("<u4"), several[at])) for at in runs(bucket, np.argsort(bucket, kind="stable"))]
-        return _notes(out)
-
-    supplied = in_blocks(asked.select("block", "bucket", "data", no_copies).unionByName(told), supply, note)
-
-    def answer(blobs: pa.Table, supplies: pa.Table) -> pa.Table:
-        texts: dict[int, bytes] = {}
-        singles: list[tuple[int, list[np.ndarray]]] = []
-        for block, data in zip(supplies.column("of_block").to_pylist(), supplies.column("contexts").to_pylist()):
-            if data[:1] == SINGLE:
-                singles.append((block, unpack(data[1:], "V16", "<i8", "<u4", "?")))
-                continue
-            n = int.from_bytes(data[1:5], "little")
-            names, lengths = unpack(data[5 : 5 + n], "<u4", "<u4")
-            said = unpack(data[5 + n :], "u1")[0].tobytes()
-            ends = np.cumsum(lengths.astype(np.int64)).tolist()
-            texts.update({k: said[e - m : e] for k, e, m in zip(names.tolist(), ends, lengths.tolist())})
-        out = single_answers(singles)
-        if not blobs.num_rows:
-            return _notes(out)
-        shared = Shared(blobs, most)
-        out += shared.told_apart()
-        lowest = shared.doc[shared.first]
-        minima: dict[int, np.ndarray] = {}
-        names = sorted(texts)
-        lo = 0
-        while lo < len(names):  # whole anchors at a time, as windows of different anchors aren't equal
-            hi, size = lo, 0
-            while hi < len(names) and (size < batch_bytes or shared.anchor[names[hi]] == shared.anchor[names[hi - 1]]):
-                size += len(texts[names[hi]])
-                hi += 1
-            own = names[lo:hi]
-            minima.update(zip(own, window_minima([texts[k] for k in own], lowest[own], least)))
-            lo = hi
-        flat = lowest.copy()  # the one least document of all windows of a context, or NONE if they differ
-        for k, m in minima.items():
-            flat[k] = m[0] if (m == m[0]).all() else NONE
-        varied = {k: m for k, m in minima.items() if flat[k] == NONE}
-        some_less = flat.copy()
-        for k, m in varied.items():
-            some_less[k] = m.min()
-        tell = np.flatnonzero(shared.several | (some_less[shared.context] < shared.doc))
-        for at in runs(shared.block, tell[np.argsort(shared.block[tell], kind="stable")]):
-            context = shared.context[at]
-            more = [varied[k] for k in context.tolist() if k in varied]
-            counts = np.array([len(varied[k]) if k in varied else 0 for k in context.tolist()], "<u4")
-            head = pack(shared.number[at].astype("<u4"), flat[context], counts)
-            out.append((int(shared.block[at[0]]), 0, WHOLE + len(head).to_bytes(4, "little") + head + pack(np.concatenate(more) if more else np.zeros(0, np.int64))))
-        return _notes(out)
-
-    contexts = supplied.select(F.col("bucket").alias("to_bucket"), F.col("block").alias("of_block"), F.col("data").alias("contexts")).repartition(buckets, "to_bucket")
-    answered = announced.groupBy("bucket").cogroup(contexts.groupBy("to_bucket")).applyInArrow(answer, note)
+        own = Block(texts, _copies(notes), least)
+        own.search()
+        number, code = texts.column("block")[0].as_py(), np.zeros(len(own.names), np.uint8)
+        for at in told_buckets(own):
+            if (said := codes.get(int(bucket_of(own.names[at[:1]], buckets)[0]))) is not None:
+                code[at] = unpack(said, "u1")[0]
+        start, length, h, context, doc = own.units(code, buckets)
+        group, first = own.grouped(start, length, h, context, doc)
+        ids = own.ids[doc]
+        most_id = np.full(len(first), np.iinfo(np.int64).min)
+        np.maximum.at(most_id, group, ids)
+        bucket = bucket_of(h[first], buckets)
+        by = np.argsort(bucket, kind="stable")
+        out, bases, place = [], [], np.empty(len(first), np.int64)
+        place[by] = np.arange(len(by))
+        for at in runs(bucket, by):
+            f = first[at]
+            head = pack(low4(h[f]), length[f].astype("<u2"), ids[f], most_id[at] != ids[f])
+            out.append((number, int(bucket[at[0]]), two(head, pack(own.flat[spread(start[f], length[f])]))))
+            bases.append((int(bucket[at[0]]), int(place[at[0]])))
+        mine = two(pack(start.astype("<i8"), length.astype("<u2"), place[group].astype("<u4")), pack(np.array([b for b, _ in bases], "<i8"), np.array([p for _, p in bases], "<i8")))
+        return _notes([*out, (number, OWN - number, mine)])
+
+    supplied = in_blocks(asked.select("block", "bucket", "data", no_copies).unionByName(told), supply, note).repartition(buckets, "bucket")
+
+    def answer(blobs: pa.Table) -> pa.Table:
+        if blobs.column("bucket")[0].as_py() < 0:  # what a block has noted for itself
+            return blobs
+        return _notes(least_owners(blobs, least, batch_bytes))
+
+    answered = supplied.groupBy("bucket").applyInArrow(answer, note)
 
     own_columns = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * keep_text
-    extra = [f"c{k}" for k in range(len(carry))]
     result = ", ".join(own_columns + [f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra])
+    names = [x.split()[0] for x in own_columns] + extra
 
     def finish(texts: pa.Table, notes: pa.Table) -> pa.Table:
         kinds = (pa.int64(),) * 4 + (pa.string(),) * (1 + keep_text)
-        names = [x.split()[0] for x in own_columns]
-        found: list[tuple] = []
-        order: list[int] = []
-        if texts.num_rows:
-            own = Block(texts, _copies(notes), least, crowd)
-            flat = np.full(len(own.at), NONE)
-            varied: dict[int, np.ndarray] = {}
-            numbers, digests, _, _ = own.windows(_apart(notes))
-            single = np.full(len(digests), NONE)
-            for bucket, data in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()):
-                if bucket < 0:
-                    continue
-                if data[:1] == SINGLE:
-                    number, lowest = unpack(data[1:], "<u4", "<i8")
-                    single[number] = lowest
-                    continue
-                n = int.from_bytes(data[1:5], "little")
-                number, lowest, counts = unpack(data[5 : 5 + n], "<u4", "<i8", "<u4")
-                flat[number] = lowest
-                more, at = unpack(data[5 + n :], "<i8")[0], 0
-                for k in np.flatnonzero(counts).tolist():
-                    varied[int(number[k])] = more[at : at + counts[k]]
-                    at += int(counts[k])
-            varied.update({k: single[own_windows] for k, own_windows in numbers.items()})
-            gone: dict[int, list[tuple[int, int]]] = {}
-            for k in np.flatnonzero(flat[own.context] < own.doc_id).tolist():
-                gone.setdefault(int(own.doc[k]), []).append((int(own.first[k]), int(own.last[k]) + least))
-            if varied:
-                for k in np.flatnonzero(np.isin(own.context, np.fromiter(varied, np.int64, len(varied)))).tolist():
-                    for s in np.flatnonzero(varied[int(own.context[k])] < own.doc_id[k]).tolist():
-                        gone.setdefault(int(own.doc[k]), []).append((int(own.first[k]) + s, int(own.first[k]) + s + least))
-            for d, raw in enumerate(own.raw):
-                spans = [(0, len(raw))] if own.copy[d] else merge(gone.get(d, []))
-                left, at = [], 0
-                for a, b in spans:
-                    left.append(raw[at:a])
-                    at = b
-                kept = b"".join((*left, raw[at:]))
-                found.append((own.ids[d], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else ())))
-            order = own.order
-        columns = [pa.array(list(c), k) for c, k in zip(list(zip(*found)) or [()] * len(names), kinds)]
-        return pa.table(columns + [texts.column(c).take(pa.array(order, pa.int64())) for c in extra], names=names + extra)
-
-    return in_blocks(answered.select("block", "bucket", "data", no_copies).unionByName(told), finish, result)
-
-
-def single_answers(singles: list[tuple[int, list[np.ndarray]]]) -> list[tuple[int, int, bytes]]:
-    """Notes to blocks on the least document of each of their single windows, where that tells them something."""
-    if not singles:
-        return []
-    digest, doc, number, several = (np.concatenate([x[k] for _, x in singles]) for k in range(4))
-    block = np.repeat(np.array([b for b, _ in singles], np.int64), [len(x[0]) for _, x in singles])
-    high, low = np.frombuffer(digest.tobytes(), "<u8").reshape(-1, 2).T
-    by = np.lexsort((low, high))
-    new = np.concatenate(([True], (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])))
-    lowest = np.empty(len(by), np.int64)
-    lowest[by] = np.minimum.reduceat(doc[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-    tell = np.flatnonzero(several | (lowest < doc))
-    return [(int(block[at[0]]), 0, SINGLE + pack(number[at].astype("<u4"), lowest[at])) for at in runs(block, tell[np.argsort(block[tell], kind="stable")])]
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of what the spans cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        if not texts.num_rows:
+            return pa.table([pa.array([], k) for k in kinds] + [texts.column(c) for c in extra], names=names)
+        own = Block(texts, _copies(notes), least)
+        answers = dict(_told(notes))
+        edge = np.zeros(len(own.flat) + 1, np.int32)
+        if (mine := next((answers.pop(b) for b in list(answers) if b < 0), None)) is not None:
+            units, bases = untwo(mine)
+            start, length, place = unpack(units, "<i8", "<u2", "<u4")
+            base = dict(zip(*(x.tolist() for x in unpack(bases, "<i8", "<i8"))))
+            doc_id = own.ids[np.searchsorted(own.starts, start, side="right") - 1]
+            groups = int(place.max()) + 1 if len(place) else 0
+            flat, at, more = np.full(groups, NONE), np.full(groups, -1), [np.zeros(0, np.int64)]
+            seen = 0
+            for bucket, data in answers.items():
+                head, rest = untwo(data)
+                k, lowest, counts = unpack(head, "<u4", "<i8", "<u4")
+                k = k + base[bucket]
+                flat[k] = lowest
+                varied = np.flatnonzero(counts)
+                at[k[varied]] = seen + np.cumsum(counts[varied]) - counts[varied]
+                more.append(unpack(rest, "<i8")[0])
+                seen += len(more[-1])
+            minima = np.concatenate(more)
+            whole = np.flatnonzero(flat[place] < doc_id)
+            np.add.at(edge, start[whole], 1)
+            np.add.at(edge, start[whole] + length[whole], -1)
+            part = np.flatnonzero(at[place] >= 0)
+            windows = length[part].astype(np.int64) - least + 1
+            less = minima[spread(at[place[part]], windows)] < np.repeat(doc_id[part], windows)
+            begin = spread(start[part], windows)[less]
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + least, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        found = []
+        for d, (i, at, size) in enumerate(zip(own.ids.tolist(), own.starts.tolist(), own.sizes.tolist())):
+            mask = gone[at : at + size] if not own.copy[d] else np.ones(size, bool)
+            kept = own.flat[at : at + size][~mask].tobytes()
+            spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
+            found.append((i, size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else ())))
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)]
+        return pa.table(columns + [texts.column(c).take(pa.array(own.order, pa.int64())) for c in extra], names=names)
+
+    done = in_blocks(answered.select("block", F.col("bucket"), "data", no_copies).unionByName(told), finish, result)
+    zero = F.lit(0).cast("long")
+    kept = [F.col("text").alias("kept")] if keep_text else []
+    rest = rows.where(F.col("doc_id").isNull() | (F.col("n") < least)).select("doc_id", F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *kept, *extra)
+    return done.unionByName(rest)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:

@@ -224,12 +224,38 @@ def brute_repeats(rows, least=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("crowd", "most"), [(64, 50_000), (1, 50_000), (64, 1), (0, 0)])
-def test_repeats_equal_brute_force(docs, crowd, most):
-    found = suffixes.remove_repeats(docs, block_bytes=20_000, bucket_bytes=10_000, crowd=crowd, most=most)
+@pytest.mark.parametrize("most", [4096, 1, 0])
+def test_repeats_equal_brute_force(docs, most):
+    found = suffixes.remove_repeats(docs, block_bytes=20_000, bucket_bytes=10_000, most=most)
     assert table(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(awkward())
 
 
+def test_repeats_in_texts_taken_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    long = prose(rng, 900)
+    rows = [(1, long), (2, prose(rng, 300) + long[700:2400] + prose(rng, 200)), (3, long[100:160]), (4, long[:3000] + "x" + long[3000:])]
+    found = []
+    for part in (64, 1 << 20):
+        monkeypatch.setattr(suffixes, "CHUNK", part)
+        b = np.frombuffer(long.encode(), np.uint8)
+        h, _, first, last = suffixes.anchors(b, 50)
+        assert first[0] == 0 and last[-1] == len(b) - 50 and (first[1:] == last[:-1] + 1).all()
+        found.append(set(h.tolist()))
+    assert found[0] == found[1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart(spark):
+    texts = [prose(random.Random(n), 40) for n in range(3)]
+    table_ = spark.createDataFrame([(n, t, n) for n, t in enumerate(texts)], "doc_id long, text string, tag long").toArrow()
+    block = suffixes.Block(table_, set(), 50)
+    start = np.repeat(block.starts, 2)
+    same = np.ones(6, np.uint64)
+    group, first = block.grouped(start, np.full(6, 60), same, same, np.repeat(np.arange(3), 2))
+    assert len(first) == 3 and group[0] == group[1] and len({group[0], group[2], group[4]}) == 3
+
+
 def test_backward_extension_tells_equal_prefixes():
     rng = np.random.default_rng(0)
     for size in (2, 3, 200):
@@ -476,7 +502,8 @@ def likeness(a, b):
 
 
 def test_winnowing_equals_brute_force(docs):
-    rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    by_hash = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63  # noqa: E731  unsigned, in the order of signed numbers
+    rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0, by_hash(r[1])))
     expected = []
     for n, (i, t) in enumerate(rows):
         own, after = t or "", rows[(n + 1) % len(rows)][1] or ""
@@ -492,6 +519,46 @@ def test_winnowing_equals_brute_force(docs):
     assert all(len(v) == 1 for k, v in prints.items() if k != "?")
 
 
+def test_long_texts_are_taken_by_parts(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, n)) for i, n in enumerate((1, 3, 20, 400, 3000))] + [(9, "ab" * 300), (10, None), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {i: None if t is None else brute_keys(t) for i, t in rows}
+    for part in (16, 40, 65_536):
+        assert {r["doc_id"]: r["keys"] for r in winnow.winnow(df, "text", "keys", part=part).collect()} == expected
+    marks = {r["doc_id"]: [(m["place"], m["hash"]) for m in r["marks"]] for r in winnow.fingerprints(df).collect()}
+    assert marks == {i: [(winnow.PLACE - (x & winnow.PLACE), x >> winnow.PLACE_BITS) for x in k or []] for i, k in expected.items()}
+
+
+def test_equal_passages_share_a_mark_inside(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 6)[:23]  # 16 + 8 - 1 code points
+    rows = [(i, prose(rng, 30) + passage + prose(rng, 30)) for i in range(20)]
+    found = {r["doc_id"]: {(m["hash"], m["place"]) for m in r["marks"]} for r in winnow.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    inside = [{h for h, p in found[i] if (at := t.index(passage)) <= p <= at + 15} for i, t in rows]
+    assert all(a & b for a, b in itertools.combinations(inside, 2))
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [
+        [*range(20_000), 9 * 10**18, -5],
+        [7] * 20_000 + [1, 9, 10**17],
+        [None] * 9_000 + [3, 4],
+        [k * 10**12 + i for k in range(20) for i in range(700)],
+        [None] * 3_000 + [5] * 4_000 + list(range(3_000)),
+    ],
+)
+def test_cells_are_small_whatever_the_ids(spark, ids):
+    rng = random.Random(14)
+    rows = [(i, rng.randrange(-(2**63), 2**63)) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, tag long").repartition(4)
+    found = df.withColumn("cell", winnow.cells(df)).collect()
+    assert max(Counter(r["cell"] for r in found).values()) <= 1_000
+    ordered = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tag"]))
+    assert all(a["cell"] <= b["cell"] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_neighbours_across_many_ranges(spark):
     numbers = sorted({*range(0, 3000, 7), *range(10**6, 10**6 + 50), 10**9})
     df = spark.createDataFrame([(n,) for n in numbers], "cell long")
