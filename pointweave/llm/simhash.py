@@ -152,6 +152,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = cut(fingerprints(df, id_col, text_col, words, seed))
     points = cut(rows.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    roots = connected(links(points.where("node IS NOT NULL"), radius))
+    roots = connected(cut(links(points.where("node IS NOT NULL"), radius)))
     classes = cut(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), "n"))
     return hot_join(rows, classes, "fp", rows.count()).select("id", "fp", "component")

@@ -8,11 +8,12 @@ meet in one task, or in pairs of blocks if there are many, and whole sets are co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 class Words(dict):
     """XXH64 of words, kept up to a number of them."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 50_000):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:
@@ -69,54 +70,48 @@ def needed(n: int, least: float) -> int:
     return math.ceil(least * n - 1e-9)
 
 
-def _sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """About how many rows hold the shingles of each bucket, over all rows; each task sends its counts, saturated at 255."""
+def read(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """((id, point, fp), sketch) of rows (id, text): each row's set's name and fingerprint, and about how many rows hold the
+    shingles of each bucket, over all rows; each task sends its counts, saturated at 255."""
+    schema = "id long, point long, fp long, slot int, counts binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = np.zeros(1 << SKETCH_BITS, np.int32), Words()
         for batch in batches:
+            points, fps = [], []
             for text in batch.column(1):
-                buckets = shingles(text.as_py(), words, known) & np.uint64(len(seen) - 1)
-                np.add.at(seen, buckets, 1)
-        slots = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT)
-        held = np.nonzero(slots.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([slots[k].tobytes() for k in held], pa.binary())], names=["slot", "counts"])
+                each = all_shingles(text.as_py(), words, known)
+                s = np.unique(each)
+                np.add.at(seen, s & np.uint64(len(seen) - 1), 1)
+                points.append(point_of(s))
+                fps.append(simhash.majority(each) if len(each) else 0)
+            empty = pa.nulls(len(points), kinds[3]), pa.nulls(len(points), kinds[4])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, kinds[1]), pa.array(np.array(fps, np.uint64).view(np.int64)), *empty], names=names)
+        slots, press = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT), zstandard.ZstdCompressor(level=1)
+        held = np.flatnonzero(slots.any(axis=1))
+        nothing = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(held.astype(np.int32)), pa.array([press.compress(slots[k].tobytes()) for k in held], kinds[4])], names=names)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(SLOT, np.int64)
         for x in group.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint8)
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8)
         return pa.table({"slot": group.column("slot").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
+    found = cut(texts.mapInArrow(run, schema))
     out = np.zeros((1 << SKETCH_BITS) // SLOT * SLOT, np.uint16).reshape(-1, SLOT)
-    for r in texts.mapInArrow(count, "slot long, counts binary").groupBy("slot").applyInArrow(add, "slot long, counts binary").collect():
+    for r in found.where("slot IS NOT NULL").select("slot", "counts").groupBy("slot").applyInArrow(add, "slot int, counts binary").collect():
         out[r["slot"]] = np.frombuffer(r["counts"], np.uint16)
-    return out.reshape(-1)
-
-
-def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(id, point, fp, prefix) for each row (id, text): its set's name, its fingerprint, and the rarest of its shingles.
+    return found.where("slot IS NULL").select("id", "point", "fp"), out.reshape(-1)
 
-    Two sets at least so similar share a shingle of both prefixes, whatever the order of shingles,
-    as long as it is one order for all. Rare ones come first to keep few sets at a shingle; the counts
-    are a sketch's, which costs no pair.
-    """
-    counts = texts.sparkSession.sparkContext.broadcast(_sketch(texts, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, known = counts.value, Words()
-        for batch in batches:
-            points, fps, heads = [], [], []
-            for text in batch.column(1):
-                each = all_shingles(text.as_py(), words, known)
-                s = np.unique(each)
-                order = np.argsort(rarity[s & np.uint64(len(rarity) - 1)], kind="stable")  # ties by hash
-                points.append(point_of(s))
-                fps.append(simhash.majority(each) if len(each) else 0)
-                heads.append(s[order[: len(s) - needed(len(s), least) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64()))], names=["id", "point", "fp", "prefix"])
 
-    return texts.mapInArrow(run, "id long, point long, fp long, prefix array<long>")
+def prefix(shingled: np.ndarray, rarity: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of a set's shingles: two sets at least so similar share one of both prefixes, whatever the order of
+    shingles, as long as it is one order for all. Rare ones come first to keep few sets at a shingle."""
+    order = np.argsort(rarity[shingled & np.uint64(len(rarity) - 1)], kind="stable")  # ties by hash
+    return shingled[order[: len(shingled) - needed(len(shingled), least) + 1]]
 
 
 def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,31 +120,49 @@ def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.concatenate(([False], h[by][1:] == h[by][:-1]))[: len(by)]
 
 
-def meetings(entries: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(u, v): edges that connect all nodes of entries (h, node) with an equal h.
+def meetings(texts: DataFrame, words: int, least: float, rarity: np.ndarray, most: int = 250_000) -> DataFrame:
+    """(u, v): edges that connect all points of rows (id, text) whose prefixes share a shingle.
 
-    A task first connects its own entries and sends one of each h; then the tasks' ones meet, sorted, and each is
-    connected with the one before it. So a very common h is no large group anywhere.
+    A task first connects its own entries of a shingle and sends one of each; then the tasks' ones meet, sorted, and each
+    is connected with the one before it. So a very common shingle is no large group anywhere.
     """
+    counts = texts.sparkSession.sparkContext.broadcast(rarity)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        known = Words()
+        for batch in batches:
+            for text in batch.column(1):
+                s = shingles(text.as_py(), words, known)
+                yield prefix(s, counts.value, least).view(np.int64), np.int64(point_of(s))
+
+    return connected_by(texts.where("id IS NOT NULL").select("id", "text"), entries, most)
+
+
+def connected_by(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.int64]]], most: int) -> DataFrame:
+    """(u, v): edges that connect all nodes with an equal hash; entries gives the hashes of each node from batches of rows."""
     schema = "h long, node long, other long"
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.int64]] = []
 
         def sent() -> pa.RecordBatch:
-            h, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            h = np.concatenate([x for x, _ in held])
+            node = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
             by, again = _chains(h, node)
-            other = pa.array(np.where(again, np.roll(node[by], 1), 0), mask=~again)
-            return pa.RecordBatch.from_arrays([pa.array(h[by]), pa.array(node[by]), other], names=["h", "node", "other"])
-
-        rows = 0
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            rows += batch.num_rows
-            if rows >= most:
+            node = node[by]
+            before = np.concatenate(([0], node[:-1]))[: len(node)]
+            keep = ~again | (before != node)
+            other = pa.array(before[keep], mask=~again[keep])
+            return pa.RecordBatch.from_arrays([pa.array(h[by][keep]), pa.array(node[keep]), other], names=["h", "node", "other"])
+
+        size = 0
+        for h, node in entries(batches):
+            held.append((h, node))
+            size += len(h)
+            if size >= most:
                 yield sent()
-                held, rows = [], 0
-        if rows:
+                held, size = [], 0
+        if held:
             yield sent()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +182,11 @@ def meetings(entries: DataFrame, most: int = 1_000_000) -> DataFrame:
                     u.append(ns[same])
                     v.append(before_n[same])
                     last = int(hs[-1]), int(ns[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                u, v = np.concatenate(u), np.concatenate(v)
+                apart = u != v
+                yield pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], names=["u", "v"])
 
-    combined = entries.select("h", "node").mapInArrow(own, schema)
-    return combined.repartition("h").sortWithinPartitions("h").mapInArrow(met, "u long, v long")
+    return rows.mapInArrow(own, schema).repartition("h").sortWithinPartitions("h").mapInArrow(met, "u long, v long")
 
 
 class Family:
@@ -230,7 +244,7 @@ class Family:
         return root
 
 
-def family_links(families: DataFrame, words: int, least: float, most_rows: int = 4096, most_bytes: int = 16_000_000, vantages: int = 16) -> DataFrame:
+def family_links(families: DataFrame, words: int, least: float, most_rows: int = 4096, most_bytes: int = 8_000_000, vantages: int = 16) -> DataFrame:
     """(u, v): edges that connect all nodes of a family (family, node, text) whose sets are similar enough.
 
     A family of most_rows and most_bytes at most is compared in one task. A larger one is dealt to blocks: each is
@@ -238,50 +252,51 @@ def family_links(families: DataFrame, words: int, least: float, most_rows: int =
     family's largest component are compared with all others, in pairs of blocks, but where the distances to a vantage
     set differ by more than 1 - least: 1 - Jaccard is a metric, so the triangle inequality rules such pairs out.
     """
-    families = cut(families.select("family", "node", "text", F.octet_length("text").alias("bytes")))
+    families = cut(families.select("family", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("key")))
     sizes = families.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    # a long text counts by its share of a block, so blocks hold about most_bytes
-    blocks = F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("bytes") / most_bytes)).cast("int")
-    dealt = families.drop("bytes").join(small(cut(sizes.select("family", blocks.alias("blocks")))), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    large = sizes.select("family", blocks.alias("blocks")).where("blocks > 1").limit(1).count() > 0
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / most_rows), F.ceil(F.col("bytes") / most_bytes)).cast("int")
+    sizes = cut(sizes.select("family", blocks.alias("blocks")))
+    dealt = families.drop("bytes").join(small(sizes), "family").withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
 
-    def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    def sets_of(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
         known = Words()
-        return [shingles(t.as_py(), words, known) for t in texts]
+        sets = [shingles(t.as_py(), words, known) for t in texts]
+        return sets, np.array([point_of(s) for s in sets], np.int64)
 
-    def edges(nodes: np.ndarray, root: np.ndarray) -> pa.Table:
+    def within(group: pa.Table) -> pa.Table:
+        sets, nodes = sets_of(group.column("text"))
+        root = Family(sets, least).components()
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": nodes[moved], "v": nodes[root[moved]]})
 
-    def within(group: pa.Table) -> pa.Table:
-        return edges(group.column("node").to_numpy(), Family(sets_of(group.column("text")), least).components())
-
-    links = cut(dealt.groupBy("family", "block").applyInArrow(within, "u long, v long"))
-    if not large:
+    links = dealt.select("family", "block", "text").groupBy("family", "block").applyInArrow(within, "u long, v long")
+    if not sizes.where("blocks > 1").limit(1).count():
         return links
+    links = cut(links)
 
     # vantage sets: those of the smallest hashes of each large family
     crowd = dealt.where("blocks > 1")
-    order = Window.partitionBy("family").orderBy(F.xxhash64("node", F.lit("vantage")), "node")
-    chosen = crowd.select("family", "node", "blocks").withColumn("at", F.row_number().over(order)).where(F.col("at") <= vantages)
-    views = cut(chosen.join(crowd.select("family", "node", "text"), ["family", "node"]))
-    shown = views.select(F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "at", F.col("node").alias("view"), F.col("text").alias("view_text"))
+    order = Window.partitionBy("family").orderBy(F.xxhash64("key", F.lit("vantage")), "key")
+    chosen = crowd.select("family", "key", "blocks").withColumn("at", F.row_number().over(order)).where(F.col("at") <= vantages)
+    views = cut(chosen.join(crowd.select("family", "key", "text"), ["family", "key"]))
+    shown = views.select(F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "at", F.col("text").alias("view_text"))
 
     def look(group: pa.Table, views: pa.Table) -> pa.Table:
-        views = views.sort_by("at")
-        nodes, far = group.column("node").to_numpy(), np.zeros((group.num_rows, views.num_rows))
-        own = Family([*sets_of(group.column("text")), *sets_of(views.column("view_text"))], least)
-        everyone, m = own.take(np.arange(group.num_rows)), group.num_rows
+        views, m = views.sort_by("at"), group.num_rows
+        (sets, nodes), (seen, view_nodes) = sets_of(group.column("text")), sets_of(views.column("view_text"))
+        own, far = Family([*sets, *seen], least), np.zeros((m, views.num_rows))
+        everyone = own.take(np.arange(m))
         for k in range(views.num_rows if m else 0):
             members = own.members(m + k)
             own.marks[members] = 1
             both = np.add.reduceat(np.concatenate((own.marks[everyone[1]], [0])), everyone[2]) * (own.n[:m] > 0)
             own.marks[members] = 0
             far[:, k] = 1 - both / np.maximum(1, len(members) + own.n[:m] - both)
-        return pa.table({"family": group.column("family"), "node": nodes, "block": group.column("block"), "blocks": group.column("blocks"), "far": pa.array(far.tolist(), pa.list_(pa.float64())), "views": pa.array([views.column("view").to_pylist()] * m, pa.list_(pa.int64()))})
+        columns = [group.column(c) for c in ("family", "key", "block", "blocks")]
+        return pa.table([*columns, pa.array(nodes), pa.array(far.tolist(), pa.list_(pa.float64())), pa.array([view_nodes.tolist()] * m, pa.list_(pa.int64()))], names=["family", "key", "block", "blocks", "node", "far", "views"])
 
-    schema = "family long, node long, block int, blocks int, far array<double>, views array<long>"
-    seen = cut(crowd.select("family", "block", "blocks", "node", "text").groupBy("family", "block").cogroup(shown.groupBy("of", "at_block")).applyInArrow(look, schema))
+    schema = "family long, key long, block int, blocks int, node long, far array<double>, views array<long>"
+    seen = cut(crowd.select("family", "block", "blocks", "key", "text").groupBy("family", "block").cogroup(shown.groupBy("of", "at_block")).applyInArrow(look, schema))
     close = seen.select("node", F.explode(F.arrays_zip("far", "views")).alias("f")).where(F.col("f.far") <= 1 - least + 1e-9).select(F.col("node").alias("u"), F.col("f.views").alias("v"))
     links = cut(links.unionByName(close.where("u <> v")))
 
@@ -290,15 +305,16 @@ def family_links(families: DataFrame, words: int, least: float, most_rows: int =
     marked = cut(rooted.join(small(cut(main)), "family").withColumn("left", F.col("root") != F.col("main")).drop("main"))
     counts = marked.where("left").groupBy("family").agg(F.ceil(F.count("*") / most_rows).cast("int").alias("asks"))
     asking = marked.join(small(cut(counts)), "family")
-    texts = crowd.select("node", "text")
-    asks = asking.where("left").select("family", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int").alias("ask"), "node", "root", "far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts, "node")
-    others = asking.select(F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("at_ask"), F.col("block").alias("at_block"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("far").alias("far2")).join(texts.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
+    texts = crowd.select("family", "key", "text")
+    asks = asking.where("left").select("family", F.pmod(F.xxhash64("key", F.lit(1)), F.col("asks")).cast("int").alias("ask"), "key", "node", "root", "far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts, ["family", "key"])
+    others = asking.select("family", "key", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("at_ask"), F.col("block").alias("at_block"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("far").alias("far2")).join(texts, ["family", "key"])
+    others = others.select(F.col("family").alias("of"), "at_ask", "at_block", "node2", "root2", "far2", F.col("text").alias("text2"))
 
     def compare(asks: pa.Table, others: pa.Table) -> pa.Table:
         m, empty = asks.num_rows, pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         if not m or not others.num_rows:
             return empty
-        own = Family([*sets_of(asks.column("text")), *sets_of(others.column("text2"))], least)
+        own = Family([*sets_of(asks.column("text"))[0], *sets_of(others.column("text2"))[0]], least)
         far, far2 = (np.array(t.column(c).to_pylist()) for t, c in ((asks, "far"), (others, "far2")))
         nodes, nodes2 = np.concatenate((asks.column("node").to_numpy(), others.column("node2").to_numpy())), others.column("node2").to_numpy()
         roots, at = np.unique(np.concatenate((asks.column("root").to_numpy(), others.column("root2").to_numpy())), return_inverse=True)
@@ -322,21 +338,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, component): the smallest id reachable over pairs of texts whose sets of word shingles have at least this Jaccard similarity.
 
     Words are as in fingerprints. Equal sets meet before any search, so do null and wordless texts; repeated rows
-    have a row each, and rows of one id are one node. Shingles and sets are told apart by 64-bit hashes. Rows without an id take no part in links;
+    have a row each. Shingles and sets are told apart by 64-bit hashes. Rows without an id take no part in links;
     they show their set's component, null if no row with an id has it. Only texts of families are moved.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(prefixes(texts, words, least))
-    points = cut(rows.groupBy("point").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
-    held = points.where("node IS NOT NULL")
-    close = simhash.links(cut(held.groupBy("fp").agg(F.min("node").alias("node"))), radius)
-    family = connected(close.unionByName(meetings(held.select(F.explode("prefix").alias("h"), "node"))))
-    members = cut(family.select("node", F.col("root").alias("family")).unionByName(family.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct()))
-    named = members.join(held.select("node", F.col("point").alias("of")), "node")
-    there = rows.select("id", "point").join(small(cut(named)), (F.col("id") == F.col("node")) & (F.col("point") == F.col("of"))).select("id", "family").distinct()
-    moved = texts.join(small(cut(there)), "id").select("family", F.col("id").alias("node"), "text")
-    roots = connected(family_links(moved, words, least, most_rows))
-    classes = cut(points.join(roots, "node", "left").select("point", F.coalesce("root", "node").alias("component"), "n"))
+    rows, rarity = read(texts, words)
+    points = cut(rows.groupBy("point").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("fp").alias("fp")))
+    held = points.where("least IS NOT NULL")
+    close = cut(simhash.links(cut(held.groupBy("fp").agg(F.min("point").alias("node"))), radius))
+    edges = cut(close.unionByName(meetings(texts, words, least, rarity)))
+    family = connected(edges)
+    members = cut(family.select(F.col("node").alias("point"), F.col("root").alias("family")).unionByName(family.select(F.col("root").alias("point"), F.col("root").alias("family")).distinct()))
+    # one document of each set: its row is the one whose id and set are these
+    named = small(cut(members.join(held.select("point", "least"), "point").select(F.col("point").alias("of"), "least", "family")))
+    there = cut(rows.join(named, (F.col("id") == F.col("least")) & (F.col("point") == F.col("of"))).select("id", "family").distinct())
+    moved = texts.join(small(there), "id").select("family", "text")
+    roots = connected(cut(family_links(moved, words, least, most_rows)))
+    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    lowest = both.join(points, F.col("node") == F.col("point")).groupBy("root").agg(F.min("least").alias("lowest"))
+    linked = both.join(lowest, "root").select("node", "lowest")
+    classes = cut(points.join(linked, F.col("node") == F.col("point"), "left").select("point", F.coalesce("lowest", "least").alias("component"), "n"))
     return hot_join(rows.select("id", "point"), classes, "point", rows.count()).select("id", "component")
 
 

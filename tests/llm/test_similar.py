@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -74,9 +75,15 @@ def test_many_near_copies_of_one_text(spark, most_rows):
 def test_meetings_connect_equal_hashes(spark):
     rng = random.Random(7)
     rows = [(rng.choice((1, 2, rng.randrange(10, 400))), n) for n in range(600)]
-    entries = spark.createDataFrame(rows, "h long, node long").repartition(5)
+    df = spark.createDataFrame(rows, "h long, node long").repartition(5)
+
+    def entries(batches):
+        for batch in batches:
+            for h, node in zip(*(c.to_pylist() for c in batch.columns)):
+                yield np.array([h]), np.int64(node)
+
     for most in (7, 1_000_000):
-        found = {(r["node"], r["root"]) for r in connected(similar.meetings(entries, most)).collect()}
+        found = {(r["node"], r["root"]) for r in connected(similar.connected_by(df, entries, most)).collect()}
         least: dict[int, int] = {}
         for h, n in rows:
             least[h] = min(n, least.get(h, n))
