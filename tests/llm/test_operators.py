@@ -86,6 +86,67 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(bool(found[200 + i]) for i in range(300)) <= 3
 
 
+def brute_p(token, e):
+    """The battery in plain Python."""
+    shown = token.lower() if e.name == "hex" else token.replace("-", "+").replace("_", "/")
+    s = np.array([e.alphabet.index(c) for c in shown], float)
+    n, size = len(s), len(e.alphabet)
+    squares = sum(c * c for c in Counter(shown).values())
+    chi = (size / n * squares - n - (size - 1 + n * e.unevenness)) / math.sqrt(2 * (size - 1 + 2 * n * e.unevenness))
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
+    turns = sum(kind(a) != kind(b) for a, b in zip(shown, shown[1:]))
+    z = (turns - (n - 1) * e.changes) / math.sqrt((n - 1) * e.changes * (1 - e.changes))
+    d = s - s.mean()
+    serial = ((d[:-1] * d[1:]).sum() / (d * d).sum() if (d * d).sum() else 1.0) - e.correlation
+    below = lambda x: 1 / (1 + math.exp(-max(-60, min(60, 0.07056 * x**3 + 1.5976 * x))))
+    h = -math.log(below(chi)) - math.log(below(-z)) - math.log(below(serial * math.sqrt(n - 1)))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_battery_equals_plain_python(spark):
+    rng = random.Random(15)
+    for e in secrets.ENCODINGS:
+        tokens = ["".join(rng.choices(e.alphabet, k=rng.randint(20, 90))) for _ in range(30)] + [e.alphabet[3] * 25, (e.alphabet * 3)[:40]]
+        df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.expr(secrets._p_value("t", e)).alias("p"))
+        found = {r["t"]: r["p"] for r in df.collect()}
+        assert all(found[t] == pytest.approx(brute_p(t, e), rel=1e-6, abs=1e-290) for t in tokens)
+
+
+def test_many_matches_have_their_places(spark):
+    text = "".join(f"token={'x' * (6 + i % 3)}{'é' * (i % 4)} ;" for i in range(1500))
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [list(s) for s in found if s["kind"] < 3] == [list(s) for s in brute_secrets(text)]
+
+
+def test_false_discoveries_are_held_by_distinct_tokens_and_own_words(spark):
+    rng = random.Random(16)
+    rare = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(60)]
+    words = lambda n: "".join(rng.choices(LETTERS, k=n))
+    rows = [(i, f"{prose(rng, 60)} {words(14).title()} {words(9)}_{words(9)}_{rng.randrange(100)}") for i in range(3000)]
+    rows += [(5000 + i, f"see {t} here") for i, t in enumerate(rare)] + [(9000 + i, f"again {words(3)} " + "someLongIdentifierOfTheHouse") for i in range(500)]
+    found = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == 3] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(bool(found[5000 + i]) for i in range(60))
+    wrong = sum(len(found[i]) for i in range(3000)) + sum(len(found[9000 + i]) for i in range(500))
+    assert hits >= 48 and wrong <= 0.03 * hits + 1  # identifiers of two- to eight-letter words look half random, so the bar is high
+
+
+def test_calibrated_chances_are_not_too_small(spark):
+    """Under the null, the corpus's plain tokens, a multiplied chance of t or less is seen in a share of t at most."""
+    rng = random.Random(17)
+    df = spark.createDataFrame([(prose(rng, 80),) for _ in range(4000)], "_t string").select(secrets._plain_tokens().alias("_p")).select(secrets._candidates("_p").alias("plain"))
+    bins: dict[int, list[int]] = {}
+    for r in df.collect():
+        for t in r["plain"]:
+            bins.setdefault(t["stratum"], []).append(t["bin"])
+    assert sum(map(len, bins.values())) > 4000
+    for own in bins.values():
+        own = np.array(own)
+        reach = [(own >= b).mean() / 10 ** (-b / secrets.BITS) for b in set(own.tolist()) if (own >= b).sum() >= 10]
+        factor = max([1.0, *reach])
+        for t in (0.3, 0.1, 0.03):
+            assert (factor * 10.0 ** (-own / secrets.BITS) <= t).mean() <= t + 10 / len(own)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token = 'abcdef123' b", 5), (1, "a token = 'abcdef123' b", 6), (2, None, 7), (None, "password: longenough", 8)], "doc_id long, text string, _text long")
     assert table(secrets.redact(df), "doc_id", "text", "_text") == sorted([(1, "a [secret]' b", 5), (1, "a [secret]' b", 6), (2, None, 7), (None, "[secret]", 8)], key=str)
