@@ -8,21 +8,19 @@ meet in one task, or in pairs of blocks if there are many, and whole sets are co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm import simhash
 from pointweave.llm.common import cut, hot_join, mixed, small
+from pointweave.llm.notes import bucket_of, low4, notes_of, pack, runs, unpack
 from pointweave.operators.components import Forest, connected
 
-#: The sketch counts rows by the low bits of their shingles' hashes, in slots of so many counters.
-SKETCH_BITS, SLOT = 22, 1 << 16
 #: Odd multipliers, one for each word of a shingle.
 ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -70,48 +68,30 @@ def needed(n: int, least: float) -> int:
     return math.ceil(least * n - 1e-9)
 
 
-def read(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """((id, point, fp), sketch) of rows (id, text): each row's set's name and fingerprint, and about how many rows hold the
-    shingles of each bucket, over all rows; each task sends its counts, saturated at 255."""
-    schema = "id long, point long, fp long, slot int, counts binary"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = [x.split()[0] for x in schema.split(", ")]
+def named(texts: DataFrame, words: int) -> DataFrame:
+    """(id, point, fp) of rows (id, text): each row's set's name and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, known = np.zeros(1 << SKETCH_BITS, np.int32), Words()
+        known = Words()
         for batch in batches:
             points, fps = [], []
             for text in batch.column(1):
                 each = all_shingles(text.as_py(), words, known)
-                s = np.unique(each)
-                np.add.at(seen, s & np.uint64(len(seen) - 1), 1)
-                points.append(point_of(s))
+                points.append(point_of(np.unique(each)))
                 fps.append(simhash.majority(each) if len(each) else 0)
-            empty = pa.nulls(len(points), kinds[3]), pa.nulls(len(points), kinds[4])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, kinds[1]), pa.array(np.array(fps, np.uint64).view(np.int64)), *empty], names=names)
-        slots, press = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SLOT), zstandard.ZstdCompressor(level=1)
-        held = np.flatnonzero(slots.any(axis=1))
-        nothing = pa.nulls(len(held), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(held.astype(np.int32)), pa.array([press.compress(slots[k].tobytes()) for k in held], kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "point", "fp"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(SLOT, np.int64)
-        for x in group.column("counts"):
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8)
-        return pa.table({"slot": group.column("slot").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+    return texts.mapInArrow(run, "id long, point long, fp long")
 
-    found = cut(texts.mapInArrow(run, schema))
-    out = np.zeros((1 << SKETCH_BITS) // SLOT * SLOT, np.uint16).reshape(-1, SLOT)
-    for r in found.where("slot IS NOT NULL").select("slot", "counts").groupBy("slot").applyInArrow(add, "slot int, counts binary").collect():
-        out[r["slot"]] = np.frombuffer(r["counts"], np.uint16)
-    return found.where("slot IS NULL").select("id", "point", "fp"), out.reshape(-1)
 
+def prefix(shingled: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of a set's shingles that others have too; rows says how many rows hold each.
 
-def prefix(shingled: np.ndarray, rarity: np.ndarray, least: float) -> np.ndarray:
-    """The rarest of a set's shingles: two sets at least so similar share one of both prefixes, whatever the order of
-    shingles, as long as it is one order for all. Rare ones come first to keep few sets at a shingle."""
-    order = np.argsort(rarity[shingled & np.uint64(len(rarity) - 1)], kind="stable")  # ties by hash
-    return shingled[order[: len(shingled) - needed(len(shingled), least) + 1]]
+    Two sets at least so similar share a shingle of both prefixes, whatever the order of shingles, as long as it is one
+    order for all: here by those numbers, then by hash. What one row alone has takes its place but meets nothing.
+    """
+    head = np.argsort(rows, kind="stable")[: len(shingled) - needed(len(shingled), least) + 1]
+    return shingled[head[rows[head] > 1]]
 
 
 def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,50 +100,78 @@ def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.concatenate(([False], h[by][1:] == h[by][:-1]))[: len(by)]
 
 
-def meetings(texts: DataFrame, words: int, least: float, rarity: np.ndarray, most: int = 250_000) -> DataFrame:
+def meetings(texts: DataFrame, words: int, least: float, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """(u, v): edges that connect all points of rows (id, text) whose prefixes share a shingle.
 
-    A task first connects its own entries of a shingle and sends one of each; then the tasks' ones meet, sorted, and each
-    is connected with the one before it. So a very common shingle is no large group anywhere.
+    Blocks of texts tell buckets the shingles they hold, four bytes each, and are told of each how many rows hold it: all
+    of them, so prefixes are of rare shingles at any size. Then a task connects its own entries of a shingle and sends
+    one of each; the tasks' ones meet, sorted, and each is connected with the one before it. So a very common
+    shingle is no large group anywhere.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(rarity)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    spark = texts.sparkSession
+    texts = texts.where("id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, buckets = (max(floor, math.ceil(total / n)) for n in (block_bytes, bucket_bytes))
+    base = texts.select(F.pmod(F.xxhash64("id", "tag"), F.lit(blocks)).alias("block"), "text").repartition(blocks, "block")
+    note = "block long, bucket long, data binary"
+
+    def held(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(sets, distinct shingles, rows that hold each, places of these by bucket) of a block."""
         known = Words()
-        for batch in batches:
-            for text in batch.column(1):
-                s = shingles(text.as_py(), words, known)
-                yield prefix(s, counts.value, least).view(np.int64), np.int64(point_of(s))
-
-    return connected_by(texts.where("id IS NOT NULL").select("id", "text"), entries, most)
-
-
-def connected_by(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.int64]]], most: int) -> DataFrame:
-    """(u, v): edges that connect all nodes with an equal hash; entries gives the hashes of each node from batches of rows."""
-    schema = "h long, node long, other long"
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.int64]] = []
-
-        def sent() -> pa.RecordBatch:
-            h = np.concatenate([x for x, _ in held])
-            node = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
-            by, again = _chains(h, node)
-            node = node[by]
-            before = np.concatenate(([0], node[:-1]))[: len(node)]
-            keep = ~again | (before != node)
-            other = pa.array(before[keep], mask=~again[keep])
-            return pa.RecordBatch.from_arrays([pa.array(h[by][keep]), pa.array(node[keep]), other], names=["h", "node", "other"])
-
-        size = 0
-        for h, node in entries(batches):
-            held.append((h, node))
-            size += len(h)
-            if size >= most:
-                yield sent()
-                held, size = [], 0
-        if held:
-            yield sent()
+        sets = [shingles(t.as_py(), words, known) for t in column]
+        found, rows = np.unique(np.concatenate(sets), return_counts=True)
+        bucket = bucket_of(found, buckets)
+        return sets, found, rows, runs(bucket, np.argsort(bucket, kind="stable"))
+
+    def announce(group: pa.Table) -> pa.Table:
+        _, found, rows, by = held(group.column("text"))
+        number = group.column("block")[0].as_py()
+        return notes_of([(number, int(bucket_of(found[at[:1]], buckets)[0]), pack(low4(found[at]), np.minimum(rows[at], 255).astype(np.uint8))) for at in by])
+
+    def count(blobs: pa.Table) -> pa.Table:
+        told = [(b, unpack(d, "<u4", "u1")) for b, d in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist())]
+        keys, rows = (np.concatenate([x[k] for _, x in told]) for k in (0, 1))
+        _, at = np.unique(keys, return_inverse=True)
+        sums = np.minimum(np.bincount(at, weights=rows), 255).astype(np.uint8)[at]
+        bucket = blobs.column("bucket")[0].as_py()
+        parts = np.split(sums, np.cumsum([len(x[0]) for _, x in told])[:-1])
+        return notes_of([(b, bucket, pack(x)) for (b, _), x in zip(told, parts) if (x > 1).any()])
+
+    answers = base.groupBy("block").applyInArrow(announce, note).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, note)
+    answers = answers.select(F.col("block").alias("of"), "bucket", "data").repartition(blocks, "of")
+
+    def meet(group: pa.Table, notes: pa.Table) -> pa.Table:
+        entries = []
+        if group.num_rows:
+            sets, found, _, by = held(group.column("text"))
+            rows, told = np.ones(len(found), np.uint8), dict(zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()))
+            for at in by:
+                if (data := told.get(int(bucket_of(found[at[:1]], buckets)[0]))) is not None:
+                    rows[at] = unpack(data, "u1")[0]
+            entries = [(prefix(s, rows[np.searchsorted(found, s)], least).view(np.int64), np.int64(point_of(s))) for s in sets]
+        return pa.Table.from_batches([_combined(entries)])
+
+    return _met(base.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, ENTRY))
+
+
+#: An entry (h, node), or an edge (node, other) that a task has found among its own.
+ENTRY = "h long, node long, other long"
+
+
+def _combined(held: list[tuple[np.ndarray, np.int64]]) -> pa.RecordBatch:
+    """Entries of one task: one of each h, and edges to connect the others with it."""
+    h = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)])
+    node = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
+    by, again = _chains(h, node)
+    node = node[by]
+    before = np.concatenate(([0], node[:-1]))[: len(node)].astype(np.int64)
+    keep = ~again | (before != node)
+    return pa.RecordBatch.from_arrays([pa.array(h[by][keep]), pa.array(node[keep]), pa.array(before[keep], mask=~again[keep])], names=["h", "node", "other"])
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """(u, v): the edges among entries, and those that connect equal h."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
@@ -186,7 +194,7 @@ def connected_by(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]],
                 apart = u != v
                 yield pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], names=["u", "v"])
 
-    return rows.mapInArrow(own, schema).repartition("h").sortWithinPartitions("h").mapInArrow(met, "u long, v long")
+    return entries.repartition("h").sortWithinPartitions("h").mapInArrow(met, "u long, v long")
 
 
 class Family:
@@ -342,16 +350,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     they show their set's component, null if no row with an id has it. Only texts of families are moved.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows, rarity = read(texts, words)
+    rows = cut(named(texts, words))
     points = cut(rows.groupBy("point").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("fp").alias("fp")))
     held = points.where("least IS NOT NULL")
     close = cut(simhash.links(cut(held.groupBy("fp").agg(F.min("point").alias("node"))), radius))
-    edges = cut(close.unionByName(meetings(texts, words, least, rarity)))
+    edges = cut(close.unionByName(meetings(texts, words, least)))
     family = connected(edges)
     members = cut(family.select(F.col("node").alias("point"), F.col("root").alias("family")).unionByName(family.select(F.col("root").alias("point"), F.col("root").alias("family")).distinct()))
     # one document of each set: its row is the one whose id and set are these
-    named = small(cut(members.join(held.select("point", "least"), "point").select(F.col("point").alias("of"), "least", "family")))
-    there = cut(rows.join(named, (F.col("id") == F.col("least")) & (F.col("point") == F.col("of"))).select("id", "family").distinct())
+    chosen = small(cut(members.join(held.select("point", "least"), "point").select(F.col("point").alias("of"), "least", "family")))
+    there = cut(rows.join(chosen, (F.col("id") == F.col("least")) & (F.col("point") == F.col("of"))).select("id", "family").distinct())
     moved = texts.join(small(there), "id").select("family", "text")
     roots = connected(cut(family_links(moved, words, least, most_rows)))
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

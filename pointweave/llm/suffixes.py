@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import cut, free_names, hot_join, mixed, text_or_empty
+from pointweave.llm.notes import bucket_of, low4, notes_of, pack, runs, spread, two, unpack, untwo
 
 GRAM = 25
 #: So many windows of a text are hashed at once; the low bits of a key hold a place among them.
@@ -154,31 +154,6 @@ def window_minima(contexts: list[bytes], owners: np.ndarray, least: int) -> list
     return np.split(found[inside], np.cumsum(windows)[:-1])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def runs(keys: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
-    """by, an order that sorts the keys, in parts of equal keys."""
-    return np.split(by, np.flatnonzero(keys[by][1:] != keys[by][:-1]) + 1) if len(by) else []
-
-
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of so many numbers each."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-
-
 class Block:
     """A block's texts in order of ids, side by side. Copies of another document's text take no part in the search."""
 
@@ -267,13 +242,6 @@ ALONE, SHARED, CROWDED = 0, 1, 2
 #: Buckets of notes that blocks get apart from answers: copies, and what they have sent themselves.
 COPIES, OWN = -1, -2
 
-NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
-
-
-def _notes(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, NOTE)], schema=NOTE)
-
-
 def _copies(notes: pa.Table) -> set[tuple[int, int]]:
     """Documents that a block is told to be copies."""
     return {(k["id"], k["tag"]) for b, keys in zip(notes.column("bucket").to_pylist(), notes.column("copies").to_pylist()) if b == COPIES for k in keys}
@@ -284,24 +252,6 @@ def _told(notes: pa.Table) -> Iterator[tuple[int, bytes]]:
     return ((b, d) for b, d in zip(notes.column("bucket").to_pylist(), notes.column("data").to_pylist()) if b != COPIES)
 
 
-def two(head: bytes, rest: bytes) -> bytes:
-    return len(head).to_bytes(4, "little") + head + rest
-
-
-def untwo(data: bytes) -> tuple[bytes, bytes]:
-    n = int.from_bytes(data[:4], "little")
-    return data[4 : 4 + n], data[4 + n :]
-
-
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % buckets
-
-
-def low4(h: np.ndarray) -> np.ndarray:
-    """What tells hashes of a bucket apart; where it doesn't, strings meet in vain."""
-    return (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-
-
 def shared_codes(blobs: pa.Table, most: int) -> list[tuple[int, int, bytes]]:
     """Notes to blocks on the anchors they have told a bucket of, in the order of their telling."""
     found = [(b, unpack(d, "<u4", "u1")) for b, d in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist())]
@@ -406,21 +356,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def announce(texts: pa.Table, notes: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _notes([])
+            return notes_of([])
         own = Block(texts, _copies(notes), least)
         own.search()
         number = texts.column("block")[0].as_py()
-        return _notes([(number, int(bucket_of(own.names[at[:1]], buckets)[0]), pack(low4(own.names[at]), own.said[at])) for at in told_buckets(own)])
+        return notes_of([(number, int(bucket_of(own.names[at[:1]], buckets)[0]), pack(low4(own.names[at]), own.said[at])) for at in told_buckets(own)])
 
     def ask(blobs: pa.Table) -> pa.Table:
-        return _notes(shared_codes(blobs, most))
+        return notes_of(shared_codes(blobs, most))
 
     asked = in_blocks(told, announce, note).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(ask, note)
 
     def supply(texts: pa.Table, notes: pa.Table) -> pa.Table:
         codes = dict(_told(notes))
         if not texts.num_rows or not codes:
-            return _notes([])
+            return notes_of([])
         own = Block(texts, _copies(notes), least)
         own.search()
         number, code = texts.column("block")[0].as_py(), np.zeros(len(own.names), np.uint8)
@@ -442,14 +392,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((number, int(bucket[at[0]]), two(head, pack(own.flat[spread(start[f], length[f])]))))
             bases.append((int(bucket[at[0]]), int(place[at[0]])))
         mine = two(pack(start.astype("<i8"), length.astype("<u2"), place[group].astype("<u4")), pack(np.array([b for b, _ in bases], "<i8"), np.array([p for _, p in bases], "<i8")))
-        return _notes([*out, (number, OWN - number, mine)])
+        return notes_of([*out, (number, OWN - number, mine)])
 
     supplied = in_blocks(asked.select("block", "bucket", "data", no_copies).unionByName(told), supply, note).repartition(buckets, "bucket")
 
     def answer(blobs: pa.Table) -> pa.Table:
         if blobs.column("bucket")[0].as_py() < 0:  # what a block has noted for itself
             return blobs
-        return _notes(least_owners(blobs, least, batch_bytes))
+        return notes_of(least_owners(blobs, least, batch_bytes))
 
     answered = supplied.groupBy("bucket").applyInArrow(answer, note)
 

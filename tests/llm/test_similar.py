@@ -77,17 +77,27 @@ def test_meetings_connect_equal_hashes(spark):
     rows = [(rng.choice((1, 2, rng.randrange(10, 400))), n) for n in range(600)]
     df = spark.createDataFrame(rows, "h long, node long").repartition(5)
 
-    def entries(batches):
+    def combine(batches):
         for batch in batches:
-            for h, node in zip(*(c.to_pylist() for c in batch.columns)):
-                yield np.array([h]), np.int64(node)
-
-    for most in (7, 1_000_000):
-        found = {(r["node"], r["root"]) for r in connected(similar.connected_by(df, entries, most)).collect()}
-        least: dict[int, int] = {}
-        for h, n in rows:
-            least[h] = min(n, least.get(h, n))
-        assert found == {(n, least[h]) for h, n in rows if n != least[h]}
+            if batch.num_rows:
+                yield similar._combined([(np.array([h]), np.int64(node)) for h, node in zip(*(c.to_pylist() for c in batch.columns))])
+
+    found = {(r["node"], r["root"]) for r in connected(similar._met(df.mapInArrow(combine, similar.ENTRY))).collect()}
+    least: dict[int, int] = {}
+    for h, n in rows:
+        least[h] = min(n, least.get(h, n))
+    assert found == {(n, least[h]) for h, n in rows if n != least[h]}
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        both = rng.choice(10**6, rng.integers(1, 80), replace=False)
+        a, b = (np.unique(np.concatenate((both, rng.choice(10**6, rng.integers(0, 12))))).astype(np.uint64) for _ in range(2))
+        rows = {int(x): int(rng.integers(2, 6)) if x in a and x in b else 1 for x in np.union1d(a, b)}
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            heads = [similar.prefix(x, np.array([rows[int(v)] for v in x]), 0.8) for x in (a, b)]
+            assert len(np.intersect1d(*heads))
 
 
 def test_awkward_rows_have_a_component_each(spark):
