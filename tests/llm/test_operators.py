@@ -171,6 +171,7 @@ def toxic_corpus():
 
 def test_toxicity_is_learned_and_disguises_are_seen_through(spark):
     rows, labels = toxic_corpus()
+    bad = ["idiot", "moron", "scum", "worthless"]
     docs = spark.createDataFrame(rows, "id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame(labels[:300] + [(None, 1), (5, None)], "id long, toxic int"))
     found = {r["id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
@@ -178,6 +179,10 @@ def test_toxicity_is_learned_and_disguises_are_seen_through(spark):
     of = model.scorer()
     for text in ("you 1d10t and l0ser", "i d i o t, m o r o n", "scuuuuum and idiooot", "w0rthl3ss 5cum"):
         assert of(text)[0] >= 0.7, of(text)
+    for word in bad[:4]:  # a sign at the end, letters doubled, wide gaps, other marks between letters, three letters only
+        last = {"t": "7", "n": "n", "m": "m", "s": "5"}[word[-1]]
+        for text in (word[:-1] + last, "".join(2 * c for c in word), "  ".join(word), " - ".join(word), "/".join(word), ",".join(word), word[:2] + word[1:], word.replace("s", "$")):
+            assert of(f"you {text} here")[1] == f"you {word} here", text
     assert of(None) == of("") and of("an 1nn the 3 times, 2024 and 50%!")[0] < 0.7
 
 
@@ -191,17 +196,68 @@ def test_decoding_is_the_best_path_of_the_lattice(spark):
         for text, c in options:
             total -= c
             for ch in text:
-                code = int(toxicity.CODES[min(ord(ch), 0xFFFF)])
+                code = int(toxicity.CODES[ord(ch)])
                 total += letters[a, b, code]
                 a, b = b, code
         return total + letters[a, b, 0]
 
-    for span in ("1d10t", "l0ooser", "i d 1 t", "$cum"):
+    for span in ("1d10t", "l0ooser", "i d 1 t", "$cum", "a$$", "hell0", "stuupid", "i  d , i/o"):
         every = itertools.product(*toxicity._lattice(span))
         best = max(every, key=cost)
         assert cost(best) == pytest.approx(cost([(toxicity.decode(span, letters), 0)]) - sum(c for _, c in best))
 
 
+def test_tokens_without_a_choice_are_their_own_restoration(spark):
+    """The patterns only skip what has one path: a plain scan of all tokens and runs of single characters gives the same."""
+    rows, _ = toxic_corpus()
+    model = toxicity.letter_model(spark.createDataFrame(rows, "id long, text string"))
+    restorer, decoder, rng = toxicity.Restorer(model), toxicity.Decoder(model), random.Random(18)
+    one = lambda c: c.isalnum() or c in toxicity.LEET
+
+    def plain(text):
+        text, out, at = text.lower(), [], 0
+        while at < len(text):
+            if m := toxicity.SPACED.match(text, at):
+                out.append(decoder(m[0]) if any(map(str.isalpha, m[0])) else m[0])
+                at = m.end()
+                continue
+            end = at
+            while end < len(text) and one(text[end]):
+                end += 1
+            if end == at:
+                out.append(text[at])
+                at += 1
+                continue
+            token = text[at:end]
+            core = token.rstrip(toxicity.MARKS)
+            out += [decoder(core) if any(map(str.isalpha, core)) else core, token[len(core) :]]
+            at = end
+        return "".join(out)
+
+    for _ in range(400):
+        text = "".join(rng.choices("aabeilotszxé0123456789!|+$@  ..,/-_\n", k=rng.randint(0, 60)))
+        assert restorer.restore(text) == plain(text), text
+
+
+def test_pruning_keeps_one_of_features_that_say_the_same():
+    found = [("idiot", 5, 0), ("idio", 5, 0), ("diot", 6, 0), ("scum", 5, 0), (" ass ", 4, 1)]
+    assert toxicity._pruned(found) == sorted(["idiot", "diot", "scum", " ass "])
+
+
+def test_weights_are_those_of_plain_gradient_descent():
+    rng = np.random.default_rng(19)
+    x = (rng.random((200, 6)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 0.4, 200) > 0.7).astype(float)
+    share = np.where(y == 1, 0.5, 1.5)
+    rows, columns = np.nonzero(x)
+    w, b = toxicity._fit(rows, columns, y, 6, share / share.mean(), penalty=1e-2, most_steps=20_000)
+    v, c, weight = np.zeros(6), 0.0, share / share.sum()
+    for _ in range(20_000):
+        g = weight * (1 / (1 + np.exp(-(x @ v + c))) - y)
+        v, c = np.maximum(0, v - 0.5 * (x.T @ g + 1e-2 * v)), c - 0.5 * g.sum()
+    assert w == pytest.approx(v, abs=0.05) and b == pytest.approx(c, abs=0.05)
+
+
 def test_toxicity_without_labels_and_on_awkward_rows(spark, docs):
     renamed = docs.withColumnRenamed("doc_id", "id")
     model = toxicity.fit(renamed, spark.createDataFrame([], "id long, toxic int"))
