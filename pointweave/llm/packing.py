@@ -81,7 +81,7 @@ class WordEncoder:
     after them, go to the faster encoder of single words.
     """
 
-    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 64_000_000, slice_words: int = 32_000):
+    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 96_000_000, slice_words: int = 64_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         import tiktoken
         from tokenizers import Tokenizer
