@@ -55,11 +55,11 @@ def string_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least
 
 
 def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, context's hash, first window, last window) of each anchor of a text of at least `least` bytes, in order.
+    """(gram hash, context's hash, first window, last window) of each anchor of a text, in order; none of a shorter one.
 
     A long text is taken in parts; a context ends where a part does.
     """
-    parts = []
+    parts = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
     for lo in range(0, len(b) - least + 1, CHUNK):
         hashes = gram_hashes(b[lo : lo + CHUNK + least - 1])
         keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
@@ -163,11 +163,11 @@ class Block:
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], tags[i]))
         self.ids = np.array([ids[i] for i in self.order], np.int64)
         self.copy = np.array([(ids[i], tags[i]) in copies for i in self.order], bool)
-        column = texts.column("text").combine_chunks()
-        raw = [column[i].as_py().encode("utf-8", "surrogatepass") for i in self.order]
-        self.sizes = np.array([len(x) for x in raw], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        column = texts.column("text").combine_chunks().take(pa.array(self.order, pa.int64())).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        self.sizes = np.diff(offsets)
+        self.starts = offsets[:-1] - offsets[0]
+        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
     def search(self) -> None:
         """Finds the anchors: their hashes, contexts and documents, and the distinct hashes with what is to be said of them."""
@@ -175,17 +175,18 @@ class Block:
         for d in np.flatnonzero(~self.copy).tolist():
             at = int(self.starts[d])
             h, c, first, last = anchors(self.flat[at : at + self.sizes[d]], self.least)
-            found.append((h, c, first + at, last + at))
-            docs.append(np.full(len(h), d))
-        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-        self.hash, self.context, self.first, self.last = (np.concatenate(x) for x in zip(empty, *found))
-        self.doc = np.concatenate([np.zeros(0, np.int64), *docs])
+            found.append((h, c, first + at, (last - first).astype(np.int32)))
+            docs.append(np.full(len(h), d, np.int32))
+        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.hash, self.context, self.first, self.width = (np.concatenate(x) for x in zip(empty, *found))
+        self.doc = np.concatenate([np.zeros(0, np.int32), *docs])
+        del found, docs
         doc_id = self.ids[self.doc]
         by = np.argsort(self.hash, kind="stable")
         new = np.concatenate(([True], self.hash[by][1:] != self.hash[by][:-1]))[: len(by)]
         at = np.flatnonzero(new)
         self.names = self.hash[by[at]]
-        self.of = np.empty(len(by), np.int64)
+        self.of = np.empty(len(by), np.int32)
         self.of[by] = np.cumsum(new) - 1
         ends = np.append(at[1:], len(by))[: len(at)] - 1
         several = doc_id[by[ends]] != doc_id[by[at]]  # occurrences are in order of ids
@@ -198,9 +199,9 @@ class Block:
         """(start, length, hash, document) of the strings to be told to buckets: contexts of shared anchors, and the single
         windows of crowded ones."""
         whole, single = (np.flatnonzero(code[self.of] == k) for k in (SHARED, CROWDED))
-        parts = [(self.first[whole], self.last[whole] - self.first[whole] + self.least, self.hash[whole], self.context[whole], self.doc[whole])]
+        parts = [(self.first[whole], self.width[whole].astype(np.int64) + self.least, self.hash[whole], self.context[whole], self.doc[whole])]
         if len(single):
-            windows = self.last[single] - self.first[single] + 1
+            windows = self.width[single].astype(np.int64) + 1
             start = spread(self.first[single], windows)
             h = string_hashes(gram_hashes(self.flat), start, start, self.least)
             parts.append((start, np.full(len(start), self.least), h, h, np.repeat(self.doc[single], windows)))
@@ -217,14 +218,14 @@ class Block:
             group = np.cumsum(new) - 1
             # bytes against those of the group's first unit, a few units at a time
             other = np.zeros(len(by), bool)
-            for lo in range(0, len(by), 65_536):
-                own, rep = by[lo : lo + 65_536], first[group[lo : lo + 65_536]]
+            for lo in range(0, len(by), 8_192):
+                own, rep = by[lo : lo + 8_192], first[group[lo : lo + 8_192]]
                 size = length[own]
                 differ = (length[rep] != size) | (h[rep] != h[own])
                 size = np.where(differ, 0, size)
                 apart = self.flat[spread(start[own], size)] != self.flat[spread(start[rep], size)]
                 differ |= np.bincount(np.repeat(np.arange(len(own)), size), weights=apart, minlength=len(own)) > 0
-                other[lo : lo + 65_536] = differ
+                other[lo : lo + 8_192] = differ
             if not other.any():
                 break
             # equal hashes of other bytes: those units are groups of their own, told apart once more
@@ -271,21 +272,23 @@ def shared_codes(blobs: pa.Table, most: int) -> list[tuple[int, int, bytes]]:
 def least_owners(blobs: pa.Table, least: int, batch_bytes: int) -> list[tuple[int, int, bytes]]:
     """Notes to blocks on the least document of each window of the strings they have sent, where that tells them something."""
     bucket = blobs.column("bucket")[0].as_py()
-    heads, strings = [], []
-    number: dict[tuple[int, bytes], int] = {}
+    heads = []
+    number: dict[bytes, int] = {}
     context: list[int] = []
+    keys: list[int] = []
     for block, data in zip(blobs.column("block").to_pylist(), blobs.column("data").to_pylist()):
         head, rest = untwo(data)
         key, length, doc, several = unpack(head, "<u4", "<u2", "<i8", "?")
         said = unpack(rest, "u1")[0].tobytes()
         ends = np.cumsum(length.astype(np.int64)).tolist()
-        strings = [said[e - n : e] for e, n in zip(ends, length.tolist())]
-        context += [number.setdefault(k, len(number)) for k in zip(key.tolist(), strings)]
+        for e, n, k in zip(ends, length.tolist(), key.tolist()):
+            context.append(number.setdefault(said[e - n : e], len(keys)))
+            if context[-1] == len(keys):
+                keys.append(k)
         heads.append((np.full(len(key), block), np.arange(len(key)), doc, several))
     block, place, doc, several = (np.concatenate(x) for x in zip(*heads))
     of = np.array(context)
-    texts = [s for _, s in number]
-    anchor = np.array([k for k, _ in number], np.int64)
+    texts, anchor = list(number), np.array(keys, np.int64)
     lowest = np.full(len(texts), NONE)
     np.minimum.at(lowest, of, doc)
     # contexts that are not the only one of their anchor, anchor by anchor
@@ -314,7 +317,7 @@ def least_owners(blobs: pa.Table, least: int, batch_bytes: int) -> list[tuple[in
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, batch_bytes: int = 1_500_000, most: int = 4096, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 6_000_000, bucket_bytes: int = 3_000_000, batch_bytes: int = 500_000, most: int = 4096, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], c0, c1, ...) of each row; c0 and on are the columns to carry.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -365,7 +366,7 @@ def test_repeats_in_texts_taken_in_parts(spark, monkeypatch):
 
 def test_equal_hashes_of_other_bytes_are_told_apart(spark):
     texts = [prose(random.Random(n), 40) for n in range(3)]
-    table_ = spark.createDataFrame([(n, t, n) for n, t in enumerate(texts)], "doc_id long, text string, tag long").toArrow()
+    table_ = pa.table({"doc_id": [0, 1, 2], "text": texts, "tag": [0, 1, 2]})
     block = suffixes.Block(table_, set(), 50)
     start = np.repeat(block.starts, 2)
     same = np.ones(6, np.uint64)
