@@ -54,6 +54,17 @@ def string_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least
     return mixed(out)
 
 
+def window_hashes(b: np.ndarray, starts: np.ndarray, least: int, at_once: int = 16_384) -> np.ndarray:
+    """Hashes of the windows of `least` bytes from given places on, a few at a time."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(least, ODD[0], np.uint64))
+        parts = [np.zeros(0, np.uint64)]
+        for lo in range(0, len(starts), at_once):
+            rows = b[starts[lo : lo + at_once, None] + np.arange(least)]
+            parts.append(mixed((rows.astype(np.uint64) + np.uint64(1)) @ power))
+    return np.concatenate(parts)
+
+
 def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(gram hash, context's hash, first window, last window) of each anchor of a text, in order; none of a shorter one.
 
@@ -203,7 +214,7 @@ class Block:
         if len(single):
             windows = self.width[single].astype(np.int64) + 1
             start = spread(self.first[single], windows)
-            h = string_hashes(gram_hashes(self.flat), start, start, self.least)
+            h = window_hashes(self.flat, start, self.least)
             parts.append((start, np.full(len(start), self.least), h, h, np.repeat(self.doc[single], windows)))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
