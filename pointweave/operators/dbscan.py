@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.errors import check_dbscan, check_matrix
+from pointweave.functions.vectors import squared_distance
 from pointweave.operators.components import connected
-from pointweave.operators.distances import nearest, range_pairs, vectors
+from pointweave.operators.distances import NeighbourIndex, index, nearest, range_pairs, vectors
 from pointweave.operators.scaling import apply_z, z_scores
-from pointweave.operators.tables import RID, features
+from pointweave.operators.tables import RID, features, numbered
 from pointweave.session import cut
 
 
@@ -33,10 +37,15 @@ class DBSCANModel:
     def n_noise(self) -> int:
         return self.points.where("cluster = 0").count()
 
+    @cached_property
+    def neighbours(self) -> NeighbourIndex:
+        """An index of the points, built when first asked for."""
+        return index(self.points.select(RID, "x"))
+
     def predict(self, table: DataFrame) -> DataFrame:
         """(rid, cluster) of other rows: the label of the nearest grouped point if it is within epsilon, else 0."""
         queries = vectors(apply_z(table, self.scale) if self.scale else table)
-        found = nearest(self.points.select(RID, "x"), queries, 1)
+        found = nearest(self.neighbours, queries, 1)
         labelled = found.join(self.points.select(RID, "cluster"), RID)
         return labelled.select(F.col("query").alias(RID), F.when(F.col("dist") <= self.epsilon, F.col("cluster")).otherwise(0).cast("int").alias("cluster"))
 
@@ -47,11 +56,48 @@ def _distinct(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, points.select(F.col(RID).alias("own"), "x")
 
 
+def _cell(side: float, width: int) -> Column:
+    return F.array(*[F.floor(F.col("x")[k] / side) for k in range(width)])
+
+
+def _between_cells(crowd: DataFrame, epsilon: float, width: int, witnesses: int = 4) -> DataFrame:
+    """(u, v) rids of points that connect crowded cells (cell, rid, x), whose points are all core: cells of points closer than epsilon.
+
+    First a few witnesses of each cell and those of the cells around it are compared. Then, between cells that are in
+    different components yet, the points that are closer than epsilon to the other cell's box.
+    """
+    near = [s for s in itertools.product(range(-2, 3), repeat=width) if s > (0,) * width]
+    boxes = cut(crowd.groupBy("cell").agg(F.min(RID).alias("u"), F.min_by("x", F.xxhash64(RID)).alias("w0"), *[F.min_by("x", F.xxhash64(RID, F.lit(k))).alias(f"w{k}") for k in range(1, witnesses)], *[f(F.col("x")[k]).alias(f"{n}{k}") for k in range(width) for n, f in (("low", F.min), ("high", F.max))]))
+    around = F.explode(F.array(*[F.array(*[(F.col("cell")[k] + F.lit(d)).cast("long") for k, d in enumerate(shift)]) for shift in near]))
+    names = [c for c in boxes.columns if c != "cell"]
+    other = boxes.select(F.col("cell").alias("to"), *[F.col(c).alias(f"other_{c}") for c in names])
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"other_low{k}") - F.col(f"high{k}"), F.col(f"low{k}") - F.col(f"other_high{k}"))
+    apart = sum((gap(k) * gap(k) for k in range(1, width)), gap(0) * gap(0))
+    pairs = cut(boxes.withColumn("to", around).join(other, "to").where(apart < epsilon * epsilon))
+    closest = F.least(*[squared_distance(F.col(f"w{i}"), F.col(f"other_w{j}")) for i in range(witnesses) for j in range(witnesses)])
+    linked = pairs.where(closest < epsilon * epsilon).select("u", F.col("other_u").alias("v"))
+    roots = connected(linked)
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_pairs = pairs.join(side("u"), "u", "left").join(side("other_u"), "other_u", "left")
+    open_pairs = cut(open_pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_other_u", "other_u")))
+    if open_pairs.isEmpty():
+        return linked
+    reach = lambda p: sum((F.greatest(F.lit(0.0), F.col(f"{p}low{k}") - F.col("x")[k], F.col("x")[k] - F.col(f"{p}high{k}")) ** 2 for k in range(1, width)), F.greatest(F.lit(0.0), F.col(f"{p}low0") - F.col("x")[0], F.col("x")[0] - F.col(f"{p}high0")) ** 2)
+    mine = crowd.join(open_pairs, "cell").where(reach("other_") < epsilon * epsilon).select("u", "other_u", F.col("x").alias("xi"))
+    theirs = crowd.withColumnRenamed("cell", "to").join(open_pairs, "to").where(reach("") < epsilon * epsilon).select("u", "other_u", F.col("x").alias("xj"))
+    met = mine.join(theirs, ["u", "other_u"]).where(squared_distance(F.col("xi"), F.col("xj")) < epsilon * epsilon)
+    return linked.unionByName(met.select("u", F.col("other_u").alias("v")).distinct())
+
+
 def fit(table: DataFrame, epsilon: float = 0.5, min_pts: int = 5, standardize: bool = False) -> DBSCANModel:
     """Groups the rows of a table: a core point has min_pts or more points, itself among them, closer than epsilon.
 
     Groups are the components of core points closer than epsilon; another point closer than epsilon to
     a core point joins the group of the lowest number; the rest is noise.
+
+    Up to three features, points lie in cells of side epsilon / sqrt(features), so all of a cell are closer than
+    epsilon. A cell of min_pts points is crowded: its points are core and connected, and need not meet one by one. Only
+    points of other cells, fewer than min_pts in each, meet those around them; crowded cells are connected as cells.
     """
     check_dbscan(epsilon, min_pts)
     scale = None
@@ -59,16 +105,27 @@ def fit(table: DataFrame, epsilon: float = 0.5, min_pts: int = 5, standardize: b
         table, scale = z_scores(table)
     width = len(features(table))
     places, members = _distinct(vectors(table))
-    places = cut(places)
+    by_cell = width <= 3
+    side = epsilon / math.sqrt(max(width, 1)) * (1 - 1e-9)
+    places = cut(places.withColumn("cell", _cell(side, width) if by_cell else F.array(F.col(RID))))
     check_matrix(places.count(), width)
-    pairs = cut(range_pairs(places, epsilon, width).select("i", "j"))
-    weights = places.select(F.col(RID).alias("j"), "weight")
-    core = cut(pairs.join(weights, "j").groupBy("i").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("i"))
+    crowded = places.groupBy("cell").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("cell", F.lit(True).alias("crowded"))
+    places = cut(places.join(crowded, "cell", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    sparse = places.where("NOT crowded") if by_cell else places
+    pairs = cut(range_pairs(sparse, epsilon, width, places).select("i", "j"))
+    weights = places.select(F.col(RID).alias("j"), "weight", F.col("crowded").alias("j_crowded"))
+    near = pairs.join(weights, "j")
+    sure = places.where("crowded").select(F.col(RID).alias("i"))
+    core = cut(near.groupBy("i").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("i").unionByName(sure).distinct())
     to_core = pairs.join(core.withColumnRenamed("i", "j"), "j")
-    edges = to_core.join(core, "i").where("i < j").select(F.col("i").alias("u"), F.col("j").alias("v"))
-    roots = core.join(connected(edges).withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
-    numbered = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")).cast("int"))
-    grouped = cut(roots.join(numbered, "root").select("i", "cluster"))
+    edges = to_core.join(core, "i").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    if by_cell:
+        held = places.where("crowded").select("cell", RID, "x")
+        inside = held.join(held.groupBy("cell").agg(F.min(RID).alias("v")), "cell").select(F.col(RID).alias("u"), "v")
+        edges = edges.unionByName(inside).unionByName(_between_cells(held, epsilon, width))
+    roots = core.join(connected(cut(edges.where("u <> v"))).withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
+    numbers = numbered(roots.select("root").distinct().orderBy("root"), "cluster").select("root", (F.col("cluster") + 1).cast("int").alias("cluster"))
+    grouped = cut(roots.join(numbers, "root").select("i", "cluster"))
     border = to_core.join(core, "i", "left_anti").join(grouped.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min("cluster").alias("cluster"))
     by_place = places.join(grouped.unionByName(border).withColumnRenamed("i", RID), RID, "left").select("x", F.coalesce("cluster", F.lit(0)).alias("cluster"))
     labelled = members.join(by_place, "x").select(F.col("own").alias(RID), "x", "cluster")

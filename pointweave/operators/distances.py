@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pointweave.errors import check_width, require
 from pointweave.functions.vectors import l2, squared_distance, vector_of
 from pointweave.operators.balls import NeighbourIndex, index, rows_of
-from pointweave.operators.tables import RID, features
+from pointweave.operators.tables import RID, features, stride
 
 __all__ = ["NeighbourIndex", "all_pairs", "assigned", "distance_matrix", "distances_to", "index", "nearest", "nearest_centroid", "range_pairs", "rows_of", "vectors"]
 
@@ -59,10 +60,17 @@ def nearest_centroid(points: DataFrame, centroids: Sequence[Sequence[float]]) ->
     return assigned(points, np.array(centroids, float)).select(RID, "cluster", F.sqrt("d2").alias("dist"))
 
 
-def all_pairs(points: DataFrame) -> DataFrame:
-    """(i, j, d2) for i < j. Quadratic by nature: for samples."""
-    a, b = points.select(F.col(RID).alias("i"), F.col("x").alias("xi")), points.select(F.col(RID).alias("j"), F.col("x").alias("xj"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", squared_distance(F.col("xi"), F.col("xj")).alias("d2"))
+def all_pairs(points: DataFrame, most: int | None = None, block_rows: int = 1024) -> DataFrame:
+    """(i, j, d2) for i < j; of evenly spaced rows if there are more than `most`. Quadratic by nature, so for samples: the
+    blocks of points meet pair by pair in an equality join."""
+    rows = points.count()
+    if most is not None:
+        points, rows = stride(points, rows, most), min(rows, most)
+    n = max(1, math.ceil(rows / block_rows))
+    own, every = F.pmod(F.xxhash64(RID), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = points.select(F.col(RID).alias("i"), F.col("x").alias("xi"), own.alias("p")).withColumn("q", every)
+    b = points.select(F.col(RID).alias("j"), F.col("x").alias("xj"), own.alias("q")).withColumn("p", every)
+    return a.join(b, ["p", "q"]).where(F.col("i") < F.col("j")).select("i", "j", squared_distance(F.col("xi"), F.col("xj")).alias("d2"))
 
 
 def range_pairs(points: DataFrame, epsilon: float, width: int, both: DataFrame | None = None) -> DataFrame:

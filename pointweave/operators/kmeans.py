@@ -136,25 +136,64 @@ def sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-def _ordered(batch: DataFrame, order: str = RID) -> np.ndarray:
-    """A batch's points in order; batches are small, what is learned from them is k by d."""
-    rows = batch.orderBy(order).select("x").toArrow()
-    return rows_of(rows.column("x"))
+def in_order(batch: DataFrame, order: str, run: Callable[[Iterator[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run makes of a batch's points in order, given as arrays of rows.
+
+    What a sequential rule learns depends on every point before, so one task reads them, sorted; it holds a
+    few thousand points and k by d numbers at a time, and the driver gets what it has learned.
+    """
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(rows_of(b.column(0)) for b in batches if b.num_rows)
 
+    return batch.select(order, "x").repartition(1).sortWithinPartitions(order).select("x").mapInArrow(arrays, schema)
 
-def partial_fit(model: KMeansModel | None, batch: DataFrame, config: KMeansConfig = KMeansConfig()) -> KMeansModel:
+
+def partial_fit(model: KMeansModel | None, batch: DataFrame, config: KMeansConfig = KMeansConfig(), order: str = RID) -> KMeansModel:
     """Sequential update by a batch: the first call fits; later each point moves its nearest centroid, as it is by then,
     by 1 / sqrt(n_iter + 1) of the way."""
     if model is None:
         return fit(batch, config)
-    centroids, rate = model.centroids.copy(), 1 / np.sqrt(model.n_iter + 1)
-    counts = model.counts.copy()
-    for x in _ordered(batch):
-        check_width(len(x), centroids.shape[1])
-        c = int(((centroids - x) ** 2).sum(axis=1).argmin())
-        centroids[c] += rate * (x - centroids[c])
-        counts[c] += 1
-    return replace(model, centroids=centroids, counts=counts)
+    before, rate = model, 1 / np.sqrt(model.n_iter + 1)
+
+    def run(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        centroids, counts = before.centroids.copy(), before.counts.astype(np.int64)
+        for part in parts:
+            check_width(part.shape[1], centroids.shape[1])
+            for x in part:
+                c = int(((centroids - x) ** 2).sum(axis=1).argmin())
+                centroids[c] += rate * (x - centroids[c])
+                counts[c] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts), pa.array(centroids.tolist(), pa.list_(pa.float64()))], names=["c", "n", "m"])
+
+    rows = in_order(batch, order, run, "c long, n long, m array<double>").collect()
+    rows.sort(key=lambda r: r["c"])
+    return replace(model, centroids=np.array([r["m"] for r in rows]), counts=np.array([r["n"] for r in rows]))
+
+
+def fit_arrays(x: np.ndarray, config: KMeansConfig) -> np.ndarray:
+    """Centroids of a few points that are at hand: Lloyd's iterations by the same rules, from points drawn in proportion to
+    squared distance (or the first k)."""
+    rng, k = np.random.default_rng(config.seed), min(config.k, len(x))
+    centroids = x[:k].copy()
+    if config.init != "first_k":
+        centroids = x[[int(rng.integers(len(x)))]]
+        while len(centroids) < k:
+            d2 = distances_to(x, centroids).min(axis=1)
+            at = int(d2.argmax()) if config.init == "maximin" or not d2.sum() else int(rng.choice(len(x), p=d2 / d2.sum()))
+            centroids = np.vstack((centroids, x[at]))
+    before = None
+    for i in range(config.max_iter):
+        d2 = distances_to(x, centroids)
+        own = d2.argmin(axis=1)
+        inertia, counts = float(d2[np.arange(len(x)), own].sum()), np.bincount(own, minlength=k)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, x)
+        centroids = updated(sums, counts, centroids, config.empty)
+        if i >= 2 and before is not None and (abs(before - inertia) < config.tol * inertia or before == inertia):
+            break
+        before = inertia
+    return centroids
 
 
 def mini_batch_update(model: KMeansModel, drawn: np.ndarray) -> KMeansModel:
@@ -168,11 +207,12 @@ def mini_batch_update(model: KMeansModel, drawn: np.ndarray) -> KMeansModel:
 
 
 def draw(points: DataFrame, rows: int, size: int, seed: int) -> np.ndarray:
-    """size points drawn with replacement, in the order of the draws; rids are 0 to rows - 1."""
+    """size points drawn with replacement, in the order of the draws; rids are 0 to rows - 1. size is the batch's, not the table's."""
     numbers = np.random.default_rng(seed).integers(rows, size=size).tolist()
     spark = points.sparkSession
     drawn = spark.createDataFrame(list(enumerate(numbers)), "draw long, rid long")
-    return _ordered(points.join(F.broadcast(drawn), RID), "draw")
+    rows = points.join(F.broadcast(drawn), RID).select("draw", "x").orderBy("draw").toArrow()
+    return rows_of(rows.column("x"))
 
 
 def mini_batch_partial_fit(model: KMeansModel | None, points: DataFrame, batch_size: int = 100, config: KMeansConfig = KMeansConfig(), seed: int = 0) -> KMeansModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,24 @@ def davies_bouldin(labelled: DataFrame, centroids: np.ndarray) -> float:
 
 
 def centres(labelled: DataFrame) -> dict[int, np.ndarray]:
-    """Mean of each cluster."""
-    rows = labelled.select("cluster", F.posexplode("x").alias("at", "v")).groupBy("cluster", "at").agg(F.avg("v").alias("m")).collect()
-    width = max((r["at"] for r in rows), default=-1) + 1
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["cluster"], np.zeros(width))[r["at"]] = r["m"]
-    return out
+    """Mean of each cluster; a task sends a sum a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x, (own, which) = rows_of(batch.column(1)), np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                total, counts = np.zeros((len(own), x.shape[1])), np.bincount(which)
+                np.add.at(total, which, x)
+                for c, n, t in zip(own.tolist(), counts.tolist(), total):
+                    before = sums.get(c, (0, np.zeros(x.shape[1])))
+                    sums[c] = before[0] + n, before[1] + t
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], names=["c", "n", "s"])
+
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    for r in labelled.select(F.col("cluster").cast("int"), "x").mapInArrow(run, "c int, n long, s array<double>").groupBy("c").agg(F.sum("n").alias("n"), F.collect_list("s").alias("s")).collect():
+        found[r["c"]] = r["n"], np.sum(r["s"], axis=0)
+    return {c: total / n for c, (n, total) in found.items()}
 
 
 def calinski_harabasz(labelled: DataFrame, centroids: np.ndarray) -> float:
@@ -91,7 +103,8 @@ def calinski_harabasz(labelled: DataFrame, centroids: np.ndarray) -> float:
     counts = np.zeros(k)
     for r in rows:
         counts[r["cluster"]] = r["n"]
-    mean = np.array([r["m"] for r in labelled.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m")).orderBy("at").collect()])
+    own = centres(labelled)
+    mean = sum(counts[c] * m for c, m in own.items()) / n
     between = float((counts * ((centroids - mean) ** 2).sum(axis=1)).sum())
     return (between / (k - 1)) / (within / (n - k))
 
@@ -121,3 +134,28 @@ def evaluate(labelled: DataFrame, exclude_noise: bool = False) -> dict[str, floa
     matrix = np.array([means[c] for c in sorted(means)])
     k = len(matrix)
     return {"k": k, "silhouette": silhouette(dense, k), "davies_bouldin": davies_bouldin(dense, matrix), "calinski_harabasz": calinski_harabasz(dense, matrix), "stability": stability(dense, k)}
+
+
+def of_arrays(x: np.ndarray, labels: np.ndarray, centroids: np.ndarray) -> tuple[float, float, float, float]:
+    """(silhouette, Davies-Bouldin, Calinski-Harabasz, stability) of a few points that are at hand, by the same rules."""
+    k, n = len(centroids), len(x)
+    if k <= 1 or not n:
+        return 0.0, 0.0, 0.0, 1.0 if k <= 1 else 0.0
+    counts = np.bincount(labels, minlength=k)
+    d = np.sqrt(distances_to(x, x))
+    sums = np.stack([d[:, labels == c].sum(axis=1) for c in range(k)], axis=1)
+    own = np.arange(n), labels
+    inner = np.where(counts[labels] > 1, sums[own] / np.maximum(counts[labels] - 1, 1), 0.0)
+    other = np.where(counts > 0, sums / np.maximum(counts, 1), np.inf)
+    other[own] = np.inf
+    outer = np.minimum(other.min(axis=1), 3.4028234663852886e38)
+    widest = np.maximum(inner, outer)
+    silhouette_ = float(np.where(widest > 0, (outer - inner) / np.where(widest > 0, widest, 1), 0.0).mean())
+    off = np.sqrt(((x - centroids[labels]) ** 2).sum(axis=1))
+    spread = np.bincount(labels, weights=off, minlength=k) / np.maximum(counts, 1)
+    apart = np.sqrt(distances_to(centroids, centroids))
+    ratio = np.divide(spread[:, None] + spread[None, :], apart, out=np.zeros((k, k)), where=apart > 0)
+    within = float((off**2).sum())
+    between = float((counts * ((centroids - x.mean(axis=0)) ** 2).sum(axis=1)).sum())
+    share = counts[counts > 0] / n
+    return silhouette_, float(ratio.max(axis=1).mean()), 0.0 if n <= k or within == 0 else (between / (k - 1)) / (within / (n - k)), float(-(share * np.log2(share)).sum() / math.log2(k))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pointweave.operators.tables import RID, features
 
 
+#: Half the width of a guessed interval, as a share of the valid cells.
+GUESS = 1e-3
+
+
 @dataclass
 class _Target:
     column: str
@@ -24,24 +28,38 @@ class _Target:
 def order_statistics(df: DataFrame, ranks: Sequence[tuple[str, int]], bins: int = 1024) -> list[float | None]:
     """The value at a rank (from 0) among the valid cells of a column, for several ranks at once.
 
-    Each pass counts every target's interval in bins and goes on inside the bin that holds the rank, with
+    A sketch guesses a narrow interval for each; where a count shows that it holds the rank, the passes start
+    there, else from the whole column. Each pass counts every target's interval in bins and goes on inside the bin that holds the rank, with
     the bin's least and largest value as the new interval. All targets share a pass; what reaches the
     driver is bins times targets at most, whatever the table holds.
     """
     if not ranks:
         return []
     names = list(dict.fromkeys(c for c, _ in ranks))
-    ends = df.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(names) for f in (F.min, F.max)]).first()
-    bounds = {c: (ends[f"min{i}"], ends[f"max{i}"]) for i, c in enumerate(names)}
-    targets = [_Target(c, r, *bounds[c]) for c, r in ranks]
+    at = {c: sorted({r for d, r in ranks if d == c}) for c in names}
+    ends = df.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(names) for f in (F.min, F.max, F.count)]).first()
+    # a sketch of the column guesses an interval around each rank; the first pass counts what lies below it
+    chances = {c: [min(1.0, max(0.0, (r + 0.5) / max(1, ends[f"count{i}"]) + s)) for r in at[c] for s in (-GUESS, GUESS)] for i, c in enumerate(names)}
+    guessed = df.agg(*[F.percentile_approx(c, chances[c], int(2 / GUESS)).alias(f"q{i}") for i, c in enumerate(names)]).first()
+    guess = {(c, r): guessed[f"q{i}"][2 * k : 2 * k + 2] if guessed[f"q{i}"] else (None, None) for i, c in enumerate(names) for k, r in enumerate(at[c])}
+    known = [(i, c, k, guess[c, r]) for i, c in enumerate(names) for k, r in enumerate(at[c]) if guess[c, r][0] is not None]
+    counts = [f.alias(f"{e}{i}_{k}") for i, c, k, (low, high) in known for e, f in (("below", F.count_if(F.col(c) < F.lit(low))), ("upto", F.count_if(F.col(c) <= F.lit(high))))]
+    counted = df.agg(*counts).first() if counts else {}
+    targets = []
+    for c, r in ranks:
+        i, k, (low, high) = names.index(c), at[c].index(r), guess[c, r]
+        if low is not None and counted[f"below{i}_{k}"] <= r < counted[f"upto{i}_{k}"]:
+            targets.append(_Target(c, r, low, high, counted[f"below{i}_{k}"]))
+        else:
+            targets.append(_Target(c, r, ends[f"min{i}"], ends[f"max{i}"]))
     while todo := [(i, t) for i, t in enumerate(targets) if t.low is not None and t.low < t.high]:
         cells = []
         for i, t in todo:
             v = F.col(t.column)
             share = F.lit(1.0 / bins) * (t.high / 2 - t.low / 2)
-            at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v / 2 - t.low / 2) / share))).cast("int")
-            cells.append(F.when(v.between(t.low, t.high), F.struct(F.lit(i).alias("t"), at.alias("b"), v.alias("v"))))
-        one = df.select(F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL")
+            at_bin = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v / 2 - t.low / 2) / share))).cast("int")
+            cells.append(F.when(v.between(t.low, t.high), F.struct(F.lit(i).alias("t"), at_bin.alias("b"), v.alias("v"))))
+        one = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
         found = one.groupBy("c.t", "c.b").agg(F.count("*").alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high")).collect()
         for i, t in todo:
             for r in sorted((r for r in found if r["t"] == i), key=lambda r: r["b"]):

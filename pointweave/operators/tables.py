@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.errors import require
+from pointweave.session import cut
 
 RID = "rid"
 
@@ -135,3 +136,27 @@ def stride(df: DataFrame, total: int, most: int = 1000) -> DataFrame:
         return df
     step = total // most
     return df.where((F.col(RID) % step == 0) & (F.floor(F.col(RID) / step) < most))
+
+
+def resize(df: DataFrame, rows: int, columns: int) -> DataFrame:
+    """A table of rids 0 to rows - 1 and so many features: what is beyond goes, new cells are 0."""
+    require(rows >= 0 and columns >= 0, "a table has no negative size")
+    own = features(df)[:columns]
+    new = [letters(i) for i in range(len(own), columns)]
+    kept = df.where(F.col(RID) < rows).select(RID, *own, *[F.lit(0.0).alias(c) for c in new])
+    there = df.agg(F.coalesce(F.max(RID) + 1, F.lit(0))).first()[0]
+    more = df.sparkSession.range(min(there, rows), rows).select(F.col("id").alias(RID), *[F.lit(0.0).alias(c) for c in [*own, *new]])
+    return kept.unionByName(more)
+
+
+def numbered(df: DataFrame, name: str = "position") -> DataFrame:
+    """df, in the order that it has, with the place of each row from 0. Each partition counts its rows, then adds those before it."""
+    kept = cut(df)
+    tagged = kept.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    sizes = {r["_part"]: (r["n"], r["first"]) for r in tagged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first")).collect()}
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts.append((part, before - sizes[part][1]))
+        before += sizes[part][0]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start long"))
+    return tagged.join(offsets, "_part").select(*df.columns, (F.col("_id") + F.col("_start")).alias(name))

@@ -148,9 +148,11 @@ def export_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema("id long, cluster string").csv(path)
 
 
-@query("export_centroids", f"WITH emb AS ({EMB_SQL}), k AS ({CENTRES_SQL}) SELECT CAST(c AS INTEGER) AS c, printf('%.6f', p[1]) AS f0, printf('%.6f', p[64]) AS f63 FROM k")
+@query("export_centroids", f"WITH emb AS ({EMB_SQL}), k AS ({CENTRES_SQL}) SELECT printf('%.6f', p[1]) AS f0, printf('%.6f', p[64]) AS f63 FROM k")
 def export_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.centroid_lines(spark, label_centres(emb(spark, sf_dir)).tolist()).select("c", "f0", "f63")
+    path = scratch(spark)
+    exports.export_centroids(spark, label_centres(emb(spark, sf_dir)).tolist(), path)
+    return spark.read.option("header", True).csv(path).select("f0", "f63")
 
 
 @query("export_table", f"SELECT CAST(rid AS BIGINT) AS rid, printf('%.6f', value) AS value, printf('%.6f', usr) AS usr FROM ({GAPS_SQL})")
@@ -158,12 +160,6 @@ def export_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.table_lines(gaps(spark, sf_dir).select(RID, "value", "usr"))
 
 
-@query("report")
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = part(spark, sf_dir)
-    return spark.createDataFrame([(exports.report(p.count(), 2, tables.features(p)),)], "report string")
-
-
 @query("version_latest", f"WITH emb AS ({EMB_SQL}), k AS ({CENTRES_SQL}) SELECT CAST(2 AS INTEGER) AS version, CAST(c AS INTEGER) AS c, round(p[1], 6) + 0.0 AS first, (SELECT count(*) FROM emb WHERE cluster = c) AS n FROM k")
 def version_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, manager = emb(spark, sf_dir), store.VersionManager(spark, scratch(spark))
@@ -242,9 +238,15 @@ def constant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.constant(part(spark, sf_dir), 2.5)
 
 
-@query("sort_rows", f"SELECT CAST(rid AS BIGINT) AS rid, value FROM ({GAPS_SQL})")
+@query("sort_rows", f"SELECT row_number() OVER (ORDER BY value DESC NULLS LAST, rid) - 1 AS position, CAST(rid AS BIGINT) AS rid, value FROM ({GAPS_SQL})")
 def sort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.sort_rows(gaps(spark, sf_dir).select(RID, "value"), "value", descending=True)
+    return tables.numbered(tables.sort_rows(gaps(spark, sf_dir).select(RID, "value"), "value", descending=True)).select("position", RID, "value")
+
+
+@query("matrix_resize", f"WITH p AS ({PART_SQL}), n AS (SELECT count(*) AS n FROM p) SELECT i AS rid, CASE WHEN p.rid IS NULL THEN 0 ELSE p.size END AS size, CASE WHEN p.rid IS NULL THEN 0 ELSE p.price END AS price, 0.0::DOUBLE AS \"C\" FROM (SELECT unnest(range(0, n + 25)) AS i FROM n) LEFT JOIN p ON p.rid = i")
+def matrix_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = part(spark, sf_dir)
+    return tables.resize(p, p.count() + 25, 3)
 
 
 @query("page_rows", f"SELECT CAST(rid AS BIGINT) AS rid, size, price FROM ({PART_SQL}) WHERE rid BETWEEN 100 AND 149")
@@ -381,6 +383,14 @@ for _strategy in (Strategy.MEAN, Strategy.MEDIAN, Strategy.MODE, Strategy.CONSTA
     _key = _strategy.name.lower()
     query(f"impute_{_key}", f"WITH g AS ({GAPS_SQL}) SELECT CAST(rid AS BIGINT) AS rid, " + ", ".join(f"round({FILL_SQL[_key].format(c=c)}, 6) + 0.0 AS {c}" for c in FILLED) + " FROM g")(lambda spark, sf_dir, s=_strategy: rounded(missing.fill(gaps(spark, sf_dir), s)))
 
+
+
+@query("impute_forward_fill", ORACLE_SQL["impute_forward_fill"])
+def impute_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In ranges of a thousand rows, so that cells are filled across them."""
+    return rounded(missing.along_rows(gaps(spark, sf_dir), FILLED, False, rows_each=1000))
+
+
 _BACK, _AHEAD = "OVER (ORDER BY rid ROWS UNBOUNDED PRECEDING)", "OVER (ORDER BY rid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 INTERPOLATED_SQL = (
     f"WITH g AS ({GAPS_SQL}), n AS (SELECT rid, value, last_value(value IGNORE NULLS) {_BACK} AS a, last_value(CASE WHEN value IS NOT NULL THEN rid END IGNORE NULLS) {_BACK} AS ra, "
@@ -415,9 +425,14 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.nearest_centroid(e, label_centres(e)))
 
 
-@query("all_pairs", f"WITH emb AS ({EMB_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid")
+def sampled_sql(most: int) -> str:
+    """Common tables n and emb: at most so many evenly spaced embeddings."""
+    return f"n AS (SELECT count(*) AS n FROM embeddings), emb AS (SELECT e.* FROM ({EMB_SQL}) e, n WHERE n <= {most} OR (rid % (n // {most}) = 0 AND rid // (n // {most}) < {most}))"
+
+
+@query("all_pairs", f"WITH {sampled_sql(1000)} SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid")
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distances.all_pairs(emb(spark, sf_dir)))
+    return rounded(distances.all_pairs(emb(spark, sf_dir), 1000))
 
 
 @query("range_pairs", f"WITH p AS ({SUPPLIER_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) + 0.0 AS d2 FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 0.16")
@@ -499,23 +514,66 @@ def kmeans_maximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(F.broadcast(rows), p.x == rows.c).groupBy("c").agg(F.min(RID).alias(RID)).select(RID)
 
 
-SEQUENTIAL_SQL = "SELECT round({old} * pow(1 - {lr}, count(*)) + sum({lr} * pow(1 - {lr}, m - i) * v), 6) + 0.0 AS centroid FROM (SELECT value AS v, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS m FROM events)"
+def converged_sql(k: int, rounds: int, tol: float) -> str:
+    """Lloyd's iterations up to the first from the third on whose inertia moved by less than tol of itself."""
+    base = lloyd_sql(k, rounds, "").removesuffix(" ").replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    inertia = " UNION ALL ".join(f"SELECT {t - 1} AS i, sum(d2) AS inertia FROM a{t}" for t in range(1, rounds + 1))
+    centres = " UNION ALL ".join(f"SELECT {t - 1} AS i, c, x, y, n FROM c{t}" for t in range(1, rounds + 1))
+    return f"""{base}, f AS (SELECT i, inertia, lag(inertia) OVER (ORDER BY i) AS before FROM ({inertia})),
+    e AS (SELECT coalesce(min(i) FILTER (WHERE i >= 2 AND (abs(before - inertia) < {tol} * inertia OR before = inertia)), {rounds}) AS n_iter FROM f),
+    z AS (SELECT n_iter, least(n_iter, {rounds - 1}) AS at FROM e)
+    SELECT CAST(n_iter AS INTEGER) AS n_iter, round(inertia, 4) + 0.0 AS inertia, c AS cluster, n, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM z JOIN f ON f.i = z.at JOIN ({centres}) k ON k.i = z.at"""
+
+
+@query("kmeans_converged", converged_sql(4, 15, 0.01))
+def kmeans_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = kmeans.fit(unit_points(spark, sf_dir), kmeans.KMeansConfig(k=4, max_iter=15, tol=0.01, init="first_k"))
+    rows = [(model.n_iter, model.inertia, i, int(n), float(c[0]), float(c[1])) for i, (c, n) in enumerate(zip(model.centroids, model.counts))]
+    return rounded(spark.createDataFrame(rows, "n_iter int, inertia double, cluster int, n long, x double, y double"), 4)
 
 
-@query("kmeans_partial_fit", SEQUENTIAL_SQL.format(old="100.0", lr="0.5"))
+START = [[0.2, 1.0], [0.5, 1.1], [0.8, 1.2]]
+
+
+def sequence_sql(source: str, centroid: str, count: str, nearest_to: str = "m") -> str:
+    """Points (i, x, y) of a source one after the other, each moving the centroid nearest to it, as a recursive common table.
+
+    centroid and count are the new values of p and n of that cluster; nearest_to is the centroids that it is told by.
+    """
+    d = f"list_transform({nearest_to}, lambda p: (p[1] - u.x) * (p[1] - u.x) + (p[2] - u.y) * (p[2] - u.y))"
+    moved = centroid.format(p="m[w][{0}]", n="n[w]")
+    return f"""WITH RECURSIVE u AS ({source}), s(i, m, n) AS (SELECT CAST(0 AS BIGINT), {START}::DOUBLE[][], [1.0, 1.0, 1.0]::DOUBLE[] UNION ALL
+        SELECT i, list_transform(range(1, 4), lambda k: CASE WHEN k = w THEN [{moved.format(1, v='x')}, {moved.format(2, v='y')}] ELSE m[k] END), list_transform(range(1, 4), lambda k: CASE WHEN k = w THEN {count.format(n='n[w]')} ELSE n[k] END)
+        FROM (SELECT u.i, u.x, u.y, s.m, s.n, list_position({d}, list_min({d})) AS w FROM s JOIN u ON u.i = s.i + 1))
+    SELECT CAST(k - 1 AS INTEGER) AS cluster, round(n[k], 6) + 0.0 AS mass, round(m[k][1], 6) + 0.0 AS x, round(m[k][2], 6) + 0.0 AS y FROM (SELECT * FROM s ORDER BY i DESC LIMIT 1), (SELECT unnest(range(1, 4)) AS k)"""
+
+
+def _centroids(spark: SparkSession, centroids: np.ndarray, counts: np.ndarray) -> DataFrame:
+    return rounded(spark.createDataFrame([(i, float(n), *map(float, c)) for i, (c, n) in enumerate(zip(centroids, counts))], "cluster int, mass double, x double, y double"))
+
+
+IN_ORDER_SQL = f"SELECT row_number() OVER (ORDER BY rid) AS i, x, y FROM ({UNIT_SQL})"
+
+
+@query("kmeans_partial_fit", sequence_sql(IN_ORDER_SQL, "{p} + 0.5 * ({{v}} - {p})", "{n} + 1"))
 def kmeans_partial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cluster at 100, three iterations in: the rate is a half."""
-    batch = read(spark, sf_dir, "events").select(F.col("event_id").alias(RID), vector_of("value").alias("x"))
-    model = kmeans.partial_fit(kmeans.KMeansModel(np.array([[100.0]]), np.array([1]), n_iter=3), batch)
-    return rounded(spark.createDataFrame([(float(model.centroids[0, 0]),)], "centroid double"))
+    """Three clusters, three iterations in, so the rate is a half; all points in order."""
+    model = kmeans.partial_fit(kmeans.KMeansModel(np.array(START), np.ones(3, np.int64), n_iter=3), unit_points(spark, sf_dir))
+    return _centroids(spark, model.centroids, model.counts)
+
 
+MINI_SQL = f"WITH RECURSIVE u AS (SELECT d AS i, x, y FROM (SELECT unnest(range(1, 301)) AS d) JOIN ({UNIT_SQL}) ON rid = (d * 7919) % (SELECT count(*) FROM part)), s(i, m, w) AS (SELECT CAST(0 AS BIGINT), {START}::DOUBLE[][], 0 UNION ALL SELECT u.i, list_transform(range(1, 4), lambda k: CASE WHEN k = list_position(list_transform({START}::DOUBLE[][], lambda p: (p[1] - u.x) * (p[1] - u.x) + (p[2] - u.y) * (p[2] - u.y)), list_min(list_transform({START}::DOUBLE[][], lambda p: (p[1] - u.x) * (p[1] - u.x) + (p[2] - u.y) * (p[2] - u.y)))) THEN [m[k][1] + (u.x - m[k][1]) / (9 + u.i), m[k][2] + (u.y - m[k][2]) / (9 + u.i)] ELSE m[k] END), 0 FROM s JOIN u ON u.i = s.i + 1) SELECT CAST(k - 1 AS INTEGER) AS cluster, round(m[k][1], 6) + 0.0 AS x, round(m[k][2], 6) + 0.0 AS y FROM (SELECT * FROM s ORDER BY i DESC LIMIT 1), (SELECT unnest(range(1, 4)) AS k)"
 
-@query("minibatch_update", "SELECT round(avg(value), 6) + 0.0 AS centroid FROM events")
+
+@query("minibatch_update", MINI_SQL)
 def minibatch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cluster and a list of draws, each row once: an update takes 1 / n of the way, so the centroid is their mean."""
-    rows = read(spark, sf_dir, "events").orderBy("event_id").select("value").toArrow()
-    model = kmeans.mini_batch_update(kmeans.fixed([[0.0]]), rows.column("value").to_numpy()[:, None])
-    return rounded(spark.createDataFrame([(float(model.centroids[0, 0]),)], "centroid double"))
+    """Three clusters, ten updates in, and a batch of 300 draws with replacement by a fixed list of rows."""
+    points = unit_points(spark, sf_dir)
+    n = points.count()
+    drawn = spark.createDataFrame([(d, d * 7919 % n) for d in range(1, 301)], "draw long, rid long")
+    rows = points.join(F.broadcast(drawn), RID).orderBy("draw").select("x").toArrow()
+    model = kmeans.mini_batch_update(kmeans.KMeansModel(np.array(START), np.zeros(3, np.int64), updates=9), distances.rows_of(rows.column("x")))
+    return rounded(spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(model.centroids)], "cluster int, x double, y double"))
 
 
 @query("minibatch_fit")
@@ -556,6 +614,27 @@ def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(model.n_clusters(), model.n_noise())], "clusters int, noise long")
 
 
+PART_Z_SQL = "SELECT p_partkey AS rid, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part) AS x, (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part) AS y FROM part"
+
+
+@query("dbscan_part", dbscan_sql(0.1, "SELECT CAST(rid AS BIGINT) AS rid, cluster FROM label").replace(SUPPLIER_SQL, PART_Z_SQL))
+def dbscan_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan.fit(part(spark, sf_dir), 0.1, 5, standardize=True).labels
+
+
+#: Coarse places, so that most cells are crowded.
+CROWD_SQL = "SELECT c_custkey AS rid, floor(c_acctbal / 250) / 4 AS x, (c_custkey % 37) / 10.0 AS y FROM customer"
+
+
+@query("dbscan_crowded", dbscan_sql(0.35, "SELECT cluster, count(*) AS n, min(CAST(rid AS BIGINT)) AS first, max(CAST(rid AS BIGINT)) AS last FROM label GROUP BY cluster").replace(SUPPLIER_SQL, CROWD_SQL).replace("reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, e.j FROM reach r JOIN edge e ON e.i = r.j)", "spot AS (SELECT x, y, min(rid) AS s FROM p GROUP BY x, y), of AS (SELECT p.rid, s FROM p JOIN spot USING (x, y)), link AS (SELECT DISTINCT a.s AS i, b.s AS j FROM edge e JOIN of a ON a.rid = e.i JOIN of b ON b.rid = e.j), hop(i, j) AS (SELECT DISTINCT s, s FROM of JOIN core ON core.i = of.rid UNION SELECT h.i, l.j FROM hop h JOIN link l ON l.i = h.j), reach AS (SELECT core.i, h.j FROM core JOIN of ON of.rid = core.i JOIN hop h ON h.i = of.s)"))
+def dbscan_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many points at few places, so that cells are crowded and connected as cells."""
+    c = read(spark, sf_dir, "customer")
+    table = tables.points(c, "c_custkey", {"x": F.floor(F.col("c_acctbal") / 250) / 4, "y": F.expr("c_custkey % 37") / 10.0})
+    labels = dbscan.fit(table, 0.35, 5).labels
+    return labels.groupBy("cluster").agg(F.count("*").alias("n"), F.min(RID).alias("first"), F.max(RID).alias("last"))
+
+
 @query("dbscan_core_points", dbscan_sql(0.4, "SELECT CAST(i AS BIGINT) AS rid, count(*) AS neighbours, count(*) >= 5 AS core FROM near GROUP BY i"))
 def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan.core_points(scaling.z_scores(supplier(spark, sf_dir))[0], 0.4, 5)
@@ -613,10 +692,25 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(metrics.stability(e, len(label_centres(e))),)], "stability double"))
 
 
-@query("evaluate_current")
+def scores_sql(labels: str, centres: str) -> str:
+    """Common tables that end in r (silhouette, davies_bouldin, calinski_harabasz, stability) of labels (rid, cluster, x, y)
+    around centres (c, x, y); every centre counts, empty ones too."""
+    d = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+    return f"""l AS ({labels}), k AS ({centres}), kk AS (SELECT count(*) AS k FROM k), nn AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my FROM l),
+    m AS (SELECT a.rid, a.cluster AS ci, b.cluster AS cj, avg({d}) AS d FROM l a, l b WHERE a.rid <> b.rid GROUP BY 1, 2, 3),
+    sides AS (SELECT l.rid, coalesce(max(d) FILTER (WHERE ci = cj), 0) AS a, coalesce(min(d) FILTER (WHERE ci <> cj), 3.4028234663852886e38) AS b FROM l LEFT JOIN m ON m.rid = l.rid GROUP BY l.rid),
+    sil AS (SELECT avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM sides),
+    sp AS (SELECT b.c, b.x, b.y, count(a.rid) AS n, coalesce(avg({d}), 0) AS s, coalesce(sum({d} * {d}), 0) AS within FROM k b LEFT JOIN l a ON a.cluster = b.c GROUP BY 1, 2, 3),
+    db AS (SELECT avg(worst) AS davies_bouldin FROM (SELECT a.c, max(CASE WHEN {d} > 0 THEN (a.s + b.s) / {d} ELSE 0 END) AS worst FROM sp a, sp b WHERE a.c <> b.c GROUP BY a.c)),
+    ch AS (SELECT (sum(sp.n * ((sp.x - mx) * (sp.x - mx) + (sp.y - my) * (sp.y - my))) / nullif(any_value(k) - 1, 0)) / nullif(sum(within) / nullif(any_value(nn.n) - any_value(k), 0), 0) AS calinski_harabasz FROM sp, nn, kk),
+    st AS (SELECT -sum(CASE WHEN sp.n > 0 THEN sp.n / nn.n * log2(sp.n / nn.n) ELSE 0 END) / nullif(log2(any_value(k)), 0) AS stability FROM sp, nn, kk),
+    r AS (SELECT CASE WHEN k <= 1 THEN 0 ELSE silhouette END AS silhouette, CASE WHEN k <= 1 THEN 0 ELSE davies_bouldin END AS davies_bouldin, CASE WHEN k <= 1 OR n <= k OR within = 0 THEN 0 ELSE calinski_harabasz END AS calinski_harabasz, CASE WHEN k <= 1 THEN 1 ELSE stability END AS stability FROM sil, db, ch, st, kk, nn, (SELECT sum(within) AS within FROM sp))"""
+
+
+@query("evaluate_current", dbscan_sql(0.4, f", {scores_sql('SELECT rid, cluster, x, y FROM label', 'SELECT cluster AS c, avg(x) AS x, avg(y) AS y FROM label GROUP BY cluster')} SELECT CAST(k AS INTEGER) AS k, round(silhouette, 6) + 0.0 AS silhouette, round(davies_bouldin, 6) + 0.0 AS davies_bouldin, round(calinski_harabasz, 6) + 0.0 AS calinski_harabasz, round(stability, 6) + 0.0 AS stability FROM r, kk"))
 def evaluate_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.evaluate(dbscan.fit(supplier(spark, sf_dir), 0.4, 5, standardize=True).points)
-    return spark.createDataFrame([tuple(found.values())], "k int, silhouette double, davies_bouldin double, calinski_harabasz double, stability double")
+    return rounded(spark.createDataFrame([tuple(found.values())], "k int, silhouette double, davies_bouldin double, calinski_harabasz double, stability double"))
 
 
 @query("cluster_means", f"WITH emb AS ({EMB_SQL}), k AS ({CENTRES_SQL}) SELECT CAST(c AS INTEGER) AS cluster, CAST(pos - 1 AS INTEGER) AS pos, round(p[pos], 6) + 0.0 AS v FROM k, (SELECT unnest(range(1, 65)) AS pos)")
@@ -630,9 +724,32 @@ def elbow_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweeps.elbow(unit_points(spark, sf_dir), 2, 4, 4, kmeans.KMeansConfig(init="first_k", tol=0.0)), 4)
 
 
-@query("evaluate_sweep")
+#: At most a thousand evenly spaced rows of part, as evaluation takes them.
+STRIDE_SQL = "(SELECT count(*) FROM part) <= 1000 OR (rid % ((SELECT count(*) FROM part) // 1000) = 0 AND rid // ((SELECT count(*) FROM part) // 1000) < 1000)"
+
+
+def _scored_sql(k: int, rounds: int, last: str) -> str:
+    return lloyd_sql(k, rounds, f", {scores_sql(f'SELECT rid, c AS cluster, x, y FROM a{rounds + 1} WHERE {STRIDE_SQL}', f'SELECT c, x, y FROM c{rounds}')}, i AS (SELECT sum(d2) AS inertia FROM a{rounds}) {last}").replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query("evaluate_sweep", " UNION ALL ".join(f"SELECT * FROM ({_scored_sql(k, 4, f'SELECT CAST({k} AS INTEGER) AS k, round(inertia, 4) + 0.0 AS inertia, round(silhouette, 4) + 0.0 AS silhouette, round(davies_bouldin, 4) + 0.0 AS davies_bouldin, round(calinski_harabasz, 4) + 0.0 AS calinski_harabasz FROM r, i')})" for k in (2, 3, 4, 5)))
 def evaluate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweeps.evaluate(unit_points(spark, sf_dir), 2, 3, 4, kmeans.KMeansConfig(init="first_k"), sample=200)
+    return rounded(sweeps.evaluate(unit_points(spark, sf_dir), 2, 5, 4, kmeans.KMeansConfig(init="first_k", tol=0.0)), 4)
+
+
+def _line_sql(label: str, value: str) -> str:
+    return f"'{label}: ' || printf('%.4f', {value}) || chr(10)"
+
+
+@query("report", _scored_sql(4, 5, f"SELECT 'Dataset: ' || (SELECT count(*) FROM part) || ' rows x 2 cols' || chr(10) || 'Selected columns: x y' || chr(10) || 'Algorithm: kmeans  k: 4' || chr(10) || {_line_sql('Inertia', 'inertia')} || 'Iterations: 5' || chr(10) || {_line_sql('Silhouette', 'silhouette')} || {_line_sql('Davies-Bouldin', 'davies_bouldin')} AS report FROM r, i"))
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text on a table and a run of k-means, scored on evenly spaced rows."""
+    table = unit(spark, sf_dir)
+    points = distances.vectors(table)
+    model, n = kmeans.fit(points, _first_k(5)), table.count()
+    some = tables.stride(distances.assigned(points, model.centroids).select(RID, "x", "cluster"), n)
+    run = {"algorithm": "kmeans", "k": model.k, "inertia": model.inertia, "iterations": model.n_iter, "silhouette": metrics.silhouette(some, model.k), "davies_bouldin": metrics.davies_bouldin(some, model.centroids)}
+    return spark.createDataFrame([(exports.report(n, 2, tables.features(table), run),)], "report string")
 
 
 RESULTS_SQL = "SELECT CAST(n_nationkey + 2 AS INTEGER) AS k, 1000.0 / (n_nationkey + 1) + (n_nationkey * 7) % 5 AS inertia, ((n_nationkey * 13) % 11) / 11.0 AS silhouette, ((n_nationkey * 5) % 7) + 1.0 AS davies_bouldin FROM nation"
@@ -678,14 +795,22 @@ def online_decayed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(online.decayed_mean(read(spark, sf_dir, "events"), ["user_id"], "value", "event_id", 0.95))
 
 
-@query("online_batched", "WITH b AS (SELECT value AS v, row_number() OVER (ORDER BY event_id DESC) - 1 AS r, count(*) OVER () AS m FROM events WHERE event_id >= 100), s AS (SELECT avg(value) AS c, count(*) AS n FROM events WHERE event_id < 100) SELECT round((pow(0.9, max(m)) * any_value(s.n) * any_value(s.c) + sum(pow(0.9, r) * v)) / (pow(0.9, max(m)) * any_value(s.n) + sum(pow(0.9, r))), 6) + 0.0 AS centroid, round(pow(0.9, max(m)) * any_value(s.n) + sum(pow(0.9, r)), 6) + 0.0 AS mass FROM b, s")
+BATCHED_SQL = f"WITH p AS ({UNIT_SQL}), k AS (SELECT unnest(range(1, 4)) AS k, unnest({START}::DOUBLE[][]) AS c), a AS (SELECT rid, x, y, arg_min(k, struct_pack(d := (c[1] - x) * (c[1] - x) + (c[2] - y) * (c[2] - y), k := k)) AS k FROM p, k GROUP BY rid, x, y), w AS (SELECT k, x, y, pow(0.99, row_number() OVER (PARTITION BY k ORDER BY rid DESC) - 1) AS w FROM a), s AS (SELECT k, count(*) AS m, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y FROM w GROUP BY k) SELECT CAST(k.k - 1 AS INTEGER) AS cluster, round(CASE WHEN m IS NULL THEN 5 ELSE pow(0.99, m) * 5 + w END, 6) + 0.0 AS mass, round(CASE WHEN m IS NULL THEN c[1] ELSE (pow(0.99, m) * 5 * c[1] + s.x) / (pow(0.99, m) * 5 + w) END, 6) + 0.0 AS x, round(CASE WHEN m IS NULL THEN c[2] ELSE (pow(0.99, m) * 5 * c[2] + s.y) / (pow(0.99, m) * 5 + w) END, 6) + 0.0 AS y FROM k LEFT JOIN s ON s.k = k.k"
+
+
+@query("online_batched", BATCHED_SQL)
 def online_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cluster: a first batch fitted as a whole, then the rest with forgetting, in closed form."""
-    points = read(spark, sf_dir, "events").select(F.col("event_id").alias(RID), vector_of("value").alias("x"))
-    model = online.OnlineKMeans(online.OnlineConfig(k=1, forgetting_factor=0.9, auto_retrain=False, mode="batched"))
-    model.partial_fit(points.where("rid < 100"))
-    model.partial_fit(points.where("rid >= 100"))
-    return rounded(spark.createDataFrame([(float(model.centroids[0, 0]), float(model.counts[0]))], "centroid double, mass double"))
+    """Three clusters of five points each, then all points with forgetting, in closed form."""
+    return _centroids(spark, *online.batched_update(np.array(START), np.full(3, 5.0), unit_points(spark, sf_dir), 0.99))
+
+
+@query("online_sequence", sequence_sql(IN_ORDER_SQL, "{p} + ({{v}} - {p}) / (0.99 * {n} + 1)", "0.99 * {n} + 1"))
+def online_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three clusters, all points one after the other with forgetting."""
+    model = online.OnlineKMeans(online.OnlineConfig(k=3, forgetting_factor=0.99, auto_retrain=False))
+    model.state.centroids, model.state.counts = np.array(START), np.ones(3)
+    model.partial_fit(unit_points(spark, sf_dir))
+    return _centroids(spark, model.centroids, model.counts)
 
 
 @query("online_kmeans")
@@ -729,27 +854,70 @@ def pca_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.inverse_transform(scores), 5)
 
 
-@query("tsne_pairwise_sq", f"WITH emb AS ({EMB_SQL}) SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid")
+@query("tsne_pairwise_sq", f"WITH {sampled_sql(1000)} SELECT CAST(a.rid AS BIGINT) AS i, CAST(b.rid AS BIGINT) AS j, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 6) + 0.0 AS d2 FROM emb a, emb b WHERE a.rid < b.rid")
 def tsne_pairwise_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tsne.pairwise_squared(emb(spark, sf_dir)))
+    return rounded(tsne.pairwise_squared(emb(spark, sf_dir), 1000))
 
 
-FIXED_P_SQL = f"WITH emb AS ({EMB_SQL}), w AS (SELECT a.rid AS i, b.rid AS j, exp(-list_distance(a.x, b.x)) AS w FROM emb a, emb b WHERE a.rid <> b.rid), p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM w), n AS (SELECT count(*) AS n FROM emb)"
+FIXED_P_SQL = f"WITH {sampled_sql(200)}, m AS (SELECT count(*) AS m FROM emb), w AS (SELECT a.rid AS i, b.rid AS j, exp(-list_distance(a.x, b.x)) AS w FROM emb a, emb b WHERE a.rid <> b.rid), o AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS p FROM w), p AS (SELECT a.i, a.j, (a.p + b.p) / (2 * m) AS p FROM o a JOIN o b ON a.i = b.j AND a.j = b.i, m)"
 
 
-@query("tsne_symmetrize", f"{FIXED_P_SQL} SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, round((a.p + b.p) / (2 * n.n) * 1e6, 6) + 0.0 AS p FROM p a JOIN p b ON a.i = b.j AND a.j = b.i, n WHERE a.i < a.j")
-def tsne_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fixed_chances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A sample, and its symmetric chances from fixed weights."""
     e = emb(spark, sf_dir)
-    a, b = e.select(F.col(RID).alias("i"), F.col("x").alias("xi")), e.select(F.col(RID).alias("j"), F.col("x").alias("xj"))
-    w = a.join(b, F.col("i") != F.col("j")).select("i", "j", F.exp(-l2(F.col("xi"), F.col("xj"))).alias("w"))
+    e = tables.stride(e, e.count(), 200)
+    pairs = distances.all_pairs(e).select("i", "j", F.exp(-F.sqrt("d2")).alias("w"))
+    w = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     p = w.join(w.groupBy("i").agg(F.sum("w").alias("s")), "i").select("i", "j", (F.col("w") / F.col("s")).alias("p"))
-    return rounded(tsne.symmetrized(p, e.count()).withColumn("p", F.col("p") * 1e6))
+    return e, tsne.symmetrized(p, e.count())
+
+
+@query("tsne_symmetrize", f"{FIXED_P_SQL} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(p * 1e6, 6) + 0.0 AS p FROM p WHERE i < j")
+def tsne_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_fixed_chances(spark, sf_dir)[1].withColumn("p", F.col("p") * 1e6))
+
+
+STEP_SQL = f"""{FIXED_P_SQL}, y AS (SELECT rid, x[1] AS u, x[2] AS v FROM emb), k AS (SELECT a.rid AS i, b.rid AS j, a.u - b.u AS du, a.v - b.v AS dv, 1 / (1 + (a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS k FROM y a, y b WHERE a.rid <> b.rid),
+    q AS (SELECT i, j, du, dv, k / sum(k) OVER () AS q FROM k),
+    g AS (SELECT q.i, sum(4 * (p.p - q.q) * q.du) AS gu, sum(4 * (p.p - q.q) * q.dv) AS gv FROM q JOIN p ON p.i = q.i AND p.j = q.j GROUP BY q.i),
+    s AS (SELECT y.rid, u - 200 * CASE WHEN gu > 0 THEN 0.8 ELSE 1.2 END * gu AS u, v - 200 * CASE WHEN gv > 0 THEN 0.8 ELSE 1.2 END * gv AS v FROM y JOIN g ON g.i = y.rid),
+    d AS (SELECT sum(p.p * ln(p.p / q.q)) AS kl FROM q JOIN p ON p.i = q.i AND p.j = q.j)
+    SELECT CAST(rid AS BIGINT) AS rid, round(u - avg(u) OVER (), 6) + 0.0 AS y1, round(v - avg(v) OVER (), 6) + 0.0 AS y2, round(kl, 6) + 0.0 AS kl FROM s, d"""
+
+
+@query("tsne_step", STEP_SQL)
+def tsne_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first step of a descent, from places of two coordinates."""
+    e, p = _fixed_chances(spark, sf_dir)
+    ids, matrix = tsne.matrix_of(p)
+    start = {r[RID]: r["x"][:2] for r in e.collect()}
+    state = tsne.Descent.begin(np.array([start[i] for i in ids.tolist()]))
+    kl = state.step(matrix, 0, tsne.TSNEConfig(most_step=None))
+    return rounded(spark.createDataFrame([(i, *y, kl) for i, y in zip(ids.tolist(), state.y.tolist())], "rid long, y1 double, y2 double, kl double"))
+
+
+@query("tsne_widths", f"WITH {sampled_sql(200)} SELECT CAST(rid AS BIGINT) AS rid, true AS found FROM emb")
+def tsne_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each row's chances have the entropy of the perplexity asked for, to the search's tolerance."""
+    e = emb(spark, sf_dir)
+    p = tsne.chances(tables.stride(e, e.count(), 200), 12.0)
+    entropy = p.groupBy(F.col("i").alias(RID)).agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p")).otherwise(0.0)).alias("h"), F.sum("p").alias("total"))
+    return entropy.select(RID, ((F.abs(F.col("h") - float(np.log(12.0))) < 0.01) & (F.abs(F.col("total") - 1) < 1e-9)).alias("found"))
+
+
+@query("tsne_transform", f"WITH emb AS ({EMB_SQL}), t AS (SELECT * FROM emb WHERE rid % 2 = 0), d AS (SELECT a.rid, b.x[1] AS y1, b.x[2] AS y2, row_number() OVER (PARTITION BY a.rid ORDER BY list_distance(a.x, b.x), b.rid) AS r FROM emb a, t b) SELECT CAST(rid AS BIGINT) AS rid, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2 FROM d WHERE r = 1")
+def tsne_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all embeddings by a given layout of every second one."""
+    e = emb(spark, sf_dir).select(RID, "x")
+    trained = e.where("rid % 2 = 0")
+    model = tsne.TSNEModel(trained, trained.select(RID, F.col("x")[0].alias("y1"), F.col("x")[1].alias("y2")), 0.0)
+    return rounded(model.transform(e))
 
 
 @query("tsne_embedding")
 def tsne_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.head(emb(spark, sf_dir).select(RID, "x"), tsne.MOST_ROWS)
-    return tsne.fit(e, tsne.TSNEConfig(perplexity=10, iterations=100)).embedding
+    return tsne.fit(e).embedding
 
 
 @query("plot_frame", f"SELECT CAST(p.rid AS BIGINT) AS rid, round(p.x, 6) + 0.0 AS x, round(p.y, 6) + 0.0 AS y, CAST(0 AS DOUBLE) AS z, CASE WHEN l.cluster = 0 THEN -1 ELSE l.cluster END AS label FROM ({SUPPLIER_SQL}) p JOIN ({dbscan_sql(0.4, 'SELECT rid, cluster FROM label')}) l ON l.rid = p.rid")

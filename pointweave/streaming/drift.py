@@ -44,10 +44,17 @@ class DriftDetector:
     def check(self, labelled: DataFrame, centroids: np.ndarray) -> DriftMetrics:
         """Metrics of labelled points (rid, x, cluster), and whether the silhouette has fallen."""
         k = len(centroids)
-        found = (metrics.silhouette(labelled, k), metrics.davies_bouldin(labelled, centroids), metrics.calinski_harabasz(labelled, centroids), metrics.stability(labelled, k))
+        return self.record(metrics.silhouette(labelled, k), metrics.davies_bouldin(labelled, centroids), metrics.calinski_harabasz(labelled, centroids), metrics.stability(labelled, k))
+
+    def check_arrays(self, x: np.ndarray, labels: np.ndarray, centroids: np.ndarray) -> DriftMetrics:
+        """The same of a few points that are at hand."""
+        return self.record(*metrics.of_arrays(x, labels, centroids))
+
+    def record(self, silhouette: float, davies_bouldin: float, calinski_harabasz: float, stability: float) -> DriftMetrics:
         past = [m.silhouette for m in self.history][max(0, len(self.history) - self.window_size + 1) :]
-        self.history = [*self.history, DriftMetrics(*found, falls([*past, found[0]], self.threshold))][-self.window_size :]
-        return self.history[-1]
+        now = DriftMetrics(silhouette, davies_bouldin, calinski_harabasz, stability, falls([*past, silhouette], self.threshold))
+        self.history = [*self.history, now][-self.window_size :]
+        return now
 
     def is_drifting(self) -> bool:
         return bool(self.history) and self.history[-1].drifting
