@@ -5,8 +5,9 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,11 @@ from pointweave.llm.common import cut, free_names, portions
 
 #: Stands for the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
-#: Marks that are a run of their own after letters.
-MARKS = (".", ",", ";", ":", "!", "?")
+#: Characters that the tokenizer neither composes nor joins with others on its way: ASCII but the apostrophe and the
+#: sign that special tokens begin with, and letters below U+0250, which lower-case one by one.
+PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(33, 0x250) if (c < 127 and chr(c) not in "'<") or (c > 127 and c != 0x130 and chr(c).isalpha())) + "]+")
+#: How the tokenizer splits a word of such characters: runs of letters, single digits, runs of marks.
+SPLIT = re.compile(r"[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class Merges:
@@ -71,14 +75,28 @@ def unlisted(path: str) -> frozenset[int]:
     return Merges(path).unlisted()
 
 
+class Known(dict):
+    """Ids of words, learned when first asked for and kept up to so many bytes of memory."""
+
+    def __init__(self, learn: Callable[[str], bytes], keep_bytes: int):
+        self.learn, self.left = learn, keep_bytes
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        size = 250 + 4 * len(word) + len(ids)  # with the objects' heads and their place in the dict
+        if size <= self.left:
+            self.left -= size
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, with the words' ids kept.
 
     White space separates words and yields no ids, so a text's ids are its words' ids in order. Only
     space, tab, line feed and carriage return split; whatever else is white space stays inside a word
-    and is left to the tokenizer. Words are learned by slices of a few thousand, and kept up to keep_bytes
-    of memory together; those beyond are encoded anew each time. Plain words, letters and at most one mark
-    after them, go to the faster encoder of single words.
+    and is left to the tokenizer. Words are kept up to keep_bytes of memory together, and a text's are joined
+    slice_words at a time. Words of plain characters go to the faster encoder of single pieces.
     """
 
     def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 96_000_000, slice_words: int = 64_000):
@@ -86,62 +104,26 @@ class WordEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
-        self.keep_bytes, self.slice_words = keep_bytes, slice_words
+        self.tokenizer, self.slice_words = Tokenizer.from_file(path), slice_words
         merges = Merges(path)
         # a word with an unlisted token gets None among its parts, which join() refuses
         self.id_bytes = [None if r in unlisted or not x else x for r, x in enumerate(merges.id_bytes)]
         self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=merges.ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.known = Known(self.learn, keep_bytes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        pending: list[tuple[int, list[str]]] = []
-        count = 0
-        for k, t in enumerate(texts):
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            for lo in range(0, len(words), self.slice_words):
-                pending.append((k, words[lo : lo + self.slice_words]))
-                count += len(pending[-1][1])
-                if count >= self.slice_words:
-                    self._say(pending, out)
-                    pending, count = [], 0
-        self._say(pending, out)
-        return [b"".join(x) for x in out]
-
-    def _say(self, pending: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        known = self.known
-        fresh = [w for w in set().union(*(words for _, words in pending)) if w not in known]
-        self._learn(fresh)
-        for k, words in pending:
-            out[k].append(b"".join(map(known.__getitem__, words)))
-        for w in fresh:
-            size = 250 + 4 * len(w) + len(known[w])  # with the objects' heads and their place in the dict
-            if self.held + size > self.keep_bytes:
-                del known[w]
-            else:
-                self.held += size
-
-    def _learn(self, words: list[str]) -> None:
-        known, of, piece, other = self.known, self.id_bytes.__getitem__, self.piece, []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
-            # letters up to here lower-case one by one and compose with none of their neighbours
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                try:
-                    known[w] = b"".join(map(of, piece(core.lower().encode() + END) + (piece(mark.encode() + END) if mark else [])))
-                    continue
-                except TypeError:
-                    pass
-            other.append(w)
-        lo = 0
-        while lo < len(other):  # an encoding holds far more than its ids, so few are made at a time
-            hi, size = lo, 0
-            while hi < len(other) and hi - lo < 500 and size < 50_000:
-                size += len(other[hi])
-                hi += 1
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other[lo:hi], self.tokenizer.encode_batch_fast(other[lo:hi], add_special_tokens=False)))
-            lo = hi
+        find, n = self.known.__getitem__, self.slice_words
+        split = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
+        return [b"".join(map(find, words)) if len(words) <= n else b"".join(b"".join(map(find, words[lo : lo + n])) for lo in range(0, len(words), n)) for words in split]
+
+    def learn(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            try:
+                return b"".join([self.id_bytes[k] for part in SPLIT.findall(word.lower()) for k in self.piece(part.encode() + END)])
+            except TypeError:
+                pass
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
