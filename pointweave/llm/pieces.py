@@ -14,21 +14,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from pointweave.llm.common import portions
+from pointweave.llm.common import mixed, portions
 
 #: Spaces before other characters, or at the end: no piece has a space after another character, so none crosses these.
 CHUNK = re.compile(" *[^ ]+| +")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64): equal numbers give equal, other numbers unrelated results."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 #: Chances and draws are whole numbers of 2^-30, so a draw doesn't depend on where a chunk's states are kept.
 BITS = 30
 
@@ -36,8 +29,8 @@ BITS = 30
 def uniform(seed: np.ndarray, occurrence: np.ndarray, step: int) -> np.ndarray:
     """Whole numbers below 2^30, a function of the row's seed, the chunk's place in it and the step alone."""
     with np.errstate(over="ignore"):
-        x = mix(seed + np.uint64(0x9E3779B97F4A7C15) * (occurrence.astype(np.uint64) + np.uint64(1)))
-        x = mix(x + np.uint64(0xD1B54A32D192ED03) * np.uint64(step + 1))
+        x = mixed(seed + np.uint64(0x9E3779B97F4A7C15) * (occurrence.astype(np.uint64) + np.uint64(1)))
+        x = mixed(x + np.uint64(0xD1B54A32D192ED03) * np.uint64(step + 1))
     return (x >> np.uint64(64 - BITS)).astype(np.int32)
 
 
@@ -256,7 +249,7 @@ class PieceSampler:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text again: pieces' spellings joined."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
@@ -292,3 +285,22 @@ def encode(df: DataFrame, path: str, seed: int = 0, sharpness: float = 1.0, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_pieces", "ids_sha256", "lossless", "ids"][: 4 + with_ids])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
+    """df with the text that its ids spell, the inverse of encode; null ids have a null text, none an empty one.
+
+    Ids that no vocabulary has are an error. Byte pieces may spell what is no UTF-8: such bytes become U+FFFD, which
+    never happens to ids that encode has made of a text.
+    """
+    rest = [c for c in df.columns if c != out]
+    fields = [df.schema[c] for c in rest]
+    schema = StructType([*fields, StructField(out, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sampler(path, 1.0)
+        for batch in batches:
+            texts = [None if ids is None else of.decode(np.array(ids, np.int64)) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array(texts, pa.string())], names=[*rest, out])
+
+    return df.mapInArrow(run, schema)

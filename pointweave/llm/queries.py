@@ -98,27 +98,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_suffixes": """
         WITH d AS (
-            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+            SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
         ), w AS (
-            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)
+            SELECT k, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT k, doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)
         ), f AS (
-            SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w
+            SELECT k, doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w
         ), c AS (
-            SELECT doc_id, p, CASE WHEN p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -51) + 50 THEN 1 ELSE 0 END AS new FROM f WHERE first < doc_id
+            SELECT k, p, CASE WHEN p > coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -51) + 50 THEN 1 ELSE 0 END AS new FROM f WHERE first < doc_id
         ), i AS (
-            SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM c
+            SELECT k, p, sum(new) OVER (PARTITION BY k ORDER BY p) AS island FROM c
         ), s AS (
-            SELECT doc_id, island, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, island
+            SELECT k, island, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY k, island
         ), g AS (
-            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+            SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM s
         ), r AS (
-            SELECT g.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+            SELECT g.k, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
                    string_agg(substr(d.h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept
-            FROM g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+            FROM g JOIN d ON d.k = g.k GROUP BY g.k
         )
         SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed, coalesce(r.spans, 0) AS n_spans,
-               sha256(unhex(CASE WHEN r.doc_id IS NULL THEN d.h ELSE r.kept || substr(d.h, CAST(2 * r.last + 1 AS BIGINT)) END)) AS kept_sha256
-        FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+               sha256(unhex(CASE WHEN r.k IS NULL THEN d.h ELSE r.kept || substr(d.h, CAST(2 * r.last + 1 AS BIGINT)) END)) AS kept_sha256
+        FROM d LEFT JOIN r ON r.k = d.k
     """,
     "op6_warc": """
         WITH p AS (

@@ -441,6 +441,16 @@ def test_encoding_is_lossless_and_reproducible(docs):
     assert table(pieces.encode(docs, path, seed=1), "doc_id", "ids_sha256") != table(again, "doc_id", "ids_sha256")
 
 
+def test_decoding_gives_the_texts_again(docs, spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    ids = pieces.encode(docs, path, with_ids=True).select("doc_id", "ids")
+    back = pieces.decode(ids, path)
+    assert back.columns == ["doc_id", "ids", "text"]
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(((i, t or "") for i, t in awkward()), key=str)
+    odd = pieces.decode(spark.createDataFrame([(1, None), (2, [])], "text long, ids array<int>"), path, out="said")
+    assert sorted((r["text"], r["said"]) for r in odd.collect() if r["text"] == 2) == [(2, "")] and odd.where("said IS NULL").count() == 1
+
+
 # --- archives
 
 
