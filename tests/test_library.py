@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.errors import InvalidInput
-from pointweave.operators import dbscan, distances, kmeans, metrics, missing, pca, scaling, stats, sweeps, tables, tsne
+from pointweave.operators import balls, components, dbscan, distances, kmeans, metrics, missing, pca, scaling, stats, sweeps, tables, tsne
 from pointweave.operators.missing import Strategy
 from pointweave.plans.history import History
 from pointweave.sources import exports, store
@@ -34,7 +34,7 @@ def text(spark, path):
     return "".join("\n".join(r["value"] for r in spark.read.text(str(path)).collect()))
 
 
-TWO_ATOMS = [(0, 0)] * 25 + [(10, 10)] * 25
+TWO_ATOMS = [(0, 0)] * 18 + [(10, 10)] * 18
 DENSE = [(0.1 * (i % 3), 0.1 * (i // 3)) for i in range(10)] + [(10 + 0.1 * (i % 3), 10 + 0.1 * (i // 3)) for i in range(10)] + [(5, 0), (0, 5), (5, 10), (10, 5), (-5, -5)]
 
 
@@ -323,3 +323,147 @@ def test_drift(spark):
     for labelled in (tight, tight, loose, loose):
         detector.check(labelled, centroids)
     assert detector.is_drifting()
+
+
+# --- neighbours, components, sequences
+
+
+def brute_nearest(points, queries, k):
+    out = []
+    for name, q in queries:
+        d = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(x, q))), i) for i, x in points)
+        out += [(name, r + 1, i, round(v, 9)) for r, (v, i) in enumerate(d[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows", [16_384, 60, 7])
+def test_index_finds_what_all_distances_do(spark, shard_rows):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 3)) for c in (0, 3, 9)] + [np.zeros((50, 3)), rng.normal(100, 0.1, (2, 3))]).round(2)
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    asked = [*rows[::7], (1000, [50.0, 50.0, 50.0]), (1001, [0.0, 0.0, 0.0])]
+    points, queries = (spark.createDataFrame(r, "rid long, x array<double>").repartition(3) for r in (rows, asked))
+    built = balls.index(points, shard_rows, most_centres=6)
+    for k in (1, 5, 400):
+        found = sorted((r["query"], r["rank"], r["rid"], round(r["dist"], 9)) for r in built.nearest(queries, k, block_rows=20).collect())
+        assert found == brute_nearest(rows, asked, k)
+    assert built.nearest(queries.where("false"), 2).count() == 0
+    assert balls.index(points.where("false")).nearest(points.where("false"), 2).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [500_000, 30])
+def test_components_are_those_of_a_plain_search(spark, one_task):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5060)] + [(7, 7)]
+    least: dict[int, int] = {}
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        stack = [start] if start not in least else []
+        while stack:
+            k = stack.pop()
+            if k not in least:
+                least[k] = start
+                stack += near[k]
+    found = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long").repartition(4), one_task).collect()}
+    assert found == {k: r for k, r in least.items() if k != r}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_dbscan_of_crowded_cells_equals_the_sequential_rule(spark, width):
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(0, 0.25, (50, width)), rng.normal(2, 0.3, (50, width)), rng.uniform(-3, 5, (25, width)), np.zeros((9, width))]).round(2)
+    found = dbscan.fit(frame(spark, x.tolist(), "abc"[:width]), 0.45, 4)
+    assert column(found.labels, "cluster") == naive_dbscan(x, 0.45, 4)
+
+
+def test_crowded_cells_that_barely_touch_are_one_group(spark):
+    """Far corners as witnesses, and one pair of points just closer than epsilon across the cells."""
+    left = [(0.01 * i, 0.3 * (i % 2)) for i in range(20)] + [(0.65, 0.3)]
+    right = [(2.3 + 0.01 * i, 0.3 * (i % 2)) for i in range(20)] + [(1.64, 0.3)]
+    for gap, groups in ((0.0, 1), (0.02, 2)):
+        rows = left + [(a + gap, b) for a, b in right] + [(0.65, 0.3)] * 5 + [(1.64 + gap, 0.3)] * 5
+        assert dbscan.fit(frame(spark, rows), 1.0, 4).n_clusters() == groups
+
+
+def test_sequences_follow_the_points_in_order(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (120, 2)) + rng.integers(0, 3, (120, 1)) * 4
+    points, start = cloud(spark, x.tolist()).repartition(5), np.array([[0.0, 0.0], [4.0, 4.0], [8.0, 8.0]])
+    expected, rate = start.copy(), 1 / math.sqrt(5)
+    for p in x:
+        c = ((expected - p) ** 2).sum(axis=1).argmin()
+        expected[c] += rate * (p - expected[c])
+    model = kmeans.partial_fit(kmeans.KMeansModel(start, np.zeros(3, np.int64), n_iter=4), points)
+    assert model.centroids == pytest.approx(expected) and model.counts.sum() == 120
+    one = online.OnlineKMeans(online.OnlineConfig(k=3, window_size=30, forgetting_factor=0.9, retrain_interval=25))
+    two = online.OnlineKMeans(online.OnlineConfig(k=3, window_size=30, forgetting_factor=0.9, retrain_interval=25))
+    for m in (one, two):
+        m.state.centroids, m.state.counts = start.copy(), np.ones(3)
+    one.partial_fit(points)
+    for p in x:
+        two.partial_fit_point(p)
+    assert one.centroids == pytest.approx(two.centroids) and one.counts == pytest.approx(two.counts)
+    assert one.points_seen == 120 and len(one.detector.history) == 4 and one.window == pytest.approx(x[-30:])
+    assert one.window_inertia() == pytest.approx(np.sqrt(((x[-30:, None] - one.centroids[None]) ** 2).sum(axis=2)).min(axis=1).sum())
+    one.set_retrain_interval(7)
+    one.set_auto_retrain(False)
+    one.set_window_size(10)
+    assert one.config.retrain_interval == 7 and len(one.window) == 10
+    with pytest.raises(InvalidInput):
+        one.set_retrain_interval(0)
+
+
+def test_a_window_that_dissolves_is_fitted_again():
+    state = online.OnlineState(online.OnlineConfig(k=2, window_size=40, retrain_interval=20, drift_threshold=0.05), np.array([[0.0, 0.0], [10.0, 10.0]]), np.ones(2), detector=DriftDetector(0.05, 4))
+    rng = np.random.default_rng(7)
+    tight = np.concatenate([rng.normal(c, 0.1, (20, 2)) for c in (0, 10)])
+    for part in (tight, tight, rng.uniform(0, 10, (80, 2))):
+        state.see(part)
+    assert state.retrained >= 1
+
+
+def test_metrics_of_arrays_are_those_of_tables(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.6, (15, 2)) for c in (0, 3)] + [[[9.0, 9.0]]])
+    labels = np.array([0] * 15 + [1] * 15 + [2])
+    labelled = spark.createDataFrame([(i, p.tolist(), int(c)) for i, (p, c) in enumerate(zip(x, labels))], "rid long, x array<double>, cluster int")
+    means = np.array([x[labels == c].mean(axis=0) for c in range(3)])
+    found = metrics.of_arrays(x, labels, means)
+    assert found == pytest.approx((metrics.silhouette(labelled, 3), metrics.davies_bouldin(labelled, means), metrics.calinski_harabasz(labelled, means), metrics.stability(labelled, 3)))
+    assert np.array([m for _, m in sorted(metrics.centres(labelled).items())]) == pytest.approx(means)
+
+
+def test_sizes_and_places_of_rows(spark):
+    t = frame(spark, [(1, 2), (3, None), (5, 6)])
+    assert [tuple(r) for r in tables.resize(t, 2, 1).orderBy("rid").collect()] == [(0, 1.0), (1, 3.0)]
+    assert [tuple(r) for r in tables.resize(t, 4, 3).orderBy("rid").collect()] == [(0, 1.0, 2.0, 0.0), (1, 3.0, None, 0.0), (2, 5.0, 6.0, 0.0), (3, 0.0, 0.0, 0.0)]
+    big = spark.range(500).withColumnRenamed("id", "rid").withColumn("a", (F.col("rid") * 7919 % 500).cast("double")).repartition(6)
+    found = tables.numbered(tables.sort_rows(big, "a")).collect()
+    assert sorted((r["position"], r["a"]) for r in found) == [(k, float(k)) for k in range(500)]
+    assert tables.numbered(big.where("false")).count() == 0
+
+
+def test_all_pairs_of_a_sample(spark):
+    points = cloud(spark, [(i, 0) for i in range(40)])
+    found = {(r["i"], r["j"]): r["d2"] for r in distances.all_pairs(points, block_rows=7).collect()}
+    assert found == {(i, j): float((j - i) ** 2) for i in range(40) for j in range(i + 1, 40)}
+    assert {r["i"] for r in distances.all_pairs(points, 10).collect()} | {36} == set(range(0, 40, 4))
+
+
+def test_a_tsne_step_is_the_written_rule():
+    rng = np.random.default_rng(9)
+    p = rng.random((12, 12))
+    p = (p + p.T) * (1 - np.eye(12))
+    p /= p.sum()
+    y = rng.normal(0, 1, (12, 2))
+    state = tsne.Descent.begin(y.copy())
+    kl = state.step(p, 0, tsne.TSNEConfig(most_step=None))
+    k = np.array([[0 if i == j else 1 / (1 + ((y[i] - y[j]) ** 2).sum()) for j in range(12)] for i in range(12)])
+    q = k / k.sum()
+    g = np.array([sum(4 * (p[i, j] - q[i, j]) * (y[i] - y[j]) for j in range(12)) for i in range(12)])
+    moved = y - 200 * np.where(g > 0, 0.8, 1.2) * g
+    assert state.y == pytest.approx(moved - moved.mean(axis=0))
+    assert kl == pytest.approx(sum(p[i, j] * math.log(p[i, j] / q[i, j]) for i in range(12) for j in range(12) if i != j))
