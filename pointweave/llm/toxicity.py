@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -25,11 +25,12 @@ AS_LETTER, AS_SIGN, DOUBLED, PAIR, GAP, NO_GAP = 1.0, 4.0, 0.7, 2.0, 1.0, 4.0
 SIGNS = re.escape("".join(LEET))
 MARKS = "!|+"  # at the end of a word they are marks
 ONE = rf"(?:[^\W_]|[{SIGNS}])"
-TOKEN = re.compile(rf"{ONE}+")
 #: Three or more single characters, with up to three others between them.
 SPACED = re.compile(rf"(?<![^\W_])(?<![{SIGNS}]){ONE}(?:(?:[^\w\n{SIGNS}]|_){{1,3}}{ONE}){{2,}}(?!{ONE})")
-#: A token's lattice has more than one path only where one of these is; other tokens are their own restoration.
-CHOICES = (re.compile(rf"[{re.escape(''.join(c for c in LEET if c not in MARKS))}]|[{re.escape(MARKS)}](?={ONE})"), re.compile(r"([^\W\d_])\1"))
+#: What makes the whole lattice of a token needed: a sign that may be a letter, a letter three times or more. A letter twice
+#: is told by its neighbours; other tokens have one path.
+LATTICE = re.compile(rf"[{re.escape(''.join(c for c in LEET if c not in MARKS))}]|[{re.escape(MARKS)}](?={ONE})|([^\W\d_])\1\1")
+TOKEN, PAIRS = re.compile(rf"{ONE}+"), re.compile(r"([^\W\d_])\1")
 SYMBOLS = 28  # word end, a-z, any other letter
 
 
@@ -129,51 +130,60 @@ def decode(span: str, model: np.ndarray) -> str:
     return Decoder(model)(span)
 
 
-class Restorer:
-    """Replaces the spans of a text that may be disguised; keeps up to keep_spans readings of short ones."""
-
-    def __init__(self, model: np.ndarray, keep_spans: int = 50_000, longest: int = 64):
-        self.decoder, self.keep_spans, self.longest = Decoder(model), keep_spans, longest
-        self.known: dict[str, str] = {}
-
-    def read(self, span: str) -> str:
-        found = self.known.get(span)
-        if found is None:
-            found = self.decoder(span)
-            if len(span) <= self.longest:
-                if len(self.known) >= self.keep_spans:
-                    self.known.clear()
-                self.known[span] = found
+class Kept(dict):
+    """What a function has made of strings, for the first `keep` of at most `longest` characters."""
+
+    def __init__(self, make: Callable[[str], str], keep: int, longest: int = 64):
+        self.make, self.keep, self.longest = make, keep, longest
+
+    def __missing__(self, said: str) -> str:
+        found = self.make(said)
+        if len(self) < self.keep and len(said) <= self.longest:
+            self[said] = found
         return found
 
+
+class Restorer:
+    """Replaces the spans of a text that may be disguised; keeps up to keep_spans readings."""
+
+    def __init__(self, model: np.ndarray, keep_spans: int = 50_000):
+        self.decoder = Decoder(model)
+        self.readings, self.pairs = Kept(self.decoder, keep_spans), Kept(self.pair, keep_spans)
+
+    def pair(self, around: str) -> str:
+        """A doubled letter, given with the character before and the one after. A letter's cost depends on the two before
+        it, so whether a pair is one letter is told by its neighbours alone, each pair for itself, as the lattice would."""
+        cost, (before, c, _, after) = self.decoder.cost, (int(CODES[ord(x)]) for x in around)
+        twice = cost[(before * SYMBOLS + c) * SYMBOLS + c] + cost[(c * SYMBOLS + c) * SYMBOLS + after]
+        return around[1:3] if twice >= cost[(before * SYMBOLS + c) * SYMBOLS + after] - PAIR else around[1]
+
     def restore(self, text: str) -> str:
         """The text in lower case with its disguised words restored: runs of single characters, then tokens.
 
         A token is letters, digits and signs in a row, without marks at its end; one without a letter is left alone.
         """
         text = text.lower()
-        spans = [m.span() for m in SPACED.finditer(text) if any(map(str.isalpha, m[0]))]
-        for pattern in CHOICES:
-            done = 0
-            for m in pattern.finditer(text):
-                if m.start() >= done:
-                    lo = m.start()
-                    while lo > done and (text[lo - 1].isalnum() or text[lo - 1] in LEET):
-                        lo -= 1
-                    done = TOKEN.match(text, lo).end()
-                    hi = done
-                    while text[hi - 1] in MARKS:
-                        hi -= 1
-                    if hi > m.start() and any(map(str.isalpha, text[lo:hi])):
-                        spans.append((lo, hi))
-        if not spans:
-            return text
-        out, at = [], 0
+        spans = [m.span() for m in SPACED.finditer(text)]
+        done = 0
+        for m in LATTICE.finditer(text):
+            lo = m.start()
+            if lo >= done:
+                while lo > done and (text[lo - 1].isalnum() or text[lo - 1] in LEET):
+                    lo -= 1
+                done = TOKEN.match(text, lo).end()
+                spans.append((lo, lo + len(text[lo:done].rstrip(MARKS))))
+        parts, at = [], 0
         for lo, hi in sorted(spans, key=lambda s: (s[0], -s[1])):
             if lo >= at:
-                out += [text[at:lo], self.read(text[lo:hi])]
+                span = text[lo:hi]
+                parts += [self._plain(text[at:lo]), self.readings[span] if any(map(str.isalpha, span)) else span]
                 at = hi
-        return "".join(out) + text[at:]
+        return "".join(parts) + self._plain(text[at:])
+
+    def _plain(self, text: str) -> str:
+        """Tokens whose only choices are pairs; around them is what is no letter."""
+        text, pairs = f" {text} ", self.pairs
+        return PAIRS.sub(lambda m: pairs[text[m.start() - 1 : m.end() + 1]], text)[1:-1]
 
 
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -240,6 +240,15 @@ def test_tokens_without_a_choice_are_their_own_restoration(spark):
         assert restorer.restore(text) == plain(text), text
 
 
+def test_pairs_are_read_as_by_the_lattice(spark):
+    rows, _ = toxic_corpus()
+    restorer, rng = toxicity.Restorer(toxicity.letter_model(spark.createDataFrame(rows, "id long, text string"))), random.Random(20)
+    for _ in range(2000):
+        span = "".join(c * rng.choice((1, 1, 2)) for c in rng.choices("abeilnorstxzé26", k=rng.randint(1, 9)))
+        if not toxicity.LATTICE.search(span) and any(map(str.isalpha, span)):
+            assert restorer.restore(span) == restorer.decoder(span), span
+
+
 def test_pruning_keeps_one_of_features_that_say_the_same():
     found = [("idiot", 5, 0), ("idio", 5, 0), ("diot", 6, 0), ("scum", 5, 0), (" ass ", 4, 1)]
     assert toxicity._pruned(found) == sorted(["idiot", "diot", "scum", " ass "])
