@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pointweave.session import cut, drop, shared_dir
 
-__all__ = ["cut", "drop", "free_names", "hot_join", "letters", "mixed", "parts", "portions", "shared_dir", "small", "table", "text_or_empty"]
+__all__ = ["cut", "drop", "free_names", "hot_join", "letters", "mixed", "parts", "portions", "shared_dir", "small", "small_batches", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4_000_000) -> None:
+    """Sets the session to send Arrow batches of most_bytes at most to Python, if it is set to larger ones.
+
+    A batch is held several times over, outside of the heap and in the worker, beside what an operator holds itself.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > most_bytes:
+        spark.conf.set(key, f"{most_bytes}b")
+
+
 def parts(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions for so many rows: rows_each in one, but no fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / max(1, rows_each)))

@@ -99,7 +99,7 @@ class WordEncoder:
     slice_words at a time. Words of plain characters go to the faster encoder of single pieces.
     """
 
-    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 96_000_000, slice_words: int = 64_000):
+    def __init__(self, path: str, unlisted: frozenset[int], keep_bytes: int = 64_000_000, slice_words: int = 64_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         import tiktoken
         from tokenizers import Tokenizer

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm import balltree, language, packing, pieces, secrets, simhash, suffixes, toxicity, warc, winnow
-from pointweave.llm.common import cut, drop, shared_dir, table
+from pointweave.llm.common import cut, drop, shared_dir, small_batches, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -82,17 +83,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with small Arrow batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secrets": op1_secrets,
-    "op2_toxicity": op2_toxicity,
-    "op3_simhash": op3_simhash,
-    "op4_suffixes": op4_suffixes,
-    "op5_pieces": op5_pieces,
-    "op6_warc": op6_warc,
-    "op7_packing": op7_packing,
-    "op8_language": op8_language,
-    "op9_top_k": op9_top_k,
-    "op10_winnowing": op10_winnowing,
+    q.__name__: _lean(q) for q in (op1_secrets, op2_toxicity, op3_simhash, op4_suffixes, op5_pieces, op6_warc, op7_packing, op8_language, op9_top_k, op10_winnowing)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut, hot_join, parts
+from pointweave.llm.common import cut, hot_join, parts, small
 from pointweave.operators.components import Forest, connected
 
 #: A-Z to a-z in UTF-8 bytes; other letters stay as they are.
@@ -122,7 +122,7 @@ def links(points: DataFrame, radius: int = 2, leaf: int | None = None, block: in
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(fps[own].view(np.int64)), batch.column(1).take(pa.array(own))], names=["shard", "fp", "node"])
 
     members = points.select("fp", "node").mapInArrow(shard, "shard long, fp long, node long")
-    crowded = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    crowded = small(cut(members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))))
     own = F.pmod(F.hash("fp"), F.col("blocks"))
     dealt = (
         members.join(crowded, "shard", "left")
@@ -130,7 +130,7 @@ def links(points: DataFrame, radius: int = 2, leaf: int | None = None, block: in
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node")
-        .repartition("shard", "a", "b")  # else the blocks of a shard would stay in the task that sized it
+        .repartition("shard", "a", "b")
     )
 
     def join(group: pa.Table) -> pa.Table:
@@ -155,3 +155,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected(cut(links(points.where("node IS NOT NULL"), radius)))
     classes = cut(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), "n"))
     return hot_join(rows, classes, "fp", rows.count()).select("id", "fp", "component")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
+    """df without the rows whose fingerprints link, through others too, to a row of a smaller id; rows without an id stay."""
+    found = near_duplicates(df, id_col, text_col, words, radius=radius)
+    return df.join(small(cut(found.where("id <> component").select(F.col("id").alias(id_col)).distinct())), id_col, "left_anti")

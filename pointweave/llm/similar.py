@@ -100,7 +100,7 @@ def _chains(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.concatenate(([False], h[by][1:] == h[by][:-1]))[: len(by)]
 
 
-def meetings(texts: DataFrame, words: int, least: float, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+def meetings(texts: DataFrame, words: int, least: float, block_bytes: int = 4_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """(u, v): edges that connect all points of rows (id, text) whose prefixes share a shingle.
 
     Blocks of texts tell buckets the shingles they hold, four bytes each, and are told of each how many rows hold it: all

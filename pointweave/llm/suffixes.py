@@ -328,7 +328,7 @@ def least_owners(blobs: pa.Table, least: int, batch_bytes: int) -> list[tuple[in
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 6_000_000, bucket_bytes: int = 3_000_000, batch_bytes: int = 500_000, most: int = 4096, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, block_bytes: int = 4_000_000, bucket_bytes: int = 3_000_000, batch_bytes: int = 500_000, most: int = 4096, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], c0, c1, ...) of each row; c0 and on are the columns to carry.
 
     Each byte goes that a string of `least` bytes covers which also starts in a document of a smaller id.
