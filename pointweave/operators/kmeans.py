@@ -227,10 +227,14 @@ def mini_batch_partial_fit(model: KMeansModel | None, points: DataFrame, batch_s
 
 
 def mini_batch_fit(points: DataFrame, batches: int = 50, batch_size: int = 100, config: KMeansConfig = KMeansConfig()) -> KMeansModel:
-    """Mini-batch updates in a row."""
-    model = None
-    for i in range(batches):
-        model = mini_batch_partial_fit(model, points, batch_size, config, config.seed + i)
+    """Mini-batch updates in a row. All draws meet the points in one join; batches times batch_size rows come back."""
+    require(batches > 0 and batch_size > 0, "batches and batch_size have to be more than 0")
+    rows = points.count()
+    check_clusters(config.k, rows)
+    drawn = draw(points, rows, batches * batch_size, config.seed)
+    model = KMeansModel(initial(points, config, rows), np.zeros(config.k, np.int64))
+    for at in range(0, len(drawn), batch_size):
+        model = mini_batch_update(model, drawn[at : at + batch_size])
     return model
 
 

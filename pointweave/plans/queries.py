@@ -578,7 +578,7 @@ def minibatch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("minibatch_fit")
 def minibatch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = kmeans.mini_batch_fit(unit_points(spark, sf_dir), 5, 100, kmeans.KMeansConfig(k=4, seed=3))
+    model = kmeans.mini_batch_fit(unit_points(spark, sf_dir), config=kmeans.KMeansConfig(k=4, seed=3))
     return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(model.centroids)], "cluster int, x double, y double")
 
 
