@@ -16,7 +16,7 @@ from pointweave.operators.tables import RID
 from pointweave.plans.history import History
 from pointweave.session import shared_dir
 from pointweave.sources import exports, store
-from pointweave.sources.csv import read_csv
+from pointweave.sources.csv import CsvImporter, read_csv
 from pointweave.streaming import drift, online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,26 @@ def csv_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(RID, "num", "date", "big", (F.col("late") if "late" in found.columns else F.lit(None).cast("double")).alias("late"))
 
 
+@query("csv_ragged", "SELECT CAST(p_partkey AS BIGINT) AS rid, CAST(p_partkey AS DOUBLE) AS key, CAST(p_size AS DOUBLE) AS size, CASE WHEN p_partkey % 3 <> 0 OR p_partkey = 0 THEN CAST(p_size + 1 AS DOUBLE) END AS more FROM part")
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows too short, whose last cell is missing, and too long, whose last cell is cut; blank lines between."""
+    path = scratch(spark)
+    cells = "CASE WHEN p_partkey % 3 = 0 AND p_partkey > 0 THEN concat(p_partkey, ',', p_size) WHEN p_partkey % 3 = 1 THEN concat(p_partkey, ',', p_size, ',', p_size + 1, ',99,98') ELSE concat(p_partkey, ',', p_size, ',', p_size + 1) END"
+    lines = read(spark, sf_dir, "part").selectExpr("p_partkey AS at", f"concat({cells}, CASE WHEN p_partkey % 5 = 0 THEN '\n' ELSE '' END) AS value")
+    header = spark.createDataFrame([(-1, "key,size,more")], "at long, value string")
+    header.unionByName(lines).orderBy("at").select("value").coalesce(1).write.text(path)
+    return read_csv(spark, path)
+
+
+@query("csv_lines", "SELECT count(*) AS total, least(count(*), 70) AS loaded, true AS success FROM part")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an import says of itself: rows there are, and rows it has taken."""
+    path = scratch(spark)
+    exports.export_table(part(spark, sf_dir), path, single=True)
+    result = CsvImporter(spark).load(path, max_rows=70)
+    return spark.createDataFrame([(result.total_rows, result.table.count(), result.success)], "total long, loaded long, success boolean")
+
+
 @query("csv_max_rows", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(p_partkey) AS BIGINT) AS last FROM part WHERE p_partkey < 50")
 def csv_max_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
