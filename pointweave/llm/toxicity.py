@@ -263,13 +263,14 @@ def _fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, d: int, share: np
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_docs: int = 3, false_features: float = 1.0) -> ToxicityModel:
-    """Learns from labelled rows (id, text) and (id, toxic 0/1); a row without a label, text or id isn't learned from, a
-    repeated one counts once for each time.
+    """Learns from labelled rows (id, text) and (id, toxic 0/1); a row without a label, text or id isn't learned from. Of an
+    id with several texts one is taken, by a hash, and equal texts of a class count once.
 
     The letter model counts all of docs. The classifier is fitted on about per_class labelled ids of each class, taken
-    by a hash of the id, and per_class texts of an id at most. Features are the letter sequences that least_docs toxic
-    texts hold, over seven times as common in them as in others, whose likelihood-ratio statistic G is so large that about
-    false_features of all sequences would reach it by chance; one inside a longer one in the same texts is left out. Weights are fitted to the classes' true shares.
+    by a hash of the id. Features are the letter sequences that least_docs toxic texts hold, over seven times as common in
+    them as in others, whose likelihood-ratio statistic G is so large that about false_features of all sequences would
+    reach it by chance; one inside a longer one in the same texts is left out. Weights are fitted to the classes' true
+    shares.
     """
     model = letter_model(docs)
     marked = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_docs: i
     taken = marked.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < rate * 1_000_000)
     labelled = docs.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text").join(F.broadcast(taken), "id")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
-    sample = labelled.withColumn("nth", nth).where(F.col("nth") <= per_class).select("text", "toxic")
+    sample = labelled.withColumn("nth", nth).where("nth = 1").select("text", "toxic")
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
