@@ -109,24 +109,24 @@ def fit(table: DataFrame, epsilon: float = 0.5, min_pts: int = 5, standardize: b
     side = epsilon / math.sqrt(max(width, 1)) * (1 - 1e-9)
     places = cut(places.withColumn("cell", _cell(side, width) if by_cell else F.array(F.col(RID))))
     check_matrix(places.count(), width)
-    crowded = places.groupBy("cell").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("cell", F.lit(True).alias("crowded"))
-    places = cut(places.join(crowded, "cell", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    crowded = places.groupBy("cell").agg(F.sum("weight").alias("n"), F.min(RID).alias("rep")).where(F.col("n") >= min_pts).select("cell", "rep")
+    # a crowded cell's points are one node, named by the least of them
+    places = cut(places.join(crowded, "cell", "left").select("*", F.col("rep").isNotNull().alias("crowded")).withColumn("rep", F.coalesce("rep", RID)))
     sparse = places.where("NOT crowded") if by_cell else places
     pairs = cut(range_pairs(sparse, epsilon, width, places).select("i", "j"))
-    weights = places.select(F.col(RID).alias("j"), "weight", F.col("crowded").alias("j_crowded"))
-    near = pairs.join(weights, "j")
-    sure = places.where("crowded").select(F.col(RID).alias("i"))
-    core = cut(near.groupBy("i").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("i").unionByName(sure).distinct())
-    to_core = pairs.join(core.withColumnRenamed("i", "j"), "j")
-    edges = to_core.join(core, "i").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    near = pairs.join(places.select(F.col(RID).alias("j"), "weight", F.col("rep").alias("node")), "j")
+    counted = near.groupBy("i").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("i")
+    core = cut(counted.unionByName(places.where("crowded").select(F.col(RID).alias("i"))).distinct())
+    to_core = near.join(core.withColumnRenamed("i", "j"), "j")
+    edges = to_core.join(core, "i").select(F.col("i").alias("u"), F.col("node").alias("v"))
     if by_cell:
-        held = places.where("crowded").select("cell", RID, "x")
-        inside = held.join(held.groupBy("cell").agg(F.min(RID).alias("v")), "cell").select(F.col(RID).alias("u"), "v")
-        edges = edges.unionByName(inside).unionByName(_between_cells(held, epsilon, width))
-    roots = core.join(connected(cut(edges.where("u <> v"))).withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("root", "i").alias("root"))
+        edges = edges.unionByName(_between_cells(places.where("crowded").select("cell", RID, "x"), epsilon, width))
+    nodes = cut(core.join(places.select(F.col(RID).alias("i"), F.col("rep").alias("node")), "i"))
+    roots = nodes.select("node").distinct().join(connected(cut(edges.where("u <> v").distinct())), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     numbers = numbered(roots.select("root").distinct().orderBy("root"), "cluster").select("root", (F.col("cluster") + 1).cast("int").alias("cluster"))
-    grouped = cut(roots.join(numbers, "root").select("i", "cluster"))
-    border = to_core.join(core, "i", "left_anti").join(grouped.select(F.col("i").alias("j"), "cluster"), "j").groupBy("i").agg(F.min("cluster").alias("cluster"))
+    groups = cut(roots.join(numbers, "root").select("node", "cluster"))
+    grouped = nodes.join(groups, "node").select("i", "cluster")
+    border = to_core.join(core, "i", "left_anti").join(groups, "node").groupBy("i").agg(F.min("cluster").alias("cluster"))
     by_place = places.join(grouped.unionByName(border).withColumnRenamed("i", RID), RID, "left").select("x", F.coalesce("cluster", F.lit(0)).alias("cluster"))
     labelled = members.join(by_place, "x").select(F.col("own").alias(RID), "x", "cluster")
     return DBSCANModel(epsilon, min_pts, cut(labelled), scale)
