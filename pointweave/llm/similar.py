@@ -363,8 +363,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     moved = texts.join(small(there), "id").select("family", "text")
     roots = connected(cut(family_links(moved, words, least, most_rows)))
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    lowest = both.join(points, F.col("node") == F.col("point")).groupBy("root").agg(F.min("least").alias("lowest"))
-    linked = both.join(lowest, "root").select("node", "lowest")
+    lowest = cut(both.join(points.drop("n"), F.col("node") == F.col("point")).groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n")))
+    linked = hot_join(both, lowest, "root", both.count()).select("node", "lowest")
     classes = cut(points.join(linked, F.col("node") == F.col("point"), "left").select("point", F.coalesce("lowest", "least").alias("component"), "n"))
     return hot_join(rows.select("id", "point"), classes, "point", rows.count()).select("id", "component")
 
