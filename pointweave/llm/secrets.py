@@ -37,6 +37,7 @@ class Encoding:
     correlation: float  # of a symbol's number with the next one's
 
 
+RUN, REPEATED = r"(.)\\1*", r"\\b([a-z0-9]+) (?=\\1\\b)"  # as SQL spells them
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Decimal numbers are the even-most text in hexadecimal digits; letters of one case, as common as in prose, in the others.
 ENCODINGS = (
@@ -85,11 +86,13 @@ def _p_value(token: str, e: Encoding) -> str:
     size = len(e.alphabet)
     shown = f"lower({token})" if e.name == "hex" else f"translate({token}, '-_', '+/')"
     symbols = f"transform(split({shown}, ''), c -> cast(instr('{e.alphabet}', c) - 1 AS double))"
-    classes = f"split(translate({shown}, '{LOWER}{UPPER}{DIGITS}', '{'a' * 26}{'A' * 26}{'0' * 10}'), '')"
+    classes = f"translate({shown}, '{LOWER}{UPPER}{DIGITS}', '{'a' * 26}{'A' * 26}{'0' * 10}')"
+    # runs of equal characters, of the sorted symbols: as many as there are of each
+    equal = f"regexp_extract_all(array_join(sort_array(split({shown}, '')), ''), '{RUN}', 0)"
     stats = (
         f"transform(array({symbols}), s -> struct(s AS s, cast(size(s) AS double) AS n, aggregate(s, 0D, (a, x) -> a + x) / size(s) AS mean, "
-        "aggregate(transform(array_distinct(s), v -> pow(size(filter(s, x -> x = v)), 2)), 0D, (a, x) -> a + x) AS squares, "
-        f"aggregate(transform(array({classes}), k -> aggregate(zip_with(k, slice(k, 2, size(k) - 1), (x, y) -> if(y IS NULL OR x = y, 0D, 1D)), 0D, (a, x) -> a + x)), 0D, (a, x) -> a + x) AS turns))"
+        f"aggregate({equal}, 0D, (a, x) -> a + length(x) * length(x)) AS squares, "
+        f"cast(size(regexp_extract_all({classes}, '{RUN}', 0)) - 1 AS double) AS turns))"
     )
     tests = (
         f"transform({stats}, t -> struct(t.n AS n, "
@@ -110,39 +113,49 @@ def _candidates(tokens: str = "_r") -> Column:
     return F.expr(f"transform({tokens}, o -> struct(o.start AS start, o.end AS end, xxhash64(o.m) AS h, ({code}) * 100 + {longer} AS stratum, cast(least({MOST_BIN}, floor(-log10(greatest({p}, 1e-300D)) * {BITS})) AS int) AS bin))")
 
 
-STRETCH = 240
-
-
 def _plain_tokens() -> Column:
-    """Tokens that are no secrets, made of column _t's own words and numbers in a stretch at a place told by its hash: words
-    joined as in identifiers, in capitals and by underscores, and digits. Their length is told by the hash too."""
-    stretch = f"substring(_t, 1 + cast(pmod(xxhash64(_t), greatest(length(_t) - {STRETCH}, 1)) AS int), {STRETCH})"
-    words = f"transform(regexp_extract_all({stretch}, '[A-Za-z]+', 0), w -> lower(w))"
-    length = f"element_at(array({', '.join(map(str, LENGTHS))}), 1 + cast(pmod(xxhash64(_t, 1), {len(LENGTHS)}) AS int))"
-    made = ("array_join(transform(ws, w -> concat(upper(left(w, 1)), substring(w, 2))), '')", "upper(array_join(ws, ''))", "array_join(ws, '_')", f"array_join(regexp_extract_all({stretch}, '[0-9]+', 0), '')")
-    every = f"element_at(transform(array({words}), ws -> array({', '.join(f'left({m}, {length})' for m in made)})), 1)"
-    return F.expr(f"transform(filter({every}, m -> length(m) = {length}), m -> struct(0 AS start, 0 AS end, m AS m))")
-
+    """Tokens that are no secrets, made of all of column _t's own words and numbers outside of the tokens under test: words joined
+    as in identifiers, in capitals and by underscores, and digits. A word or number several times in a row counts once, as to the tests ababab is random.
 
-def _thresholds(found: DataFrame, rate: float, least_seen: int = 10) -> dict[int, int]:
+    Each of these is cut from end to end into tokens of the lengths in turn; the text's hash tells which comes first, so
+    that short texts have long tokens too. What is left at the end has the longest that fit, and its last characters
+    are of the last token.
+    """
+    turns = [[(LENGTHS[(k + i) % len(LENGTHS)]) for i in range(len(LENGTHS))] for k in range(len(LENGTHS))]
+    turn = ", ".join("array(" + ", ".join(f"struct({1 + sum(t[:i])} AS at, {n} AS n)" for i, n in enumerate(t)) + ")" for t in turns)
+    cuts = f"element_at(array({turn}), 1 + cast(pmod(xxhash64(_t), {len(LENGTHS)}) AS int))"
+    longest = "|".join(f".{{{n}}}" for n in reversed(LENGTHS))
+    blocks = f"regexp_extract_all(j, '.{{1,{sum(LENGTHS)}}}', 0)"  # as places in a long text are found by counting
+    pieces = f"flatten(transform({blocks}, b -> flatten(transform(cuts, c -> regexp_extract_all(substring(b, c.at, c.n), '{longest}', 0)))))"
+    tokens = f"if(length(j) < {LEAST_RANDOM}, cast(array() AS array<string>), array_append({pieces}, right(j, {LEAST_RANDOM})))"
+    once = lambda kept: f"trim(regexp_replace(lower(regexp_replace(regexp_replace(_t, '{CANDIDATE}', ' '), '[^{kept}]+', ' ')), '{REPEATED}', ''))"
+    joined = f"array(replace(initcap(ws), ' ', ''), upper(replace(ws, ' ', '')), replace(ws, ' ', '_'), replace({once('0-9')}, ' ', ''))"
+    every = f"flatten(transform(array({cuts}), cuts -> flatten(transform(array({once('A-Za-z')}), ws -> flatten(transform({joined}, j -> {tokens}))))))"
+    return F.expr(f"transform({every}, m -> struct(0 AS start, 0 AS end, m AS m))")
+
+
+def _thresholds(tokens: DataFrame, plain: DataFrame, rate: float, least_seen: int = 10) -> dict[int, int]:
     """The least bin of each stratum that may be told a secret: Benjamini and Hochberg's rule at the rate.
 
-    A stratum is one encoding and range of lengths, as short tokens tell less. Each distinct token counts once.
-    The tests are not independent on one token, and a corpus's words have their own letters, so the law's tail is
-    held against the corpus's own plain tokens: it is multiplied by the largest factor by which they exceed it at
-    any bin that least_seen of them reach. Strata times bins bound all rows here, whatever the input.
+    tokens and plain: a row a token, (stratum, bin, h). A stratum is one encoding and range of lengths, as short tokens
+    tell less. Each distinct token counts once. The tests are not independent on one token, and a corpus's words have
+    their own letters, so the chance of a bin is no less than the share of the corpus's plain tokens that reach it.
+    Beyond the last bin that least_seen of them reach, their share is taken to fall as the law does, so more plain
+    tokens make it more exact, and not higher. Strata times bins bound all rows here, whatever the input.
     """
 
-    def histogram(column: str) -> DataFrame:
-        each = found.select(F.explode(column).alias("t")).select("t.stratum", "t.bin", "t.h").distinct()
-        bins = each.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-        down, whole = Window.partitionBy("stratum").orderBy(F.desc("bin")), Window.partitionBy("stratum")
-        return bins.select("stratum", "bin", F.sum("n").over(down).alias("so_far"), F.sum("n").over(whole).alias("all"), F.pow(F.lit(10.0), -F.col("bin") / BITS).alias("law"))
-
-    plain = histogram("plain").where(F.col("so_far") >= least_seen)
-    factor = plain.groupBy("stratum").agg(F.greatest(F.lit(1.0), F.max(F.col("so_far") / F.col("all") / F.col("law"))).alias("factor"))
-    ranked = histogram("tokens").join(factor, "stratum", "left")
-    passing = ranked.where(F.col("law") * F.coalesce("factor", F.lit(1.0)) <= rate * F.col("so_far") / F.col("all"))
+    def counted(found: DataFrame, name: str) -> DataFrame:
+        return found.select("stratum", "bin", "h").distinct().groupBy("stratum", "bin").agg(F.count("*").alias(name))
+
+    bins = counted(tokens, "n").join(counted(plain, "p"), ["stratum", "bin"], "full").fillna(0, ["n", "p"])
+    whole = Window.partitionBy("stratum")
+    down = whole.orderBy(F.desc("bin"))
+    share = lambda c: F.coalesce(F.try_divide(F.sum(c).over(down), F.sum(c).over(whole)), F.lit(0.0))
+    tails = bins.select("stratum", "bin", F.pow(F.lit(10.0), -F.col("bin") / BITS).alias("law"), "n", share("n").alias("tokens"), share("p").alias("plain"), F.sum("p").over(down).alias("seen"))
+    last = lambda c: F.min(F.when(F.col("seen") >= least_seen, F.col(c))).over(whole)
+    own = F.when(F.col("seen") >= least_seen, F.col("plain")).otherwise(last("plain") * F.least(F.lit(1.0), F.col("law") / last("law")))
+    chances = tails.select("stratum", "bin", "n", "tokens", F.greatest("law", own).alias("chance"))
+    passing = chances.where((F.col("n") > 0) & (F.col("chance") <= rate * F.col("tokens")))
     return {r["stratum"]: r["bin"] for r in passing.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
@@ -151,8 +164,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
 
     tag is the XXH64 of the text, for joining on.
     Null texts are empty. Tokens that the tests find random among all rows' tokens, at a share of false
-    ones of rate, are added where no base span covers them. Texts are read once: what follows works
-    on the found tokens, from a checkpoint. Repeated rows and rows without an id are scanned like any other.
+    ones of rate, are added where no base span covers them. Texts are read twice: for the spans and tokens,
+    from whose checkpoint all else goes on, and for the plain tokens, which are many and are only counted. Repeated rows and rows without an id are scanned like any other.
     """
     text = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t"))
     raw = text.select(
@@ -162,11 +175,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
         _occurrences("_t", ACCESS + "", f"length(o.m) >= {LEAST_ACCESS}").alias("_k"),
         _occurrences("_t", HEX[:-1] + f"{{{LEAST_HEX},}}").alias("_h"),  # as long runs of hexadecimal digits as match at all
         _occurrences("_t", CANDIDATE).alias("_r"),
-        _plain_tokens().alias("_p"),
     )
     base = ", ".join(f"transform({c}, o -> struct(o.start AS start, {i} AS kind, o.end AS end))" for i, c in enumerate(("_a", "_k", "_h")))
-    found = cut(raw.select("doc_id", "tag", F.expr(f"array_sort(concat({base}))").alias("base"), _candidates().alias("tokens"), _candidates("_p").alias("plain")))
-    least = _thresholds(found, rate)
+    found = cut(raw.select("doc_id", "tag", F.expr(f"array_sort(concat({base}))").alias("base"), _candidates().alias("tokens")))
+    plain = text.select(_plain_tokens().alias("_p")).select(_candidates("_p").alias("tokens"))
+    least = _thresholds(*(d.select(F.inline("tokens")) for d in (found, plain)), rate)
     random = "false"
     if least:
         random = "coalesce(t.bin >= element_at(map(" + ", ".join(f"{k}, {v}" for k, v in sorted(least.items())) + "), t.stratum), false)"

@@ -148,6 +148,36 @@ def test_calibrated_chances_are_not_too_small(spark):
             assert (factor * 10.0 ** (-own / secrets.BITS) <= t).mean() <= t + 10 / len(own)
 
 
+def test_all_words_and_numbers_are_in_plain_tokens(spark):
+    """From end to end, wherever they are in a text; those of the tokens under test are not."""
+    rng = random.Random(18)
+    tested = "".join(rng.choices(string.ascii_letters, k=30))
+    texts = [f"{prose(rng, n)} {rng.randrange(10**9)} {tested} {prose(rng, n)} {rng.randrange(10**12)}" for n in (5, 30, 400, 6000)]
+    for text, r in zip(texts, spark.createDataFrame([(t,) for t in texts], "_t string").select("_t", secrets._plain_tokens().alias("p")).orderBy(F.length("_t")).collect()):
+        made, rest = [t["m"] for t in r["p"]], r["_t"].replace(tested, " ")
+        assert r["_t"] == text and {len(t) for t in made} <= set(secrets.LENGTHS)
+        once = [k for k, _ in itertools.groupby(re.findall("[a-z]+", rest))]
+        for joined in ("".join(w.title() for w in once), "".join(once).upper(), "_".join(once), "".join(re.findall("[0-9]+", rest))):
+            at, left = 0, len(joined)
+            while left >= 20 and (piece := next((t for t in made if joined.startswith(t, at)), None)):
+                at, left = at + len(piece), left - len(piece)
+            assert left < 20 and (len(joined) < 20 or joined[-20:] in made)
+
+
+def odd_words(rng, words):
+    """Words of few, evenly spread letters, of which identifiers look random."""
+    return ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(1, 3))) for _ in range(words)]
+
+
+def test_all_of_a_text_sets_the_thresholds(spark):
+    """Identifiers made of the words of a single long document are no secrets."""
+    rng = random.Random(19)
+    identifiers = ["".join(w.title() for w in odd_words(rng, 30))[:40] for _ in range(60)]
+    rows = [(0, " ".join(odd_words(rng, 40000)))] + [(1 + i, f"see {t} here") for i, t in enumerate(identifiers)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len(r["spans"]) for r in found) <= 1
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token = 'abcdef123' b", 5), (1, "a token = 'abcdef123' b", 6), (2, None, 7), (None, "password: longenough", 8)], "doc_id long, text string, _text long")
     assert table(secrets.redact(df), "doc_id", "text", "_text") == sorted([(1, "a [secret]' b", 5), (1, "a [secret]' b", 6), (2, None, 7), (None, "[secret]", 8)], key=str)
