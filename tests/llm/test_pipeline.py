@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import awkward, brute_repeats, brute_secrets
+from tests.llm.test_operators import awkward, brute_repeats, brute_secrets, odd_words
 from tests.llm.test_similar import brute_first
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -84,3 +85,13 @@ def test_stages_take_awkward_rows(spark, tmp_path):
         docs = spark.read.parquet(f"{folder}/{name}")
     none = docs.where("false")
     assert all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_secret_stage_knows_all_of_a_long_text(spark, tmp_path):
+    """Identifiers made of the words of a single long document stay; a password goes."""
+    rng = random.Random(19)
+    identifiers = ["".join(w.title() for w in odd_words(rng, 30))[:40] for _ in range(60)]
+    rows = [(0, " ".join(odd_words(rng, 40000)))] + [(1 + i, f"see {t} here") for i, t in enumerate(identifiers)] + [(100, "password=hunter22 here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = texts(dict(corpus_pipeline.STAGES)["secret_scan"](spark, docs, str(tmp_path)))
+    assert sum(found[i] != t for i, t in rows[:-1]) <= 1 and found[100] == "[secret] here"
