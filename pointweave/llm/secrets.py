@@ -77,13 +77,40 @@ def _normal(z: str) -> str:
     return f"(1D / (1D + exp(-greatest(-60D, least(60D, 0.07056D * pow({z}, 3) + 1.5976D * ({z}))))))"
 
 
+def _chi(e: Encoding, n: str, squares: str) -> str:
+    size = len(e.alphabet)
+    return f"(({size}D / {n} * {squares} - {n} - ({size - 1}D + {n} * {e.unevenness}D)) / sqrt(2D * ({size - 1}D + 2D * {n} * {e.unevenness}D)))"
+
+
+def _turns(e: Encoding, n: str, turns: str) -> str:
+    return f"(({turns} - ({n} - 1D) * {e.changes}D) / sqrt(({n} - 1D) * {e.changes * (1 - e.changes)}D))"
+
+
+def _serial(e: Encoding, n: str, correlation: str) -> str:
+    return f"((coalesce({correlation}, 1D) - {e.correlation}D) * sqrt({n} - 1D))"
+
+
+def _fisher(chi: str, turns: str, serial: str) -> str:
+    """Fisher's sum of three -ln p, half a chi-squared number with six degrees of freedom."""
+    return f"(-ln({_normal(chi)}) - ln({_normal(f'-{turns}')}) - ln({_normal(serial)}))"
+
+
+def _upper_tail(h: str) -> str:
+    return f"(exp(-{h}) * (1D + {h} + {h} * {h} / 2D))"
+
+
+SERIAL = (  # of t.s with the next ones, whose mean is t.mean
+    "try_divide(aggregate(zip_with(t.s, slice(t.s, 2, size(t.s) - 1), (x, y) -> if(y IS NULL, 0D, (x - t.mean) * (y - t.mean))), 0D, (a, x) -> a + x), "
+    "aggregate(t.s, 0D, (a, x) -> a + pow(x - t.mean, 2)))"
+)
+
+
 def _p_value(token: str, e: Encoding) -> str:
     """The chance of a token at least as random as this one among words and numbers of its length, from three tests.
 
     chi-squared: the symbols' evenness against a non-central law; runs: neighbours of different classes
     against the expected share; serial correlation at lag 1. Fisher's method combines them.
     """
-    size = len(e.alphabet)
     shown = f"lower({token})" if e.name == "hex" else f"translate({token}, '-_', '+/')"
     symbols = f"transform(split({shown}, ''), c -> cast(instr('{e.alphabet}', c) - 1 AS double))"
     classes = f"translate({shown}, '{LOWER}{UPPER}{DIGITS}', '{'a' * 26}{'A' * 26}{'0' * 10}')"
@@ -94,23 +121,31 @@ def _p_value(token: str, e: Encoding) -> str:
         f"aggregate({equal}, 0D, (a, x) -> a + length(x) * length(x)) AS squares, "
         f"cast(size(regexp_extract_all({classes}, '{RUN}', 0)) - 1 AS double) AS turns))"
     )
-    tests = (
-        f"transform({stats}, t -> struct(t.n AS n, "
-        f"({size}D / t.n * t.squares - t.n - ({size - 1}D + t.n * {e.unevenness}D)) / sqrt(2D * ({size - 1}D + 2D * t.n * {e.unevenness}D)) AS chi, "
-        f"(t.turns - (t.n - 1D) * {e.changes}D) / sqrt((t.n - 1D) * {e.changes * (1 - e.changes)}D) AS turns, "
-        f"(coalesce(try_divide(aggregate(zip_with(t.s, slice(t.s, 2, size(t.s) - 1), (x, y) -> if(y IS NULL, 0D, (x - t.mean) * (y - t.mean))), 0D, (a, x) -> a + x), aggregate(t.s, 0D, (a, x) -> a + pow(x - t.mean, 2))), 1D) - {e.correlation}D) * sqrt(t.n - 1D) AS serial))"
-    )
-    # Fisher's sum of three -ln p is half a chi-squared number with six degrees of freedom
-    fisher = f"transform({tests}, z -> -ln({_normal('z.chi')}) - ln({_normal('-z.turns')}) - ln({_normal('z.serial')}))"
-    return f"element_at(transform({fisher}, h -> exp(-h) * (1D + h + h * h / 2D)), 1)"
+    tests = f"transform({stats}, t -> struct(t.n AS n, {_chi(e, 't.n', 't.squares')} AS chi, {_turns(e, 't.n', 't.turns')} AS turns, {_serial(e, 't.n', SERIAL)} AS serial))"
+    fisher = f"transform({tests}, z -> {_fisher('z.chi', 'z.turns', 'z.serial')})"
+    return f"element_at(transform({fisher}, h -> {_upper_tail('h')}), 1)"
 
 
 def _candidates(tokens: str = "_r") -> Column:
     """(start, end, h, stratum, bin) of a column's tokens: the inferred encoding and the length tell the stratum, the bin is -log10 p."""
     p = "CASE " + " ".join(f"WHEN o.m RLIKE '{e.pattern}' THEN {_p_value('o.m', e)}" for e in ENCODINGS[:-1]) + f" ELSE {_p_value('o.m', ENCODINGS[-1])} END"
     code = "CASE " + " ".join(f"WHEN o.m RLIKE '{e.pattern}' THEN {i}" for i, e in enumerate(ENCODINGS[:-1])) + f" ELSE {len(ENCODINGS) - 1} END"
-    longer = " + ".join(f"cast(length(o.m) >= {n} AS int)" for n in LENGTHS)
-    return F.expr(f"transform({tokens}, o -> struct(o.start AS start, o.end AS end, xxhash64(o.m) AS h, ({code}) * 100 + {longer} AS stratum, cast(least({MOST_BIN}, floor(-log10(greatest({p}, 1e-300D)) * {BITS})) AS int) AS bin))")
+    return F.expr(f"transform({tokens}, o -> struct(o.start AS start, o.end AS end, xxhash64(o.m) AS h, ({code}) * 100 + {_longer('length(o.m)')} AS stratum, {_bin(p)} AS bin))")
+
+
+def _longer(n: str) -> str:
+    return " + ".join(f"cast({n} >= {least} AS int)" for least in LENGTHS)
+
+
+def _bin(p: str) -> str:
+    return f"cast(least({MOST_BIN}, floor(-log10(greatest({p}, 1e-300D)) * {BITS})) AS int)"
+
+
+def _cuts() -> str:
+    """(at, n) of the tokens in as many characters as the lengths have together, by the hash of column _t."""
+    turns = [[(LENGTHS[(k + i) % len(LENGTHS)]) for i in range(len(LENGTHS))] for k in range(len(LENGTHS))]
+    turn = ", ".join("array(" + ", ".join(f"struct({1 + sum(t[:i])} AS at, {n} AS n)" for i, n in enumerate(t)) + ")" for t in turns)
+    return f"element_at(array({turn}), 1 + cast(pmod(xxhash64(_t), {len(LENGTHS)}) AS int))"
 
 
 def _plain_tokens() -> Column:
@@ -121,19 +156,122 @@ def _plain_tokens() -> Column:
     that short texts have long tokens too. What is left at the end has the longest that fit, and its last characters
     are of the last token.
     """
-    turns = [[(LENGTHS[(k + i) % len(LENGTHS)]) for i in range(len(LENGTHS))] for k in range(len(LENGTHS))]
-    turn = ", ".join("array(" + ", ".join(f"struct({1 + sum(t[:i])} AS at, {n} AS n)" for i, n in enumerate(t)) + ")" for t in turns)
-    cuts = f"element_at(array({turn}), 1 + cast(pmod(xxhash64(_t), {len(LENGTHS)}) AS int))"
     longest = "|".join(f".{{{n}}}" for n in reversed(LENGTHS))
     blocks = f"regexp_extract_all(j, '.{{1,{sum(LENGTHS)}}}', 0)"  # as places in a long text are found by counting
     pieces = f"flatten(transform({blocks}, b -> flatten(transform(cuts, c -> regexp_extract_all(substring(b, c.at, c.n), '{longest}', 0)))))"
     tokens = f"if(length(j) < {LEAST_RANDOM}, cast(array() AS array<string>), array_append({pieces}, right(j, {LEAST_RANDOM})))"
     once = lambda kept: f"trim(regexp_replace(lower(regexp_replace(regexp_replace(_t, '{CANDIDATE}', ' '), '[^{kept}]+', ' ')), '{REPEATED}', ''))"
     joined = f"array(replace(initcap(ws), ' ', ''), upper(replace(ws, ' ', '')), replace(ws, ' ', '_'), replace({once('0-9')}, ' ', ''))"
-    every = f"flatten(transform(array({cuts}), cuts -> flatten(transform(array({once('A-Za-z')}), ws -> flatten(transform({joined}, j -> {tokens}))))))"
+    every = f"flatten(transform(array({_cuts()}), cuts -> flatten(transform(array({once('A-Za-z')}), ws -> flatten(transform({joined}, j -> {tokens}))))))"
     return F.expr(f"transform({every}, m -> struct(0 AS start, 0 AS end, m AS m))")
 
 
+#: Symbols of letters' tokens are told by two decimal digits, which as a byte's hexadecimal ones read as a number eight symbols long.
+#: 0 is none, 1 to 26 small letters and 27 their gap, 28 to 53 capitals.
+GAP = 27
+LONGEST, CHUNK = max(LENGTHS), 8
+FLAG = 20  # bits below the flag of a change of class: a capital, or the gap
+
+
+def _symbol_tables() -> dict[str, list[int]]:
+    """By symbol: z is the place among letters, with the flag; k0 to k2 count letters of either case in nine fields of seven bits each, c0 to c2 capitals."""
+    gap = len(ENCODINGS[-1].alphabet) - 1 - 26 + (1 << FLAG)  # base64 shows it as its last symbol
+    letter = [*range(GAP), *range(26)]
+    count = lambda j, least: [0] + [(1 << 7 * (x % 9)) * (x // 9 == j and i >= least) for i, x in enumerate(letter)]
+    return {"z": [0, *range(26), gap, *(i + (1 << FLAG) for i in range(26))], **{f"k{j}": count(j, 0) for j in range(3)}, **{f"c{j}": count(j, GAP) for j in range(3)}}
+
+
+def _places(n: str) -> str:
+    """(at, n) of the tokens that _plain_tokens cuts from n characters, by the text's cuts."""
+    cycle = sum(LENGTHS)
+
+    def rest(left: int) -> list[tuple[int, int]]:  # of the token that does not fit any more
+        at, out = 0, []
+        while left - at >= LEAST_RANDOM:
+            out.append((at, max(k for k in LENGTHS if k <= left - at)))
+            at += out[-1][1]
+        return out
+
+    none = "cast(array() AS array<struct<at:int,n:int>>)"
+    rests = "array(" + ", ".join("array(" + ", ".join(f"struct({at} AS at, {k} AS n)" for at, k in rest(left)) + ")" if rest(left) else none for left in range(LONGEST)) + ")"
+    whole = f"flatten(transform(sequence(0, ({n} - 1) div {cycle}), b -> transform(filter(cuts, c -> cast(b * {cycle} AS int) + c.at - 1 + c.n <= {n}), c -> struct(cast(b * {cycle} AS int) + c.at AS at, c.n AS n))))"
+    last = f"cast(({n} - 1) div {cycle} * {cycle} AS int)"
+    broken = f"filter(cuts, c -> {last} + c.at <= {n} AND {last} + c.at - 1 + c.n > {n})"
+    partly = f"flatten(transform({broken}, c -> transform(element_at({rests}, {n} - {last} - c.at + 2), r -> struct({last} + c.at + r.at AS at, r.n AS n))))"
+    return f"array_append(concat({whole}, {partly}), struct({n} - {LEAST_RANDOM - 1} AS at, {LEAST_RANDOM} AS n))"
+
+
+def _plain_bins(text: DataFrame) -> DataFrame:
+    """(stratum, bin, h) of _candidates of _plain_tokens of column _t, a row a token.
+
+    Array functions take a microsecond a character for that, and there are twice as many as in the texts. Here a token is
+    a row and its sums are columns, which Spark compiles: letters and gaps are read as numbers, eight at once, and looked
+    up in tables, and tokens in capitals share the sums of the identifiers they are cut along with. Tokens of digits
+    only, or that may be taken for another encoding, are few and go the other way.
+    """
+    _, base32, base64 = ENCODINGS
+    shown = [chr(int(f"{i:02d}", 16)) for i in range(1 + GAP + 26)]
+    literal = lambda cs: "decode(unhex('" + "".join(f"{ord(c):02x}" for c in cs) + "'), 'UTF-8')"
+    said = f"'{LOWER} {UPPER}', {literal(shown[1:])}"
+    # as _plain_tokens has them
+    apart = text.select("_t", F.expr(f"regexp_replace(_t, '(?<![A-Za-z0-9+/_-]){CANDIDATE}', ' ')").alias("rest"))
+    once = lambda kept: f"trim(regexp_replace(lower(regexp_replace(rest, '[^{kept}]+', ' ')), '{REPEATED}', ''))"
+    words = apart.select(F.expr(_cuts()).alias("cuts"), F.expr(once("A-Za-z")).alias("ws"), F.expr(f"replace({once('0-9')}, ' ', '')").alias("ds"))
+    titled = words.select("cuts", "ws", "ds", F.expr("replace(initcap(ws), ' ', '')").alias("title"), F.expr("replace(ws, ' ', '_')").alias("gapped"))
+    # a text's bytes are held once while all its tokens are cut
+    cut_up = lambda j, y, gaps: (
+        f"if(length({j}) < {LEAST_RANDOM}, cast(array() AS array<struct<m:string,y:binary,n:int,gaps:boolean>>), flatten(transform(array(struct(cast({j} AS binary) AS j, cast({y} AS binary) AS y, length({j}) AS n)), "
+        f"s -> transform({_places('s.n')}, p -> struct(cast(substring(s.j, p.at, p.n) AS string) AS m, substring(s.y, p.at, p.n) AS y, p.n AS n, {gaps} AS gaps)))))"
+    )
+    pieces = titled.select(F.expr(f"concat({cut_up('title', f'translate(title, {said})', 'false')}, {cut_up('gapped', f'translate(ws, {said})', 'true')}, {cut_up('ds', 'ds', 'false')})").alias("pieces"))
+    tokens = pieces.select(F.expr("inline_outer(pieces)")).where("m IS NOT NULL").select(  # a plain inline has Spark cut all texts once more, to leave out empty ones first
+        "m", "n", "gaps", F.expr(f"rpad(y, {LONGEST}, X'00')").alias("y"), F.expr("m RLIKE '^([A-Z]+|[A-Fa-f]+|[0-9]+)$'").alias("odd"))
+    chunks = range(LONGEST // CHUNK)
+    said_as = lambda at, n: f"cast(hex(substring(y, {at}, {n})) AS long)"
+    numbers = tokens.withColumn("digits", F.expr("m RLIKE '^[0-9]+$'")).select(
+        "m", "n", "gaps", "odd", "digits", *[F.expr(f"if(n > {c * CHUNK} AND NOT digits, {said_as(c * CHUNK + 1, CHUNK)}, 0L)").alias(f"p{c}") for c in chunks],
+        F.expr(f"cast(if(digits, 0L, {said_as('n', 1)}) AS int)").alias("last"),
+    )
+    tables = _symbol_tables()
+    symbol = lambda i: f"cast(p{i // CHUNK} div {100 ** (CHUNK - 1 - i % CHUNK)}L % 100L AS int)"
+    symbols = numbers.select(
+        "m", "n", "gaps", "odd", "digits", "last", *[F.expr(symbol(i)).alias(f"y{i}") for i in range(LONGEST)],
+        *[F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")").alias(f"of_{t}") for t, values in tables.items()],
+    )
+    added = lambda f: " + ".join("if(n > {}, {}, 0L)".format(c * CHUNK, " + ".join(f(i) for i in range(c * CHUNK, (c + 1) * CHUNK))) for c in chunks)
+    placed = symbols.select(
+        "m", "n", "gaps", "odd", "digits", F.expr("of_z[last]").alias("zn"), *[F.expr(f"of_z[y{i}]").alias(f"z{i}") for i in range(LONGEST)],
+        *[F.expr(added(lambda i: f"of_{t}[y{i}]")).alias(t) for t in tables if t != "z"],  # noqa: B023
+    )
+    sums = placed.select(
+        "m", "n", "gaps", "odd", "digits", "z0", "zn", *[t for t in tables if t != "z"],
+        F.expr(added(lambda i: f"z{i}")).alias("z"), F.expr(added(lambda i: f"z{i} * z{i}")).alias("zz"), F.expr(added(lambda i: f"z{i} * z{i + 1}" if i + 1 < LONGEST else "0L")).alias("zy"),
+    )
+    field = lambda c, at, bits=FLAG: f"(shiftright({c}, {at}) & {(1 << bits) - 1}L)"
+    of = {
+        "u": field("z", 0), "f": field("z", FLAG), "uu": field("zz", 0, FLAG + 1), "uf": field("zz", FLAG + 1, FLAG - 1), "uy": field("zy", 0), "uyf": field("zy", FLAG), "ff": field("zy", 2 * FLAG),
+        "u1": field("z0", 0), "f1": field("z0", FLAG), "un": field("zn", 0), "fn": field("zn", FLAG),
+        **{f"{name}": " + ".join(f"{field(c.format(j), 7 * i, 7)} * {field(c.format(j), 7 * i, 7)}" for j in range(3) for i in range(9)) for name, c in (("any", "k{}"), ("small", "(k{0} - c{0})"), ("large", "c{}"))},
+    }
+    parts = sums.select("m", "gaps", "n", "odd", "digits", *[F.expr(x).alias(name) for name, x in of.items()])
+    # a capital's place is 26 below its small letter's
+    each = (
+        "if(NOT gaps AND NOT digits, array("
+        "struct(m, false AS up, small + large AS squares, 2 * (f - ff) - f1 - fn AS turns, u - 26 * f AS s, uu - 52 * uf + 676 * f AS ss, uy - 26 * uyf + 676 * ff AS sy, u1 + un - 26 * (f1 + fn) AS ends), "
+        "struct(upper(m) AS m, true AS up, any AS squares, 0L AS turns, u AS s, uu AS ss, uy AS sy, u1 + un AS ends)), "
+        "array(struct(m, false AS up, any AS squares, 2 * (f - ff) - f1 - fn AS turns, u AS s, uu AS ss, uy AS sy, u1 + un AS ends)))"
+    )
+    one = parts.select("n", "odd", F.expr(f"inline_outer({each})"))
+    way = lambda f, *xs: f"if(up, {f(base32, *xs)}, {f(base64, *xs)})"
+    alike = "try_divide(cast(n * (n * sy - s * (2 * s - ends)) + (n - 1) * s * s AS double), cast(n * (n * ss - s * s) AS double))"
+    z = one.select("m", "n", "odd", "up", *[F.expr(x).alias(name) for name, x in (("chi", way(_chi, "n", "squares")), ("runs", way(_turns, "n", "turns")), ("serial", way(_serial, "n", alike)))])
+    h = z.select("m", "n", "odd", "up", F.expr(_fisher("chi", "runs", "serial")).alias("fisher"))
+    other = h.select("m", "n", "up", "fisher", F.when(F.col("odd"), F.expr("array(struct(0 AS start, 0 AS end, m AS m))")).alias("_o"))
+    strata = f"if(up, {ENCODINGS.index(base32)}, {ENCODINGS.index(base64)}) * 100 + {_longer('n')}"
+    done = other.select(F.element_at(_candidates("_o"), 1).alias("o"), F.expr("xxhash64(m)").alias("h"), F.expr(strata).alias("stratum"), F.expr(_bin(_upper_tail("fisher"))).alias("bin"))
+    return done.select(F.coalesce("o.stratum", "stratum").alias("stratum"), F.coalesce("o.bin", "bin").alias("bin"), "h")
+
+
 def _thresholds(tokens: DataFrame, plain: DataFrame, rate: float, least_seen: int = 10) -> dict[int, int]:
     """The least bin of each stratum that may be told a secret: Benjamini and Hochberg's rule at the rate.
 
@@ -178,8 +316,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
     )
     base = ", ".join(f"transform({c}, o -> struct(o.start AS start, {i} AS kind, o.end AS end))" for i, c in enumerate(("_a", "_k", "_h")))
     found = cut(raw.select("doc_id", "tag", F.expr(f"array_sort(concat({base}))").alias("base"), _candidates().alias("tokens")))
-    plain = text.select(_plain_tokens().alias("_p")).select(_candidates("_p").alias("tokens"))
-    least = _thresholds(*(d.select(F.inline("tokens")) for d in (found, plain)), rate)
+    least = _thresholds(found.select(F.inline("tokens")), _plain_bins(text), rate)
     random = "false"
     if least:
         random = "coalesce(t.bin >= element_at(map(" + ", ".join(f"{k}, {v}" for k, v in sorted(least.items())) + "), t.stratum), false)"

@@ -164,6 +164,17 @@ def test_all_words_and_numbers_are_in_plain_tokens(spark):
             assert left < 20 and (len(joined) < 20 or joined[-20:] in made)
 
 
+def test_fast_bins_are_those_of_plain_tokens(spark):
+    """Every token of every text, with the bin that the array functions tell: other encodings' look, gaps, capitals, digits, long texts."""
+    rng = random.Random(20)
+    texts = [*(t for _, t in awkward() if t is not None), "", "A B C D E F G " * 9, "bad cafe fade bead deed " * 6, "x y " * 30 + "12345 678901234567 " * 9, "é " * 50 + "Ab cD " * 13, "z" * 19 + " q " + "y" * 19]
+    texts += [f"{prose(rng, n)} {rng.randrange(10**12)} {prose(rng, n)} {rng.randrange(10**15)}" for n in (5, 30, 60, 90, 400, 3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "_t string")
+    plain = df.select(secrets._plain_tokens().alias("_p")).select(secrets._candidates("_p").alias("tokens")).select(F.inline("tokens")).select("stratum", "bin", "h")
+    expected, found = (sorted(map(tuple, x.collect())) for x in (plain, secrets._plain_bins(df)))
+    assert len({s // 100 for s, _, _ in expected}) == len(secrets.ENCODINGS) and found == expected
+
+
 def odd_words(rng, words):
     """Words of few, evenly spread letters, of which identifiers look random."""
     return ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(1, 3))) for _ in range(words)]
