@@ -467,3 +467,29 @@ def test_a_tsne_step_is_the_written_rule():
     moved = y - 200 * np.where(g > 0, 0.8, 1.2) * g
     assert state.y == pytest.approx(moved - moved.mean(axis=0))
     assert kl == pytest.approx(sum(p[i, j] * math.log(p[i, j] / q[i, j]) for i in range(12) for j in range(12) if i != j))
+
+
+def test_places_of_many_points_meet_once(spark):
+    r = np.random.default_rng(5)
+    at = r.uniform(-1, 1, (60, 2)).round(1)
+    x = at[r.integers(0, 60, 400)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(x.tolist())], "rid long, x double, y double")
+    points = distances.vectors(table)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    near = d2 < 0.35 * 0.35
+    found = distances.range_pairs(points, 0.35, 2).toPandas()
+    assert sorted(zip(found.i, found.j)) == list(map(tuple, np.argwhere(near).tolist()))
+    assert np.allclose(found.d2, d2[found.i, found.j])
+    counted = sorted(dbscan.core_points(table, 0.35, 40).toPandas().itertuples(index=False, name=None))
+    assert counted == [(i, int(n), bool(n >= 40)) for i, n in enumerate(near.sum(axis=1))]
+    places = len(np.unique(x, axis=0))
+    met = distances.near_places(distances.places_of(points).withColumnRenamed("rids", "i"), distances.places_of(points).withColumnRenamed("rids", "j"), 0.35, 2)
+    assert met.count() <= places * places < near.sum()
+
+
+def test_near_pairs_on_the_edges_of_cells(spark):
+    x = np.arange(-6, 7) * 0.2
+    for e in (0.4, 0.4 + 1e-12, 0.2):
+        points = spark.createDataFrame([(i, [v]) for i, v in enumerate(x.tolist())], "rid long, x array<double>")
+        near = (x[:, None] - x[None]) ** 2 < e * e
+        assert sorted((r.i, r.j) for r in distances.range_pairs(points, e, 1).collect()) == list(map(tuple, np.argwhere(near).tolist()))
