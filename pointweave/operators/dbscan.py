@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pointweave.errors import check_dbscan, check_matrix
 from pointweave.functions.vectors import squared_distance
 from pointweave.operators.components import connected
-from pointweave.operators.distances import NeighbourIndex, index, nearest, range_pairs, vectors
+from pointweave.operators.distances import NeighbourIndex, index, near_counts, near_places, nearest, vectors
 from pointweave.operators.scaling import apply_z, z_scores
 from pointweave.operators.tables import RID, features, numbered
 from pointweave.session import cut
@@ -113,7 +113,7 @@ def fit(table: DataFrame, epsilon: float = 0.5, min_pts: int = 5, standardize: b
     # a crowded cell's points are one node, named by the least of them
     places = cut(places.join(crowded, "cell", "left").select("*", F.col("rep").isNotNull().alias("crowded")).withColumn("rep", F.coalesce("rep", RID)))
     sparse = places.where("NOT crowded") if by_cell else places
-    pairs = cut(range_pairs(sparse, epsilon, width, places).select("i", "j"))
+    pairs = cut(near_places(sparse.select(F.col(RID).alias("i"), "x"), places.select(F.col(RID).alias("j"), "x"), epsilon, width).select("i", "j"))
     near = pairs.join(places.select(F.col(RID).alias("j"), "weight", F.col("rep").alias("node")), "j")
     counted = near.groupBy("i").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_pts).select("i")
     core = cut(counted.unionByName(places.where("crowded").select(F.col(RID).alias("i"))).distinct())
@@ -134,9 +134,8 @@ def fit(table: DataFrame, epsilon: float = 0.5, min_pts: int = 5, standardize: b
 
 def core_points(table: DataFrame, epsilon: float, min_pts: int) -> DataFrame:
     """(rid, neighbours, core) of each row."""
-    points = vectors(table)
-    near = range_pairs(points, epsilon, len(features(table))).groupBy("i").agg(F.count("*").alias("neighbours"))
-    return near.select(F.col("i").alias(RID), "neighbours", (F.col("neighbours") >= min_pts).alias("core"))
+    counted = near_counts(vectors(table), epsilon, len(features(table))).where("n > 0")
+    return counted.select(F.explode("rids").alias(RID), F.col("n").alias("neighbours"), (F.col("n") >= min_pts).alias("core"))
 
 
 def estimate_epsilon(table: DataFrame, rows: int, min_pts: int = 5, sample_size: int = 500, standardize: bool = False) -> DataFrame:
