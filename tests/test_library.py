@@ -493,3 +493,23 @@ def test_near_pairs_on_the_edges_of_cells(spark):
         points = spark.createDataFrame([(i, [v]) for i, v in enumerate(x.tolist())], "rid long, x array<double>")
         near = (x[:, None] - x[None]) ** 2 < e * e
         assert sorted((r.i, r.j) for r in distances.range_pairs(points, e, 1).collect()) == list(map(tuple, np.argwhere(near).tolist()))
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_wide_points_are_looked_at_by_products(offset):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 24)) + offset
+    x[2500:] = x[:500]
+    ids, asked = r.permutation(3000), np.concatenate((x[:60], -x[:60]))
+    tree = balls.BallTree(x)
+    tree._search = None  # the tree would look at nearly all in small pieces
+    d = np.sqrt(balls.squared(asked, x))
+    for limits in (np.full(120, np.inf), np.sort(d, axis=1)[:, 3]):
+        best, best_ids = np.empty((120, 5)), np.empty((120, 5), np.int64)
+        for own, far, names in tree.nearest(ids, asked, limits, 5):
+            best[own], best_ids[own] = far, names
+        for q in range(120):
+            order = np.lexsort((ids, d[q]))[:5]
+            order = order[d[q][order] <= limits[q]]
+            assert best_ids[q, : len(order)].tolist() == ids[order].tolist()
+            assert best[q, : len(order)].tolist() == d[q][order].tolist() and np.isinf(best[q, len(order) :]).all()
