@@ -15,13 +15,44 @@ from pointweave.operators.distances import distances_to, rows_of
 from pointweave.operators.tables import RID
 
 
-def silhouettes(labelled: DataFrame, block_rows: int = 1024) -> DataFrame:
-    """(rid, s) of each point: exact, so its work is quadratic, meant for at most a thousand or so strided rows.
+def cluster_sums(x: np.ndarray, y: np.ndarray, starts: np.ndarray, rows: int = 256, columns: int = 1024) -> np.ndarray:
+    """Sums of the distances of each row of x from the rows of y in each cluster, which begin at `starts`.
 
-    Blocks of points meet shards of them; a pair of these sends a sum a point and cluster, not its distances. A
+    Squared distances come from products, in small blocks; those that rounding could have touched, of points near each
+    other against their lengths, from differences, so equal points are at 0.
+    """
+    mean = y.mean(axis=0)
+    a, b = x - mean, y - mean
+    own, other = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    turned = np.ascontiguousarray(b.T) * -2
+    out = np.zeros((len(x), len(starts)))
+    for at in range(0, len(y), columns):
+        to = min(len(y), at + columns)
+        first = max(0, int(np.searchsorted(starts, at, "right")) - 1)
+        inside = np.maximum(starts[first : int(np.searchsorted(starts, to, "left"))], at) - at
+        most = other[at:to].max()
+        for lo in range(0, len(x), rows):
+            d = a[lo : lo + rows] @ turned[:, at:to]
+            d += other[at:to]
+            d += own[lo : lo + rows, None]
+            i, j = np.divmod(np.flatnonzero(~(d > 1e-5 * (own[lo : lo + rows, None] + most))), to - at)
+            for part in range(0, len(i), 65536):
+                off = x[lo + i[part : part + 65536]] - y[at + j[part : part + 65536]]
+                d[i[part : part + 65536], j[part : part + 65536]] = np.einsum("ij,ij->i", off, off)
+            np.sqrt(d, out=d)
+            out[lo : lo + rows, first : first + len(inside)] += np.add.reduceat(d, inside, axis=1)
+    return out
+
+
+def silhouettes(labelled: DataFrame, block_rows: int = 65_536, least_blocks: int = 8) -> DataFrame:
+    """(rid, s) of each point: exact, so its work is quadratic.
+
+    Blocks of points meet shards of them; a pair of these sends a sum a point and cluster, not its distances. Points are
+    sent once a block, so there are few blocks: least_blocks, and more only beyond least_blocks * block_rows points. A
     point alone in its cluster has a = 0 and s = 1; without another cluster b is as large as can be.
     """
-    n = max(1, math.ceil(labelled.count() / block_rows))
+    rows = labelled.count()
+    n = max(1, math.ceil(rows / block_rows), min(least_blocks, math.ceil(rows / 1024)))
     part = F.pmod(F.xxhash64(RID), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asking = labelled.select(RID, "x", "cluster", part.alias("block")).withColumn("shard", every)
@@ -30,15 +61,16 @@ def silhouettes(labelled: DataFrame, block_rows: int = 1024) -> DataFrame:
     def meet(own: pa.Table, against: pa.Table) -> pa.Table:
         if not own.num_rows or not against.num_rows:
             return pa.table({"rid": pa.array([], pa.int64()), "ci": pa.array([], pa.int32()), "cj": pa.array([], pa.int32()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        x, y = rows_of(own.column("x")), rows_of(against.column("ox"))
-        clusters, which = np.unique(against.column("cj").to_numpy(), return_inverse=True)
-        sums = np.array([np.bincount(which, weights=np.sqrt(distances_to(y, p[None, :])[:, 0]), minlength=len(clusters)) for p in x])
-        k = len(clusters)
-        return pa.table({"rid": np.repeat(own.column("rid").to_numpy(), k), "ci": np.repeat(own.column("cluster").to_numpy(), k).astype(np.int32), "cj": np.tile(clusters, len(x)).astype(np.int32), "d": sums.ravel(), "n": np.tile(np.bincount(which), len(x))})
+        labels = against.column("cj").to_numpy()
+        order = np.argsort(labels, kind="stable")
+        clusters, starts, counts = np.unique(labels[order], return_index=True, return_counts=True)
+        x, k = rows_of(own.column("x")), len(clusters)
+        sums = cluster_sums(x, rows_of(against.column("ox"))[order], starts)
+        return pa.table({"rid": np.repeat(own.column("rid").to_numpy(), k), "ci": np.repeat(own.column("cluster").to_numpy(), k).astype(np.int32), "cj": np.tile(clusters, len(x)).astype(np.int32), "d": sums.ravel(), "n": np.tile(counts, len(x))})
 
     met = asking.groupBy("block", "shard").cogroup(others.groupBy("of_block", "of_shard")).applyInArrow(meet, "rid long, ci int, cj int, d double, n long")
-    own = F.col("ci") == F.col("cj")
     totals = met.groupBy(RID, "ci", "cj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    own = F.col("ci") == F.col("cj")
     mean = F.when(own, F.try_divide("d", F.col("n") - 1)).otherwise(F.col("d") / F.col("n"))
     sides = totals.groupBy(RID).agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     inner, outer = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(3.4028234663852886e38))

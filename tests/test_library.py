@@ -513,3 +513,29 @@ def test_wide_points_are_looked_at_by_products(offset):
             order = order[d[q][order] <= limits[q]]
             assert best_ids[q, : len(order)].tolist() == ids[order].tolist()
             assert best[q, : len(order)].tolist() == d[q][order].tolist() and np.isinf(best[q, len(order) :]).all()
+
+
+def test_distances_to_clusters_are_summed_by_products():
+    r = np.random.default_rng(4)
+    y = np.concatenate((r.normal(size=(300, 6)) + 1e3, np.full((40, 6), 1e3)))
+    y[200:210] = y[:10] + 1e-7
+    x, starts = y[::3], np.array([0, 5, 130, 131])
+    d = np.sqrt(distances.distances_to(y, x)).T
+    found = metrics.cluster_sums(x, y, starts, rows=7, columns=32)
+    assert np.allclose(found, np.add.reduceat(d, starts, axis=1), rtol=1e-9, atol=1e-12)
+    assert (metrics.cluster_sums(x[-1:], y[300:], np.array([0])) == 0).all()
+
+
+def test_silhouettes_send_a_point_a_few_times(spark):
+    r = np.random.default_rng(6)
+    x, label = r.normal(size=(20_000, 3)), r.integers(0, 4, 20_000)
+    labelled = spark.createDataFrame([(i, p, int(c)) for i, (p, c) in enumerate(zip(x.tolist(), label))], "rid long, x array<double>, cluster int")
+    found = metrics.silhouettes(labelled)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "), 8)" in plan and "), 20)" not in plan  # blocks of 1024 would be 20
+    some = {s["rid"]: s["s"] for s in found.where("rid < 40").collect()}
+    d = np.sqrt(distances.distances_to(x, x[:40])).T
+    for i in range(40):
+        means = [d[i][label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(4)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        assert some[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
